@@ -171,7 +171,8 @@ def agent_state(runs: DataFrame) -> DataFrame:
 
     The newest row wins as a whole, so its NULL task replaces an older task.
     """
-    latest = F.max(F.struct("run_at", "seq", "status", "current_task"))
+    written = [c for c in ("status", "current_task", "metadata") if c in runs.columns]
+    latest = F.max(F.struct("run_at", "seq", *written))
     state = runs.groupBy("agent_id").agg(
         latest.alias("latest"),
         F.count("*").alias("run_count"),
@@ -179,5 +180,5 @@ def agent_state(runs: DataFrame) -> DataFrame:
     )
     return state.select(
         "agent_id", F.col("latest.run_at").alias("last_run"), "run_count",
-        "latest.status", "latest.current_task", "runs_started",
+        *[f"latest.{c}" for c in written], "runs_started",
     )

@@ -1,8 +1,9 @@
 """Equi-joins between the tables.
 
-The many side of a lookup may carry a hot key; the one side is unique by key, so an adaptive
-skew split of the many side is enough. Sides that only test for existence are reduced to their
-distinct keys first, so a hot key reaches the join once.
+A side with a hot key must meet a side that is unique by that key. Where the hot side is kept whole
+(lookups, orders against the ledger), both sides enter the join straight from their shuffle, which
+lets adaptive execution split the hot partition. Where the hot side only tests for existence, it is
+reduced to its distinct keys, before the shuffle already.
 """
 
 from __future__ import annotations
@@ -59,8 +60,9 @@ def listed_parents(opportunities: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def not_in_ledger(orders: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Orders whose id is no transaction id of the ledger yet."""
-    return orders.join(distinct_keys(ledger, "transaction_id", "id"), "id", "left_anti")
+    """Orders whose id is no transaction id of the ledger yet; the ledger has an order once."""
+    known = ledger.select(F.col("transaction_id").alias("id")).where(F.col("id").isNotNull())
+    return orders.join(known, "id", "left_anti")
 
 
 def new_titles(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ledgerloom.functions.text import not_empty
 from ledgerloom.operators.filters import paid_orders
 from ledgerloom.operators.joins import distinct_keys, new_titles, not_in_ledger
 from ledgerloom.operators.windows import first_orders
-from ledgerloom.schemas import TABLES, conform, moment
+from ledgerloom.schemas import FINE_MONEY, MONEY, TABLES, conform, moment
 
 
 def touch(changed: Column, as_of: str) -> Column:
@@ -111,15 +111,21 @@ def sync_summary(orders: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def logged_rows(entries: DataFrame) -> DataFrame:
+    """Logged entries (product_id, amount, fee, type, description, platform) as ledger rows."""
+    amount, fee = F.col("amount").cast(MONEY), F.col("fee").cast(FINE_MONEY)
+    net = money.net_amount(F.col("type"), amount, fee)
+    return conform(
+        entries.withColumns({"net": net, "platform": not_empty(F.col("platform"))}), TABLES["transactions"]
+    )
+
+
 def expense_rows(expenses: DataFrame) -> DataFrame:
     """Logged expenses (amount, description, category) as ledger rows."""
-    amount = F.col("amount").cast(TABLES["transactions"]["amount"].dataType)
-    rows = expenses.select(
-        amount.alias("amount"), F.lit(0).alias("fee"), money.net_amount(F.lit("expense"), amount, F.lit(0)).alias("net"),
-        F.coalesce(not_empty(F.col("category")), F.lit("general")).alias("platform"), F.lit("expense").alias("type"),
-        "description",
-    )
-    return conform(rows, TABLES["transactions"])
+    return logged_rows(expenses.select(
+        F.lit(None).alias("product_id"), "amount", F.lit(0).alias("fee"), F.lit("expense").alias("type"),
+        "description", F.coalesce(not_empty(F.col("category")), F.lit("general")).alias("platform"),
+    ))
 
 
 # Estimates are per month in dollars, scores per thousand; 500 is the default estimate.

@@ -23,7 +23,7 @@ def not_null(df: DataFrame, source: str, columns: Iterable[str]) -> DataFrame:
 
 def orphans(child: DataFrame, column: str, parents: DataFrame, key: str = "id") -> DataFrame:
     """Child rows whose parent does not exist; a NULL reference is allowed."""
-    ids = parents.select(F.col(key).alias(column)).distinct()
+    ids = parents.select(F.col(key).alias(column))
     return child.where(F.col(column).isNotNull()).join(ids, column, "left_anti")
 
 

@@ -28,10 +28,13 @@ def drain_positions(messages: DataFrame, folder: str) -> DataFrame:
 
     A mailbox can hold any share of the messages, so rows are range-partitioned by
     (recipient, time, id), which splits a large mailbox over many tasks. Each row is numbered in
-    its partition, and the counts of earlier partitions of the same mailbox are added. The
-    numbered rows are written once to ``folder``: reading a second, differently sampled range
-    partitioning would give other numbers.
+    its partition, and the counts of earlier partitions of the same mailbox are added.
+
+    The numbered rows are written once to ``folder``, as a second, differently sampled range
+    partitioning would give other numbers. The counts, one row per mailbox and partition, are
+    written too: Spark then knows their size and broadcasts them only if they are small.
     """
+    spark = messages.sparkSession
     order = ["to_agent", "created_at", "id"]
     numbered = (
         messages.where(F.col("read") == 0)
@@ -40,21 +43,23 @@ def drain_positions(messages: DataFrame, folder: str) -> DataFrame:
         .sortWithinPartitions(*order)
         .withColumn("slot", F.monotonically_increasing_id())
     )
-    numbered.write.mode("overwrite").parquet(folder)
+    numbered.write.mode("overwrite").parquet(f"{folder}/rows")
     rows = (
-        messages.sparkSession.read.schema(numbered.schema).parquet(folder)
+        spark.read.schema(numbered.schema).parquet(f"{folder}/rows")
         .withColumn("part", F.shiftright("slot", ROW_BITS))
     )
     spans = rows.groupBy("to_agent", "part").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n"))
     earlier = F.sum("n").over(
         Window.partitionBy("to_agent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = spans.select(
+    starts = spans.select(
         F.col("to_agent").alias("box"), F.col("part").alias("box_part"), "first_slot",
         F.coalesce(earlier, F.lit(0)).alias("earlier"),
     )
+    starts.write.mode("overwrite").parquet(f"{folder}/starts")
+    starts = spark.read.schema(starts.schema).parquet(f"{folder}/starts")
     same = F.col("to_agent").eqNullSafe(F.col("box")) & (F.col("part") == F.col("box_part"))
-    return rows.join(offsets, same).select(
+    return rows.join(starts, same).select(
         "id", "to_agent", "from_agent", "type", "created_at",
         (F.col("slot") - F.col("first_slot") + F.col("earlier") + 1).alias("position"),
     )

@@ -1,10 +1,8 @@
 """Aggregates."""
 
-from pyspark.sql import functions as F
-
 from ledgerloom.operators import aggregates as agg, filters, mutations
-from ledgerloom.plans.registry import AS_OF_EVENT, LEDGER_UNTIL, as_double, plan
-from ledgerloom.schemas import moment
+from ledgerloom.plans.ledger import stored_ledger
+from ledgerloom.plans.registry import AS_OF_EVENT, as_double, plan
 from ledgerloom.sources import payloads
 
 
@@ -94,13 +92,7 @@ def store_summary(s):
     FROM marketplace_paid""")
 def sync_summary(s):
     orders = payloads.order_rows(s.raw_orders)
-    return mutations.sync_summary(orders, synced_before(orders))
-
-
-def synced_before(orders):
-    """The ledger left by a sync at ``LEDGER_UNTIL``."""
-    earlier = filters.paid_orders(orders.where(F.col("created_at") < moment(LEDGER_UNTIL)))
-    return earlier.select(F.col("id").alias("transaction_id"))
+    return mutations.sync_summary(orders, stored_ledger(s, filters.paid_orders(orders)))
 
 
 @plan("agg_agent_state", "SELECT * FROM state_by_agent")

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom import workspace
 from ledgerloom.operators import aggregates, joins, sets, windows
-from ledgerloom.plans.registry import LEDGER_UNTIL, as_double, plan
-from ledgerloom.schemas import moment
+from ledgerloom.plans.ledger import stored_ledger
+from ledgerloom.plans.registry import as_double, plan
 from ledgerloom.sources import payloads
 
 
@@ -49,8 +49,7 @@ def semi_listed(s):
     WHERE id NOT IN (SELECT id FROM flat_orders WHERE created_at < TIMESTAMP '1998-06-01 00:00:00')""")
 def anti_new_orders(s):
     orders = payloads.order_rows(s.raw_orders)
-    ledger = orders.where(F.col("created_at") < moment(LEDGER_UNTIL)).select(F.col("id").alias("transaction_id"))
-    return joins.not_in_ledger(orders, ledger)
+    return joins.not_in_ledger(orders, stored_ledger(s, orders))
 
 
 @plan("join_anti_new_titles", """

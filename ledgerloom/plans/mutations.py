@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import filters, mutations
-from ledgerloom.plans.aggregates import synced_before
-from ledgerloom.plans.registry import AS_OF_EVENT, as_double, plan
+from ledgerloom.plans.ledger import stored_ledger
+from ledgerloom.plans.registry import AS_OF_EVENT, AS_OF_TXN, as_double, plan
+from ledgerloom.schemas import with_defaults
 from ledgerloom.sources import payloads
 
 
@@ -78,10 +79,22 @@ def updated_at(s):
     FROM sale_rows WHERE id NOT IN (SELECT transaction_id FROM paid_ledger)""")
 def ledger_sync(s):
     orders = payloads.order_rows(s.raw_orders)
-    added = mutations.ledger_sync(orders, synced_before(orders)).drop("id", "product_id")
+    ledger = stored_ledger(s, filters.paid_orders(orders))
+    added = mutations.ledger_sync(orders, ledger).drop("id", "product_id")
     return as_double(added, "amount", "fee", "net")
 
 
+@plan("mut_log_transaction", """
+    SELECT product_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
+           CAST(CASE WHEN type = 'expense' THEN -abs(amount) ELSE amount - fee END AS DOUBLE) AS net, platform, type,
+           description, TIMESTAMP '2001-08-01 00:00:00' AS occurred_at
+    FROM transactions""")
+def log_transaction(s):
+    entries = s.transactions.select("product_id", "amount", "fee", "type", "description", "platform")
+    rows = with_defaults(mutations.logged_rows(entries), "transactions", AS_OF_TXN)
+    return as_double(rows.drop("id", "transaction_id"), "amount", "fee", "net")
+
+
 @plan("mut_log_expense", """
     SELECT CAST(p_retailprice AS DOUBLE) AS amount, 0.0::DOUBLE AS fee, -CAST(p_retailprice AS DOUBLE) AS net,
            CASE WHEN p_size > 25 THEN p_type ELSE 'general' END AS platform, 'expense' AS type, p_name AS description

@@ -65,6 +65,13 @@ def jsonapi_products(s):
     return payloads.store_products(s.raw_products_jsonapi)
 
 
+@plan("src_marketplace_products", """
+    SELECT r->>'$.id' AS id, r->>'$.name' AS name, CAST(r->>'$.is_archived' AS BOOLEAN) AS is_archived
+    FROM (SELECT unnest(json_extract(payload, '$.items[*]')) AS r FROM raw_marketplace_products)""")
+def marketplace_products(s):
+    return payloads.marketplace_products(s.raw_marketplace_products)
+
+
 @plan("src_search_results", """
     SELECT query_id, pos, title, url, coalesce(snippet, '') AS snippet FROM flat_results""")
 def search_results(s):

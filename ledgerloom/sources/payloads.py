@@ -19,6 +19,8 @@ SEARCH = "web struct<results: array<struct<title: string, url: string, descripti
 
 POSTS = "posts array<struct<id: string, title: string, status: string, url: string, published_at: string>>"
 
+MARKETPLACE_PRODUCTS = "items array<struct<id: string, name: string, is_archived: boolean>>"
+
 JSONAPI_ORDER = (
     "status: string, total: bigint, subtotal: bigint, tax: bigint, currency: string, user_email: string, "
     "first_order_item: struct<product_name: string>, created_at: string, refunded: boolean"
@@ -35,13 +37,17 @@ def _time(c: Column) -> Column:
 
 
 def order_rows(payloads: DataFrame) -> DataFrame:
-    """One row per order payload; ``amount`` is in cents."""
-    o = payloads.select(F.from_json("payload", ORDER).alias("o"))
+    """One row per order payload; ``amount`` is in cents.
+
+    ``inline`` keeps the parsed record behind a generator: a later filter on its fields is then not
+    pushed below it, where it would parse every payload again for each field it names.
+    """
+    o = payloads.select(F.inline(F.array(F.from_json("payload", ORDER))))
     return o.select(
-        "o.id", "o.status", "o.amount", "o.currency",
-        F.coalesce("o.customer.email", F.lit("")).alias("customer_email"),
-        F.coalesce("o.product.name", F.lit("")).alias("product_name"),
-        _time(F.col("o.created_at")).alias("created_at"),
+        "id", "status", "amount", "currency",
+        F.coalesce("customer.email", F.lit("")).alias("customer_email"),
+        F.coalesce("product.name", F.lit("")).alias("product_name"),
+        _time(F.col("created_at")).alias("created_at"),
     )
 
 
@@ -81,6 +87,12 @@ def store_products(payloads: DataFrame) -> DataFrame:
     return flatten_jsonapi(payloads, JSONAPI_PRODUCT, fields, {"buy_now_url": ""})
 
 
+def marketplace_products(payloads: DataFrame) -> DataFrame:
+    """The marketplace's own list of products, from ``items[]``."""
+    p = payloads.select(F.inline(F.from_json("payload", MARKETPLACE_PRODUCTS)["items"]))
+    return p.select("id", "name", "is_archived")
+
+
 def search_results(payloads: DataFrame, n: int = 10, missing_snippet: str | None = "") -> DataFrame:
     """The first ``n`` results of each search; ``missing_snippet=None`` keeps absent snippets NULL."""
     results = F.from_json("payload", SEARCH)["web"]["results"]

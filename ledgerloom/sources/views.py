@@ -131,6 +131,10 @@ VIEWS: dict[str, View] = {
            '"}},{"id":"', CAST(p_partkey AS STRING), '-b","attributes":{"name":"', p_brand,
            '","status":"draft"}}]}') AS payload""",
     )),
+    "raw_marketplace_products": View("part", (
+        """concat('{"items":[{"id":"pl_', CAST(p_partkey AS STRING), '","name":"', p_name, '","is_archived":',
+           CASE WHEN p_size > 40 THEN 'true' ELSE 'false' END, '}]}') AS payload""",
+    )),
     "search_payload": View("events", (
         "user_id AS query_id",
         """concat('{"web":{"results":[{"title":"r', CAST(event_id AS STRING), '","url":"https://example.com/',
