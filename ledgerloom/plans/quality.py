@@ -83,6 +83,6 @@ REQUIRED = ("id", "status", "amount", "customer.email", "product.name", "created
     UNION ALL
     SELECT 'market_insights', 'score', count(*) FILTER (score NOT BETWEEN 0 AND 10) FROM market_insights""")
 def required_fields(s):
-    return quality.missing_fields(s.raw_orders, "raw_orders", REQUIRED).unionByName(
+    return quality.missing_fields(s.raw_orders, "raw_orders", payloads.ORDER, REQUIRED).unionByName(
         quality.outside_range(s.market_insights, "market_insights", "score", 0, 10)
     )

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ledgerloom.functions import money
 from ledgerloom.operators import aggregates
 from ledgerloom.operators.filters import has_email, paid_orders
-from ledgerloom.operators.joins import distinct_keys
 from ledgerloom.operators.mutations import sale_rows
 from ledgerloom.operators.windows import first_orders
 from ledgerloom.schemas import FINE_MONEY, TABLES
@@ -56,7 +55,7 @@ def write_new_keys(rows: DataFrame, folder: str, batch_id: int, key: str) -> Non
     the memory: one column of it is read per batch and no stream state has to hold the keys.
     """
     out = _output(rows.sparkSession, folder, rows.schema)
-    seen = distinct_keys(out.where(F.col("batch_id") < batch_id), key, key)
+    seen = out.where((F.col("batch_id") < batch_id) & F.col(key).isNotNull()).select(key)
     write_batch(rows.join(seen, key, "left_anti").select(*rows.columns), folder, batch_id)
 
 
