@@ -133,7 +133,7 @@ def run_rate(s):
 
 @plan("sc_status_line", """
     SELECT concat('[STATUS] Revenue: $', CAST(round(net, 2) AS STRING), ' / $2000000000 (',
-                  CAST(round(CAST(net AS DOUBLE) / 2000000000 * 100, 1) AS STRING), '%) | Products: ',
+                  CAST(CAST(round(CAST(net AS DOUBLE) / 2000000000 * 100, 1) AS DECIMAL(38,1)) AS STRING), '%) | Products: ',
                   CAST((SELECT count(*) FROM products WHERE status = 'listed') AS STRING),
                   ' | Sales: ', CAST(sales AS STRING)) AS line
     FROM ledger_totals""")
@@ -142,7 +142,7 @@ def status_line(s):
         aggregates.totals(s.transactions).select("net", "sales"),
         aggregates.catalog_counts(s.products).select("total_listed"),
     )
-    pct = F.round(pace.percent_of_goal(money.usd(F.col("net")), GOAL), 1)
+    pct = F.round(pace.percent_of_goal(money.usd(F.col("net")), GOAL), 1).cast("decimal(38,1)")
     return parts.select(F.concat(
         F.lit("[STATUS] Revenue: $"), F.round("net", 2).cast("string"), F.lit(f" / ${GOAL} ("),
         pct.cast("string"), F.lit("%) | Products: "), F.col("total_listed").cast("string"),

@@ -90,7 +90,7 @@ def listing_batch(s):
 
 @plan("out_post_batch", """
     SELECT id, title, html, status, tag_list AS tags, meta_description, meta_description AS og_description,
-           CASE WHEN status = 'published' THEN '2024-01-31T00:00:00' END AS published_at FROM articles""")
+           CASE WHEN status = 'published' THEN '2024-01-31T00:00:00+00:00' END AS published_at FROM articles""")
 def post_batch(s):
     articles = s.articles.withColumn("tags", F.split("tag_list", ","))
     bodies = outbox.post_batch(articles, AS_OF_EVENT)

@@ -444,7 +444,7 @@ def test_post_body_leaves_out_what_is_missing(spark):
     a, b = [r.body for r in outbox.post_batch(articles, AS_OF).orderBy("id").collect()]
     assert a == '{"posts":[{"title":"t","html":"<p>","status":"draft"}]}'
     assert b == ('{"posts":[{"title":"t","html":"<p>","status":"published","tags":[{"name":"a"},{"name":"b"}],'
-                 '"meta_description":"m","og_description":"m","published_at":"2024-01-31T00:00:00"}]}')
+                 '"meta_description":"m","og_description":"m","published_at":"2024-01-31T00:00:00+00:00"}]}')
 
 
 # quality
