@@ -29,5 +29,10 @@ def percent_of_goal(net: Column, goal: float) -> Column:
     return net / F.lit(float(goal)) * 100
 
 
+def shown_percent(net: Column, goal: float) -> Column:
+    """Share of the goal to one decimal, full at one hundred."""
+    return F.least(F.lit(100.0), F.round(percent_of_goal(net, goal), 1))
+
+
 def monthly_run_rate(revenue: Column, days: Column) -> Column:
     return F.when(days > 0, revenue / days * 30).otherwise(F.lit(0.0))

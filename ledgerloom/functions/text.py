@@ -9,7 +9,6 @@ ELLIPSIS = "…"
 NO_TIME = "—"
 PAGE_TEXT_CHARS = 10_000
 UNSAFE_IN_FILENAME = "[^a-zA-Z0-9_.-]"
-JSON_ARRAY_IN_TEXT = r"\[[\s\S]*\]"
 
 
 def fmt_money(c: Column) -> Column:
@@ -67,11 +66,19 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def bracketed(text: Column) -> Column:
+    """From the first opening to the last closing bracket; NULL without such a pair."""
+    start = F.instr(text, "[")
+    end = F.char_length(text) - F.char_length(F.substring_index(text, "]", -1))
+    return F.when((start > 0) & (end > start), text.substr(start, end - start + 1))
+
+
 def prompt_list(text: Column) -> Column:
     """The JSON array in a model's answer: the whole text, else its outermost brackets, else empty."""
     items = "array<struct<title: string, prompt: string>>"
-    inner = F.regexp_extract(text, JSON_ARRAY_IN_TEXT, 0)
-    return F.coalesce(F.from_json(text, items), F.from_json(inner, items), F.from_json(F.lit("[]"), items))
+    whole = F.when(text.rlike(r"^\s*\["), F.from_json(text, items))
+    inner = F.from_json(bracketed(text), items)
+    return F.coalesce(whole, inner, F.array().cast(items))
 
 
 def payload_field(payload: Column, name: str) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.text import payload_field
 from ledgerloom.schemas import moment
 
 
@@ -57,13 +56,11 @@ def earning(products: DataFrame) -> DataFrame:
 
 
 def creation_tasks(messages: DataFrame) -> DataFrame:
-    """Messages that ask for a product, with the opportunity they name."""
-    opportunity = payload_field(F.col("payload"), "opportunityId").try_cast("bigint")
-    return (
-        messages.where((F.col("type") == "task") & (payload_field(F.col("payload"), "task") == "create_product"))
-        .withColumn("opportunity_id", opportunity)
-        .where(F.col("opportunity_id") != 0)
-    )
+    """Messages that ask for a product, with the opportunity they name; each payload is parsed once."""
+    fields = F.inline(F.array(F.from_json("payload", "task string, opportunityId string")))
+    tasks = messages.where(F.col("type") == "task").select("*", fields).where(F.col("task") == "create_product")
+    named = tasks.withColumn("opportunity_id", F.col("opportunityId").try_cast("bigint"))
+    return named.where(F.col("opportunity_id") != 0).drop("task", "opportunityId")
 
 
 def has_email(email: Column) -> Column:

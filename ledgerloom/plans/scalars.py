@@ -2,13 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import money, pace, text
-from ledgerloom.operators import aggregates, filters, mutations
+from ledgerloom.functions import money, text
+from ledgerloom.operators import aggregates, filters, mutations, reports
 from ledgerloom.plans.registry import AS_OF_EVENT, AS_OF_TXN, GOAL, HORIZON, START, as_double, plan
 from ledgerloom.schemas import moment
 from ledgerloom.sources import payloads
 
-# Fixed value: the offer made to a lead. Its address is a parameter.
 OFFER_URL = "https://example.com/prompt-pack"
 
 
@@ -57,10 +56,6 @@ def insight_score(s):
     return s.opportunities.select("id", mutations.insight_score(F.col("estimated_revenue")).alias("score"))
 
 
-def _net(s):
-    return aggregates.totals(s.transactions).select(money.usd(F.col("net")).alias("net"))
-
-
 @plan("sc_goal_pace_finance", """
     SELECT e AS days_elapsed, greatest(0, 60 - e) AS days_remaining, net AS earned, 2000000000.0 - net AS remaining,
            CASE WHEN 60 - e > 0 THEN (2000000000.0 - net) / (60 - e) ELSE 0.0 END AS required_daily_rate,
@@ -69,20 +64,7 @@ def _net(s):
                  CAST(date_sub('second', TIMESTAMP '2001-07-01 00:00:00', TIMESTAMP '2001-08-01 00:00:00') // 86400
                       AS BIGINT) AS e FROM ledger_totals)""")
 def goal_pace_finance(s):
-    return finance_pace(_net(s), START, AS_OF_TXN, GOAL, HORIZON)
-
-
-def finance_pace(net_row, start, as_of, goal, horizon):
-    """Goal pace with the days as they are, zero and negative included."""
-    net, days, left = F.col("net"), F.col("days_elapsed"), F.col("days_remaining")
-    rows = net_row.withColumn("days_elapsed", pace.whole_days(moment(start), moment(as_of)))
-    rows = rows.withColumn("days_remaining", pace.days_left(days, horizon))
-    daily = net / F.greatest(F.lit(1).cast("bigint"), days)
-    return rows.select(
-        days, left, net.alias("earned"), (F.lit(float(goal)) - net).alias("remaining"),
-        pace.required_daily(net, goal, left).alias("required_daily_rate"),
-        pace.on_track(daily, goal, horizon).alias("on_track"),
-    )
+    return reports.finance_pace(s.transactions, START, AS_OF_TXN, GOAL, HORIZON)
 
 
 @plan("sc_goal_pace_analytics", """
@@ -95,21 +77,7 @@ def finance_pace(net_row, start, as_of, goal, horizon):
               date_sub('second', TIMESTAMP '2001-07-01 00:00:00', TIMESTAMP '2001-08-01 00:00:00') // 86400
               AS BIGINT)) AS e FROM ledger_totals)""")
 def goal_pace_analytics(s):
-    return analytics_pace(_net(s), START, AS_OF_TXN, GOAL, HORIZON)
-
-
-def analytics_pace(net_row, start, as_of, goal, horizon):
-    """Goal pace counting at least one day, with the actual rate and the share reached."""
-    net, days, left = F.col("net"), F.col("days_elapsed"), F.col("days_remaining")
-    elapsed = F.greatest(F.lit(1).cast("bigint"), pace.whole_days(moment(start), moment(as_of)))
-    rows = net_row.withColumn("days_elapsed", elapsed)
-    rows = rows.withColumn("days_remaining", pace.days_left(days, horizon))
-    return rows.select(
-        days, left, net.alias("earned_net"), (F.lit(float(goal)) - net).alias("remaining"),
-        pace.required_daily(net, goal, left).alias("required_daily_rate"),
-        (net / days).alias("actual_daily_rate"), pace.on_track(net / days, goal, horizon).alias("on_track"),
-        pace.percent_of_goal(net, goal).alias("pct_complete"),
-    )
+    return reports.analytics_pace(s.transactions, START, AS_OF_TXN, GOAL, HORIZON)
 
 
 @plan("sc_run_rate", """
@@ -120,15 +88,7 @@ def analytics_pace(net_row, start, as_of, goal, horizon):
                               AS BIGINT) FROM products) AS days_running
           FROM transactions WHERE type = 'sale')""")
 def run_rate(s):
-    parts = aggregates.one_row(
-        aggregates.sales_total(s.transactions).select(money.usd(F.col("revenue")).alias("revenue")),
-        aggregates.days_running(s.products, AS_OF_EVENT).select("days_running"),
-    )
-    revenue = F.col("revenue")
-    return parts.select(
-        revenue, "days_running", pace.monthly_run_rate(revenue, F.col("days_running")).alias("run_rate"),
-        F.least(F.lit(100.0), F.round(pace.percent_of_goal(revenue, GOAL), 1)).alias("pct"),
-    )
+    return reports.run_rate(s.transactions, s.products, GOAL, AS_OF_EVENT)
 
 
 @plan("sc_status_line", """
@@ -138,16 +98,7 @@ def run_rate(s):
                   ' | Sales: ', CAST(sales AS STRING)) AS line
     FROM ledger_totals""")
 def status_line(s):
-    parts = aggregates.one_row(
-        aggregates.totals(s.transactions).select("net", "sales"),
-        aggregates.catalog_counts(s.products).select("total_listed"),
-    )
-    pct = F.round(pace.percent_of_goal(money.usd(F.col("net")), GOAL), 1).cast("decimal(38,1)")
-    return parts.select(F.concat(
-        F.lit("[STATUS] Revenue: $"), F.round("net", 2).cast("string"), F.lit(f" / ${GOAL} ("),
-        pct.cast("string"), F.lit("%) | Products: "), F.col("total_listed").cast("string"),
-        F.lit(" | Sales: "), F.col("sales").cast("string"),
-    ).alias("line"))
+    return reports.status_line(s.transactions, s.products, GOAL)
 
 
 @plan("sc_fmt_money", """
@@ -234,16 +185,4 @@ def json_encode(s):
            concat(niche, ' how to guide best tools') AS search_query
     FROM leads WHERE niche <> ''""")
 def lead_offer(s):
-    return lead_offers(filters.valid_leads(s.leads), OFFER_URL)
-
-
-def lead_offers(leads, url):
-    """The paid offer and the keyword search that go with a lead's niche."""
-    niche = F.col("niche")
-    return leads.select(
-        "id", F.concat(F.lit("Get 50 More "), niche, F.lit(" Prompts + Templates")).alias("headline"),
-        F.lit("The full pack includes 50 tested prompts, 5 workflow templates, and a quick-start guide.")
-        .alias("description"),
-        F.lit("$17").alias("price"), F.lit(url).alias("url"), F.lit("Get the Full Pack — $17").alias("cta"),
-        F.concat(niche, F.lit(" how to guide best tools")).alias("search_query"),
-    )
+    return reports.lead_offers(filters.valid_leads(s.leads), OFFER_URL)

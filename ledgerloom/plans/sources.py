@@ -14,11 +14,11 @@ def tables(s):
 
 @plan("src_tables_opportunities", """
     SELECT id, type, title, description, CAST(estimated_revenue AS DOUBLE) AS estimated_revenue,
-           CAST(effort_hours AS DOUBLE) AS effort_hours, status, platform, CAST(NULL AS STRING) AS platform_id,
-           CAST(NULL AS STRING) AS platform_url, created_at, CAST(NULL AS TIMESTAMP) AS updated_at, metadata
+           CAST(effort_hours AS DOUBLE) AS effort_hours, status, platform, created_at, metadata
     FROM opportunities""")
-def opportunities(s):
-    return as_double(s.opportunities, "estimated_revenue", "effort_hours")
+def all_opportunities(s):
+    opportunities = s.opportunities.drop("platform_id", "platform_url", "updated_at")
+    return as_double(opportunities, "estimated_revenue", "effort_hours")
 
 
 @plan("src_tables_products", """

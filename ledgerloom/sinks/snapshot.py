@@ -46,7 +46,7 @@ def snapshot(
     revenue = money.usd(F.col("revenue"))
     return parts.select(
         revenue.alias("revenue"), "sales", F.lit(float(goal)).alias("goal"),
-        F.least(F.lit(100.0), F.round(pace.percent_of_goal(revenue, goal), 1)).alias("pct"),
+        pace.shown_percent(revenue, goal).alias("pct"),
         pace.monthly_run_rate(revenue, F.col("days_running")).alias("run_rate"),
         "days_running", "total_listed", "total_draft", money.usd(F.col("potential_gmv")).alias("potential_gmv"),
         F.col("open").alias("opp_open"), F.col("completed").alias("opp_completed"),

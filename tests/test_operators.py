@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import workspace
 from ledgerloom.functions import money, pace, text
-from ledgerloom.operators import aggregates, feeds, filters, joins, mutations, quality, sets, windows
-from ledgerloom.plans.scalars import analytics_pace, finance_pace
+from ledgerloom.operators import aggregates, feeds, filters, joins, mutations, quality, reports, sets, windows
 from ledgerloom.schemas import DEFAULTS, TABLES, conform, moment, with_defaults
 from ledgerloom.sinks import outbox, tables
 from ledgerloom.sources import payloads
@@ -100,21 +99,28 @@ def test_net_amount_by_kind(spark):
     assert [float(r[0]) for r in df.select(net).collect()] == [9.0, -11.0, -10.0, -10.0]
 
 
+def earned(spark, net):
+    return rows(spark, "transactions", dict(id=1, type="sale", net=Decimal(net)))
+
+
+def test_status_line(spark):
+    line = reports.status_line(earned(spark, -12345678), empty(spark, "products"), 20).first().line
+    assert line == "[STATUS] Revenue: $-12345678.00 / $20 (-61728390.0%) | Products: 0 | Sales: 1"
+
+
 @pytest.mark.parametrize("as_of,elapsed,left", [
     ("2001-06-29 12:00:00", -2, 62), ("2001-07-01 00:00:00", 0, 60), ("2001-07-31 23:59:59", 30, 30),
     ("2001-10-01 00:00:00", 92, 0),
 ])
 def test_finance_pace_keeps_the_days(spark, as_of, elapsed, left):
-    net = spark.range(1).select(F.lit(1000.0).alias("net"))
-    r = finance_pace(net, "2001-07-01 00:00:00", as_of, 20000, 60).first()
+    r = reports.finance_pace(earned(spark, 1000), "2001-07-01 00:00:00", as_of, 20000, 60).first()
     assert (r.days_elapsed, r.days_remaining) == (elapsed, left)
     assert r.required_daily_rate == pytest.approx(19000 / left if left else 0)
     assert r.on_track == (1000 / max(1, elapsed) >= 20000 / 60)
 
 
 def test_analytics_pace_counts_at_least_a_day(spark):
-    net = spark.range(1).select(F.lit(1000.0).alias("net"))
-    r = analytics_pace(net, "2001-07-01 00:00:00", "2001-06-29 00:00:00", 20000, 60).first()
+    r = reports.analytics_pace(earned(spark, 1000), "2001-07-01 00:00:00", "2001-06-29 00:00:00", 20000, 60).first()
     assert (r.days_elapsed, r.days_remaining, r.actual_daily_rate, r.pct_complete) == (1, 59, 1000.0, 5.0)
 
 
@@ -156,7 +162,7 @@ def test_html_text_is_whole_and_excerpt_is_cut(spark):
 
 @pytest.mark.parametrize("answer,titles", [
     ('[{"title":"a","prompt":"p"}]', ["a"]), ('Sure!\n[{"title":"a","prompt":"p"},\n{"title":"b"}]\nBye', ["a", "b"]),
-    ("no list", []), ("[broken", []), ("text [not json] text", []), (None, []),
+    ("no list", []), ("[broken", []), ("a ] b [ c", []), ('x [1] é [{"title":"a"}] y', []), ('é [{"title":"é"}] ü', ["é"]), ("text [not json] text", []), (None, []),
 ])
 def test_prompt_list(spark, answer, titles):
     df = spark.createDataFrame([(answer,)], "t string")
