@@ -159,7 +159,8 @@ def store_summary(paid_orders: DataFrame) -> DataFrame:
     return sums.select(
         "total_orders",
         (F.col("cents") / 100).alias("gross_revenue_usd"),
-        (F.col("cents") * (100 - money.STORE_KEEPS_PERCENT) / 10000).alias("net_revenue_usd"),
+        (money.usd(F.col("cents").cast("decimal(20,0)") * (100 - money.STORE_KEEPS_PERCENT)) / 10000)
+        .alias("net_revenue_usd"),
     )
 
 

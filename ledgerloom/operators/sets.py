@@ -20,15 +20,13 @@ def topics(searched: DataFrame, feed: DataFrame | None) -> DataFrame:
 
     Without a feed the search titles stand alone, and the default topics stand in for no titles.
     """
-    spark = searched.sparkSession
     found = searched.where(F.col("title") != "").select(F.col("title").alias("topic"), F.lit(SEARCH).alias("source"))
     if feed is not None:
         found = found.unionByName(feed.select(F.col("title").alias("topic"), F.lit(FEED).alias("source")))
     else:
-        defaults = spark.createDataFrame([(t,) for t in DEFAULT_TOPICS], "topic string")
-        found = found.unionByName(
-            defaults.withColumn("source", F.lit(DEFAULT)).where(~found.exists())
-        )
+        topic = F.explode(F.array(*[F.lit(t) for t in DEFAULT_TOPICS])).alias("topic")
+        defaults = searched.sparkSession.range(1).select(topic, F.lit(DEFAULT).alias("source"))
+        found = found.unionByName(defaults.where(~found.exists()))
     return found.groupBy("topic").agg(F.min("source").alias("source"))
 
 

@@ -32,6 +32,13 @@ def append_messages(s):
     return sent.select("from_agent", "to_agent", "type", "read", opportunity, "created_at")
 
 
+@plan("sink_rewrite", "SELECT id, from_agent, to_agent, type, payload, read, created_at FROM agent_messages")
+def rewrite(s):
+    root = workspace.new_folder(s.spark, "rewrite")
+    tables.rewrite(s.agent_messages, root, "agent_messages")
+    return load(s.spark, root, "agent_messages")
+
+
 def _titles(column, field):
     return F.array_join(F.col(f"{column}.{field}").cast("array<string>"), "|").alias(column)
 

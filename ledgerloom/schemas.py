@@ -70,6 +70,15 @@ NOT_NULL: dict[str, tuple[str, ...]] = {
     "market_insights": ("category", "title", "data"),
 }
 
+# Leading columns are those that lookups and filters use; the rest tells rows of one value apart.
+CLUSTERING: dict[str, tuple[str, ...]] = {
+    "opportunities": ("status", "id"),
+    "products": ("status", "id"),
+    "transactions": ("occurred_at", "transaction_id", "id"),
+    "agent_messages": ("to_agent", "read", "id"),
+    "market_insights": ("category", "score", "id"),
+}
+
 OPPORTUNITY_TYPES = ("digital_product", "freelance", "affiliate", "service")
 INSIGHT_CATEGORIES = ("trend", "competitor", "keyword", "niche")
 DASHBOARD_AGENTS = ("scanner", "content", "sales", "blog", "analytics")

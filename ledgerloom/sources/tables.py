@@ -35,6 +35,10 @@ DRIVER_TABLES: dict[str, T.StructType] = {
 }
 
 
+# A backlog is worked off in batches of this many files, each with its own commit.
+FILES_PER_BATCH = 1000
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Scan domain table ``name`` stored as Parquet under ``root``, with its declared schema."""
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
@@ -45,11 +49,11 @@ def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(DRIVER_TABLES[name]).parquet(f"{root}/{name}.parquet")
 
 
-def scan_stream(spark: SparkSession, root: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+def scan_stream(
+    spark: SparkSession, root: str, name: str, files_per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
     """Stream a driver table, stored as one Parquet file or as a folder of them."""
-    reader = spark.readStream.schema(DRIVER_TABLES[name])
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(DRIVER_TABLES[name]).option("maxFilesPerTrigger", files_per_batch)
     path = f"{root}/{name}.parquet"
     if os.path.isfile(path):
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
@@ -75,5 +79,5 @@ class Shop:
             return scan(self.spark, self.root, name)
         raise AttributeError(name)
 
-    def stream(self, view: str, files_per_batch: int | None = None) -> DataFrame:
+    def stream(self, view: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
         return derive(scan_stream(self.spark, self.root, VIEWS[view].table, files_per_batch), view)

@@ -184,10 +184,11 @@ def payload(spark, *texts, **keys):
 def test_order_fields_default(spark):
     got = payloads.order_rows(payload(
         spark, '{"id":"a","status":"paid","amount":5,"created_at":"2024-01-01 10:00:00"}', "not json",
-        '{"id":"b","customer":{},"created_at":"never"}',
+        '{"id":"b","customer":{},"created_at":"never"}', None,
     )).collect()
-    assert [(r.id, r.customer_email, r.product_name) for r in got] == [("a", "", ""), (None, "", ""), ("b", "", "")]
-    assert [r.created_at is None for r in got] == [False, True, True]
+    assert [(r.id, r.customer_email, r.product_name) for r in got] == [
+        ("a", "", ""), (None, "", ""), ("b", "", ""), (None, "", "")]
+    assert [r.created_at is None for r in got] == [False, True, True, True]
 
 
 def test_paid_is_a_substring_unless_strict(spark):
@@ -430,6 +431,19 @@ def test_append_fills_defaults(spark, folder, name):
         assert {r[column] for r in stored.collect()} == {value}
 
 
+def test_rewritten_files_cover_narrow_ranges(spark, folder):
+    box = messages(spark, *[(("a", "b", None)[i % 3], "{}", i % 2) for i in range(900)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.rewrite(box, folder, "agent_messages")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = load(spark, folder, "agent_messages")
+    assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in box.collect()}
+    files = stored.groupBy(F.input_file_name().alias("f")).agg(F.collect_set("to_agent").alias("boxes"))
+    assert files.count() > 1 and max(len(r.boxes) for r in files.collect()) <= 2
+
+
 def test_given_values_beat_defaults(spark):
     given = spark.createDataFrame([(1, "listed"), (2, None)], "id long, status string")
     got = with_defaults(given, "products", AS_OF).orderBy("id").collect()
