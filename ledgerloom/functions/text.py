@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 ELLIPSIS = "…"
 NO_TIME = "—"
 PAGE_TEXT_CHARS = 10_000
+# Fixed value: white space as web pages know it, as a character class.
+SPACE = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 UNSAFE_IN_FILENAME = "[^a-zA-Z0-9_.-]"
 
 
@@ -50,7 +52,11 @@ def day_label(day: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """All text of a page: tags out, runs of space collapsed."""
     no_tags = F.regexp_replace(html, "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(no_tags, r"\s+", " "))
+    return F.trim(F.regexp_replace(no_tags, f"{SPACE}+", " "))
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def page_excerpt(html: Column, chars: int = PAGE_TEXT_CHARS) -> Column:

@@ -139,10 +139,10 @@ def day_label(s):
     return daily.select("date", text.day_label(F.col("date")).alias("label"))
 
 
-@plan("sc_html_to_text", r"""
+@plan("sc_html_to_text", rf"""
     SELECT page_id, body, substring(body, 1, 10000) AS excerpt
-    FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body
-          FROM pages)""")
+    FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{text.SPACE}+', ' ', 'g'))
+              AS body FROM pages)""")
 def html_to_text(s):
     html = F.col("html")
     return s.pages.select(

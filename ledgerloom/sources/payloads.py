@@ -10,6 +10,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.text import strip
+
 ORDER = (
     "id string, status string, amount bigint, currency string, customer struct<email: string>, "
     "product struct<name: string>, created_at string"
@@ -120,4 +122,4 @@ def feed_titles(feeds: DataFrame, n: int = 9) -> DataFrame:
     """Item titles of each feed: the first title names the channel and is skipped."""
     titles = F.regexp_extract_all("body", F.lit(FEED_TITLE), F.lit(1))
     t = feeds.select("feed_id", F.posexplode(F.slice(titles, 2, n)).alias("pos", "title"))
-    return t.withColumn("title", F.trim("title"))
+    return t.withColumn("title", strip(F.col("title")))

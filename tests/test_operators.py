@@ -214,7 +214,7 @@ def test_posts_page(spark):
 
 
 def test_feed_skips_the_channel_and_keeps_nine(spark):
-    titles = "".join(f"<title><![CDATA[ t{i} ]]></title>" for i in range(15))
+    titles = "".join(f"<title><![CDATA[\n t{i}\u00a0]]></title>" for i in range(15))
     df = spark.createDataFrame([(1, titles), (2, "<title>plain</title>")], "feed_id int, body string")
     assert [r.title for r in payloads.feed_titles(df).collect()] == [f"t{i}" for i in range(1, 10)]
 
