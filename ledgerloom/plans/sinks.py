@@ -57,8 +57,7 @@ def _titles(column, field):
         (SELECT CAST(sum(price) AS DOUBLE) FROM products WHERE status = 'listed') AS potential_gmv,
         (SELECT count(*) FROM opportunities WHERE status IN ('pending', 'in_progress')) AS opp_open,
         (SELECT count(*) FROM opportunities WHERE status = 'listed') AS opp_completed,
-        (SELECT string_agg(CAST(run_count AS STRING), '|' ORDER BY agent_id) FROM state_by_agent
-         WHERE agent_id IN ('scanner', 'content', 'sales', 'blog', 'analytics')) AS agents,
+        (SELECT string_agg(CAST(run_count AS STRING), '|' ORDER BY agent_id) FROM state_by_agent) AS agents,
         (SELECT string_agg(title, '|' ORDER BY created_at DESC, id)
          FROM (SELECT * FROM products ORDER BY created_at DESC, id LIMIT 10)) AS recent_products,
         (SELECT string_agg(title, '|' ORDER BY created_at DESC, id)

@@ -77,11 +77,13 @@ CLUSTERING: dict[str, tuple[str, ...]] = {
     "transactions": ("occurred_at", "transaction_id", "id"),
     "agent_messages": ("to_agent", "read", "id"),
     "market_insights": ("category", "score", "id"),
+    "agent_state": ("agent_id",),
+    "daily_metrics": ("date",),
 }
 
 OPPORTUNITY_TYPES = ("digital_product", "freelance", "affiliate", "service")
 INSIGHT_CATEGORIES = ("trend", "competitor", "keyword", "niche")
-DASHBOARD_AGENTS = ("scanner", "content", "sales", "blog", "analytics")
+AGENTS = ("scanner", "content", "sales", "blog", "analytics", "finance")  # those that keep a state
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

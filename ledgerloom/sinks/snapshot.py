@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import money, pace
 from ledgerloom.operators import aggregates, feeds
-from ledgerloom.schemas import DASHBOARD_AGENTS
+from ledgerloom.schemas import AGENTS
 
 
 def rows_as_list(limited: DataFrame, name: str, rank: list[Column], *fields: str) -> DataFrame:
@@ -22,17 +22,17 @@ def snapshot(
 ) -> DataFrame:
     """One row: the figures and the lists of the dashboard.
 
-    Lists come from limited feeds, and agents from the fixed set the dashboard shows, so each list
-    is of bounded size.
+    Lists come from limited feeds, and agents from the fixed set of those that keep a state, so each
+    list is of bounded size.
     """
     newest_first = [-F.unix_micros("created_at"), F.col("id")]
-    shown = agents.where(F.col("agent_id").isin(*DASHBOARD_AGENTS))
+    known = agents.where(F.col("agent_id").isin(*AGENTS))
     parts = aggregates.one_row(
         aggregates.sales_total(tx).select("revenue", "sales"),
         aggregates.catalog_counts(products),
         aggregates.days_running(products, as_of).select("days_running"),
         aggregates.opportunity_counts(opportunities),
-        rows_as_list(shown, "agents", [F.col("agent_id")],
+        rows_as_list(known, "agents", [F.col("agent_id")],
                      "agent_id", "last_run", "run_count", "status", "current_task"),
         rows_as_list(feeds.recent_products(products), "recent_products", newest_first,
                      "title", "price", "status", "platform", "platform_url", "created_at"),

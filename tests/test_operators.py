@@ -444,6 +444,13 @@ def test_rewritten_files_cover_narrow_ranges(spark, folder):
     assert files.count() > 1 and max(len(r.boxes) for r in files.collect()) <= 2
 
 
+@pytest.mark.parametrize("name", sorted(TABLES))
+def test_rewritten_tables_read_back(spark, folder, name):
+    tables.rewrite(empty(spark, name), folder, name)
+    stored = load(spark, folder, name)
+    assert stored.count() == 0 and stored.schema == TABLES[name]
+
+
 def test_given_values_beat_defaults(spark):
     given = spark.createDataFrame([(1, "listed"), (2, None)], "id long, status string")
     got = with_defaults(given, "products", AS_OF).orderBy("id").collect()
