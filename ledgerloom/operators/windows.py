@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 ROW_BITS = 33
 
 
-def keep_first(orders: DataFrame, key: str = "id", order: tuple[str, ...] = ()) -> DataFrame:
+def keep_first(orders: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     """One row per key: the first by ``order``, remaining columns breaking ties.
 
     A minimum over a struct is aggregated before the shuffle, so a key that fills a third of the

@@ -52,11 +52,19 @@ def write_new_keys(rows: DataFrame, folder: str, batch_id: int, key: str) -> Non
 
     ``rows`` must have one row per key. Only batches before this one are read, so a retried batch
     does not see its own first attempt. Keys may repeat after any time, so the output itself is
-    the memory: one column of it is read per batch and no stream state has to hold the keys.
+    the memory, and no stream state has to hold the keys.
+
+    The batch is staged first, so that Spark knows its size: the keys of earlier batches, one column
+    and by far the larger side, are narrowed to those of this batch by a broadcast of a small batch,
+    and are shuffled only for a large one.
     """
-    out = _output(rows.sparkSession, folder, rows.schema)
-    seen = out.where((F.col("batch_id") < batch_id) & F.col(key).isNotNull()).select(key)
-    write_batch(rows.join(seen, key, "left_anti").select(*rows.columns), folder, batch_id)
+    spark = rows.sparkSession
+    staged = f"{folder}/staged/batch_id={batch_id}"
+    rows.write.mode("overwrite").parquet(staged)
+    batch = spark.read.schema(rows.schema).parquet(staged)
+    earlier = _output(spark, folder, rows.schema).where(F.col("batch_id") < batch_id).select(key)
+    known = earlier.join(batch.select(key), key, "left_semi")
+    write_batch(batch.join(known, key, "left_anti").select(*rows.columns), folder, batch_id)
 
 
 def mailbox(messages: DataFrame, agent: str, folder: str) -> DataFrame:
@@ -105,7 +113,10 @@ def agent_state(runs: DataFrame, folder: str) -> DataFrame:
 
 
 def daily_sales(purchases: DataFrame, folder: str, lateness: str = "1 day") -> DataFrame:
-    """Sales and revenue per day of (``at``, ``value``); the state is one row per day."""
+    """Sales and revenue per day of (``at``, ``value``); the state is one row per day.
+
+    Every day is kept and reported, so a sale counts however late it arrives.
+    """
     days = (
         purchases.withWatermark("at", lateness)
         .groupBy(F.window("at", "1 day").alias("day"))

@@ -80,6 +80,21 @@ def test_a_retried_batch_writes_the_same_rows(spark, folder):
         assert as_set(out.drop("batch_id")) == as_set(rows) and out.count() == rows.count()
 
 
+def test_history_is_not_shuffled_for_a_small_batch(spark, folder):
+    rows = spark.range(50_000).withColumn("v", F.lit(1))
+    rows.limit(0).write.parquet(f"{folder}/out/batch_id={jobs.BEFORE_ANY_BATCH}")
+    jobs.write_new_keys(rows, folder, 0, "id")
+    seen = []
+    write, jobs.write_batch = jobs.write_batch, lambda df, *_: seen.append(df)
+    try:
+        jobs.write_new_keys(spark.range(49_990, 50_005).withColumn("v", F.lit(2)), folder, 1, "id")
+    finally:
+        jobs.write_batch = write
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert sorted(r.id for r in seen[0].collect()) == list(range(50_000, 50_005))
+
+
 def test_agent_state_over_files(spark, folder):
     shop = Shop(spark, ROOT)
     split_files(shop.events, f"{folder}/in")
