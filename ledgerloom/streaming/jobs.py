@@ -58,6 +58,8 @@ def write_new_keys(rows: DataFrame, folder: str, batch_id: int, key: str) -> Non
     and by far the larger side, are narrowed to those of this batch by a broadcast of a small batch,
     and are shuffled only for a large one.
     """
+    if batch_id == 0:
+        return write_batch(rows, folder, batch_id)
     spark = rows.sparkSession
     staged = f"{folder}/staged/batch_id={batch_id}"
     rows.write.mode("overwrite").parquet(staged)
