@@ -51,9 +51,9 @@ def products_listed(products: DataFrame, published: DataFrame, as_of: str) -> Da
         F.col("product_id").alias("id"), F.col("platform_id").alias("new_platform_id"),
         F.col("platform_url").alias("new_platform_url"), F.col("title").alias("new_title"),
         F.col("description").alias("new_description"),
-        money.cents_to_amount(F.col("price_cents")).alias("new_price"),
+        money.cents_to_amount(F.col("price_cents")).alias("new_price"), F.lit(True).alias("changed"),
     )
-    changed = F.col("new_platform_id").isNotNull()
+    changed = F.coalesce("changed", F.lit(False))
     joined = products.join(listing, "id", "left")
     replaced = ("platform_id", "platform_url", "title", "description", "price")
     return joined.withColumns(

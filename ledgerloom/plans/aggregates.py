@@ -73,7 +73,7 @@ def first_created(s):
            greatest(0, CAST(coalesce(sum(amount - (amount * 4) // 100 - 40), 0) AS DOUBLE) / 100) AS net_revenue_usd
     FROM marketplace_paid""")
 def marketplace_summary(s):
-    return agg.marketplace_summary(filters.paid_orders(payloads.order_rows(s.raw_orders)))
+    return agg.marketplace_summary(filters.paid_orders(payloads.order_rows(s.raw_orders, "status", "amount")))
 
 
 @plan("agg_store_summary", """
@@ -91,8 +91,8 @@ def store_summary(s):
            greatest(0, CAST(sum(amount - (amount * 4) // 100 - 40) AS DOUBLE) / 100) AS net
     FROM marketplace_paid""")
 def sync_summary(s):
-    orders = payloads.order_rows(s.raw_orders)
-    return mutations.sync_summary(orders, stored_ledger(s, filters.paid_orders(orders)))
+    ledger = stored_ledger(s, filters.paid_orders(payloads.order_rows(s.raw_orders)))
+    return mutations.sync_summary(payloads.order_rows(s.raw_orders, "id", "status", "amount"), ledger)
 
 
 @plan("agg_agent_state", "SELECT * FROM state_by_agent")

@@ -47,15 +47,14 @@ def recent_window(s):
 
 @plan("flt_paid_substring", "SELECT id, status, amount, created_at FROM marketplace_paid")
 def paid_substring(s):
-    orders = filters.paid_orders(payloads.order_rows(s.raw_orders))
-    return orders.select("id", "status", "amount", "created_at")
+    return filters.paid_orders(payloads.order_rows(s.raw_orders, "id", "status", "amount", "created_at"))
 
 
 @plan("flt_paid_strict", """
     SELECT id, status, amount, created_at FROM flat_orders WHERE status IN ('OrderStatus.PAID', 'succeeded')""")
 def paid_strict(s):
-    orders = filters.paid_orders(payloads.order_rows(s.raw_orders), strict=True)
-    return orders.select("id", "status", "amount", "created_at")
+    orders = payloads.order_rows(s.raw_orders, "id", "status", "amount", "created_at")
+    return filters.paid_orders(orders, strict=True)
 
 
 @plan("flt_paid_exact", """

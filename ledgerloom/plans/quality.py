@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ledgerloom.operators import filters, quality
 from ledgerloom.plans.registry import plan
@@ -58,7 +58,7 @@ def orphans(s):
 
 @plan("dq_unique_key", "SELECT id, count(*) AS n FROM flat_orders GROUP BY id HAVING count(*) > 1")
 def unique_key(s):
-    return quality.repeated_keys(s.raw_orders.select(F.get_json_object("payload", "$.id").alias("id")), "id")
+    return quality.repeated_keys(payloads.order_rows(s.raw_orders, "id"), "id")
 
 
 @plan("dq_enum", """

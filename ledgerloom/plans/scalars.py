@@ -18,7 +18,7 @@ OFFER_URL = "https://example.com/prompt-pack"
 def fee_decimal(s):
     amount = money.cents_to_amount(F.col("amount"))
     fee = money.order_fee(amount)
-    orders = payloads.order_rows(s.raw_orders)
+    orders = payloads.order_rows(s.raw_orders, "id", "amount")
     return as_double(
         orders.select("id", amount.alias("amount"), fee.alias("fee"), (amount - fee).alias("net")),
         "amount", "fee", "net",
@@ -27,7 +27,7 @@ def fee_decimal(s):
 
 @plan("sc_fee_cents", "SELECT id, amount, amount - (amount * 4) // 100 - 40 AS net_cents FROM flat_orders")
 def fee_cents(s):
-    return payloads.order_rows(s.raw_orders).select(
+    return payloads.order_rows(s.raw_orders, "id", "amount").select(
         "id", "amount", money.net_cents(F.col("amount")).alias("net_cents")
     )
 

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.text import strip
 
-ORDER = (
-    "id string, status string, amount bigint, currency string, customer struct<email: string>, "
-    "product struct<name: string>, created_at string"
-)
+ORDER_FIELDS = {
+    "id": "string", "status": "string", "amount": "bigint", "currency": "string",
+    "customer": "struct<email: string>", "product": "struct<name: string>", "created_at": "string",
+}
+ORDER = ", ".join(f"{name} {kind}" for name, kind in ORDER_FIELDS.items())
 
 SEARCH = "web struct<results: array<struct<title: string, url: string, description: string>>>"
 
@@ -38,19 +39,23 @@ def _time(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
-def order_rows(payloads: DataFrame) -> DataFrame:
-    """One row per order payload; ``amount`` is in cents.
+def order_rows(payloads: DataFrame, *columns: str) -> DataFrame:
+    """One row per order payload, all columns or the named ones; ``amount`` is in cents.
 
     ``inline`` keeps the parsed record behind a generator: a later filter on its fields is then not
-    pushed below it, where it would parse every payload again for each field it names.
+    pushed below it, where it would parse every payload again for each field it names. Pruning does
+    not reach below it either, so name the columns where only some are needed.
     """
-    o = payloads.select(F.inline(F.array(F.from_json("payload", ORDER))))
-    return o.select(
-        "id", "status", "amount", "currency",
-        F.coalesce("customer.email", F.lit("")).alias("customer_email"),
-        F.coalesce("product.name", F.lit("")).alias("product_name"),
-        _time(F.col("created_at")).alias("created_at"),
-    )
+    values = {c: F.col(c) for c in ("id", "status", "amount", "currency")} | {
+        "customer_email": F.coalesce("customer.email", F.lit("")),
+        "product_name": F.coalesce("product.name", F.lit("")),
+        "created_at": _time(F.col("created_at")),
+    }
+    columns = columns or tuple(values)
+    nested = {"customer_email": "customer", "product_name": "product"}
+    parsed = ", ".join(f"{name} {ORDER_FIELDS[name]}" for name in (nested.get(c, c) for c in columns))
+    o = payloads.select(F.inline(F.array(F.from_json("payload", parsed))))
+    return o.select(*[values[c].alias(c) for c in columns])
 
 
 def flatten_jsonapi(
