@@ -65,6 +65,17 @@ def not_in_ledger(orders: DataFrame, ledger: DataFrame) -> DataFrame:
     return orders.join(known, "id", "left_anti")
 
 
+def new_keys(batch: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """Rows of ``batch``, one per ``key``, whose key ``history`` does not have.
+
+    ``batch`` is a stored table, so Spark knows its size. The keys of the history, by far the larger
+    side, are first narrowed to those of the batch: by a broadcast if the batch is small, so that the
+    history is scanned and not shuffled, and by a shuffle join otherwise.
+    """
+    known = history.select(key).join(batch.select(key), key, "left_semi")
+    return batch.join(known, key, "left_anti").select(*batch.columns)
+
+
 def new_titles(found: DataFrame, known: DataFrame) -> DataFrame:
     """Found opportunities of unknown title, the lowest id per title."""
     columns = [c for c in found.columns if c not in ("id", "title")]

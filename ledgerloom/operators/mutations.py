@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions import money
 from ledgerloom.functions.text import not_empty
 from ledgerloom.operators.filters import paid_orders
-from ledgerloom.operators.joins import distinct_keys, new_titles, not_in_ledger
+from ledgerloom.operators.joins import distinct_keys, new_keys, new_titles, not_in_ledger
 from ledgerloom.operators.windows import first_orders
 from ledgerloom.schemas import FINE_MONEY, MONEY, TABLES, conform, moment
+from ledgerloom.sinks.tables import stage
 
 
 def touch(changed: Column, as_of: str) -> Column:
@@ -92,6 +93,15 @@ def ledger_sync(orders: DataFrame, ledger: DataFrame) -> DataFrame:
     return sale_rows(not_in_ledger(first_orders(paid_orders(orders)), ledger))
 
 
+def ledger_sync_batch(orders: DataFrame, ledger: DataFrame, folder: str) -> DataFrame:
+    """``ledger_sync`` for orders that are few beside the ledger, which is then not shuffled.
+
+    The ledger rows of the orders are staged in ``folder``.
+    """
+    batch = stage(sale_rows(first_orders(paid_orders(orders))), folder)
+    return new_keys(batch, ledger, "transaction_id")
+
+
 def sync_summary(orders: DataFrame, ledger: DataFrame) -> DataFrame:
     """What a sync fetched, what of it is new, and the store totals of the fetched orders."""
     per_id = paid_orders(orders).groupBy("id").agg(

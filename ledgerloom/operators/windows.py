@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerloom.sinks.tables import stage
+
 # monotonically_increasing_id numbers the rows of a partition in the low 33 bits.
 ROW_BITS = 33
 
@@ -34,7 +36,6 @@ def drain_positions(messages: DataFrame, folder: str) -> DataFrame:
     partitioning would give other numbers. The counts, one row per mailbox and partition, are
     written too: Spark then knows their size and broadcasts them only if they are small.
     """
-    spark = messages.sparkSession
     order = ["to_agent", "created_at", "id"]
     numbered = (
         messages.where(F.col("read") == 0)
@@ -43,21 +44,15 @@ def drain_positions(messages: DataFrame, folder: str) -> DataFrame:
         .sortWithinPartitions(*order)
         .withColumn("slot", F.monotonically_increasing_id())
     )
-    numbered.write.mode("overwrite").parquet(f"{folder}/rows")
-    rows = (
-        spark.read.schema(numbered.schema).parquet(f"{folder}/rows")
-        .withColumn("part", F.shiftright("slot", ROW_BITS))
-    )
+    rows = stage(numbered, f"{folder}/rows").withColumn("part", F.shiftright("slot", ROW_BITS))
     spans = rows.groupBy("to_agent", "part").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n"))
     earlier = F.sum("n").over(
         Window.partitionBy("to_agent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = spans.select(
+    starts = stage(spans.select(
         F.col("to_agent").alias("box"), F.col("part").alias("box_part"), "first_slot",
         F.coalesce(earlier, F.lit(0)).alias("earlier"),
-    )
-    starts.write.mode("overwrite").parquet(f"{folder}/starts")
-    starts = spark.read.schema(starts.schema).parquet(f"{folder}/starts")
+    ), f"{folder}/starts")
     same = F.col("to_agent").eqNullSafe(F.col("box")) & (F.col("part") == F.col("box_part"))
     return rows.join(starts, same).select(
         "id", "to_agent", "from_agent", "type", "created_at",

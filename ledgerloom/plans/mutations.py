@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom import workspace
 from ledgerloom.operators import filters, mutations
 from ledgerloom.plans.ledger import stored_ledger
 from ledgerloom.plans.registry import AS_OF_EVENT, AS_OF_TXN, as_double, plan
@@ -73,10 +74,13 @@ def updated_at(s):
     return s.products.select("id", "status", mutations.touch(changed, AS_OF_EVENT).alias("updated_at"))
 
 
-@plan("mut_ledger_sync", """
+SYNCED = """
     SELECT id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee, CAST(net AS DOUBLE) AS net,
            'polar' AS platform, 'sale' AS type, product_name AS description, created_at AS occurred_at
-    FROM sale_rows WHERE id NOT IN (SELECT transaction_id FROM paid_ledger)""")
+    FROM sale_rows WHERE id NOT IN (SELECT transaction_id FROM paid_ledger)"""
+
+
+@plan("mut_ledger_sync", SYNCED)
 def ledger_sync(s):
     orders = payloads.order_rows(s.raw_orders)
     ledger = stored_ledger(s, filters.paid_orders(orders))
@@ -84,6 +88,14 @@ def ledger_sync(s):
     return as_double(added, "amount", "fee", "net")
 
 
+@plan("mut_ledger_sync_batch", SYNCED)
+def ledger_sync_batch(s):
+    orders = payloads.order_rows(s.raw_orders)
+    ledger = stored_ledger(s, filters.paid_orders(orders))
+    added = mutations.ledger_sync_batch(orders, ledger, workspace.new_folder(s.spark, "batch"))
+    return as_double(added.drop("id", "product_id"), "amount", "fee", "net")
+
+
 @plan("mut_log_transaction", """
     SELECT product_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
            CAST(CASE WHEN type = 'expense' THEN -abs(amount) ELSE amount - fee END AS DOUBLE) AS net, platform, type,

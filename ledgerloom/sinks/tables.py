@@ -21,3 +21,9 @@ def rewrite(df: DataFrame, root: str, table: str) -> None:
     order = CLUSTERING[table]
     rows = conform(df, TABLES[table]).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.mode("error").parquet(f"{root}/{table}")
+
+
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table written to ``path``: computed once, and of known size."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

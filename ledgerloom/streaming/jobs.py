@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ledgerloom.functions import money
 from ledgerloom.operators import aggregates
 from ledgerloom.operators.filters import has_email, paid_orders
+from ledgerloom.operators.joins import new_keys
 from ledgerloom.operators.mutations import sale_rows
 from ledgerloom.operators.windows import first_orders
 from ledgerloom.schemas import FINE_MONEY, TABLES
+from ledgerloom.sinks.tables import stage
 from ledgerloom.sources.payloads import order_rows
 
 BEFORE_ANY_BATCH = -1
@@ -53,20 +55,13 @@ def write_new_keys(rows: DataFrame, folder: str, batch_id: int, key: str) -> Non
     ``rows`` must have one row per key. Only batches before this one are read, so a retried batch
     does not see its own first attempt. Keys may repeat after any time, so the output itself is
     the memory, and no stream state has to hold the keys.
-
-    The batch is staged first, so that Spark knows its size: the keys of earlier batches, one column
-    and by far the larger side, are narrowed to those of this batch by a broadcast of a small batch,
-    and are shuffled only for a large one.
     """
     if batch_id == 0:
         return write_batch(rows, folder, batch_id)
     spark = rows.sparkSession
-    staged = f"{folder}/staged/batch_id={batch_id}"
-    rows.write.mode("overwrite").parquet(staged)
-    batch = spark.read.schema(rows.schema).parquet(staged)
-    earlier = _output(spark, folder, rows.schema).where(F.col("batch_id") < batch_id).select(key)
-    known = earlier.join(batch.select(key), key, "left_semi")
-    write_batch(batch.join(known, key, "left_anti").select(*rows.columns), folder, batch_id)
+    batch = stage(rows, f"{folder}/staged/batch_id={batch_id}")
+    earlier = _output(spark, folder, rows.schema).where(F.col("batch_id") < batch_id)
+    write_batch(new_keys(batch, earlier, key), folder, batch_id)
 
 
 def mailbox(messages: DataFrame, agent: str, folder: str) -> DataFrame:

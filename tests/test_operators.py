@@ -1,5 +1,6 @@
 """Edge rows and rules that the generated tables do not hold."""
 
+import json
 import random
 from collections import defaultdict
 from decimal import Decimal
@@ -11,7 +12,7 @@ from ledgerloom import workspace
 from ledgerloom.functions import money, pace, text
 from ledgerloom.operators import aggregates, feeds, filters, joins, mutations, quality, reports, sets, windows
 from ledgerloom.schemas import DEFAULTS, TABLES, conform, moment, with_defaults
-from ledgerloom.sinks import outbox, tables
+from ledgerloom.sinks import outbox, snapshot, tables
 from ledgerloom.sources import payloads
 from ledgerloom.sources.tables import load
 
@@ -57,6 +58,17 @@ def test_summaries_of_nothing_are_zero(spark):
     assert tuple(s) == (0, 0, 0.0, 0.0)
 
 
+def test_snapshot_of_nothing(spark):
+    row = snapshot.snapshot(*[empty(spark, t) for t in (
+        "transactions", "products", "opportunities", "market_insights", "agent_messages", "daily_metrics", "agent_state",
+    )], goal=20000, as_of=AS_OF)
+    assert json.loads(snapshot.snapshot_json(row).first().body) == dict(
+        revenue=0.0, sales=0, goal=20000.0, pct=0.0, run_rate=0.0, days_running=1, total_listed=0, total_draft=0,
+        potential_gmv=0.0, opp_open=0, opp_completed=0, agents=[], recent_products=[], recent_insights=[], activity=[],
+        daily=[],
+    )
+
+
 def test_topic_context_of_nothing_is_empty(spark):
     assert feeds.topic_context(empty(spark, "market_insights")).first().context == ""
 
@@ -331,6 +343,7 @@ def test_second_sync_adds_nothing(spark, folder):
     paid = {k for k, s, _, _ in order_texts() if "paid" in s or "succeeded" in s}
     assert {r.transaction_id for r in ledger.collect()} == paid and ledger.count() == len(paid)
     assert mutations.ledger_sync(orders, ledger).count() == 0
+    assert mutations.ledger_sync_batch(orders, ledger, f"{folder}/staged").count() == 0
     summary = mutations.sync_summary(orders, ledger).first()
     assert summary.inserted == 0 and summary.fetched == sum("paid" in s or "succeeded" in s for _, s, _, _ in order_texts())
 

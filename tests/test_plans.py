@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_points
-from ledgerloom.operators import aggregates, filters, joins
+from ledgerloom.operators import aggregates, filters, joins, mutations
 from ledgerloom.schemas import TABLES
 from ledgerloom.sources import payloads
 from ledgerloom.sources.tables import Shop, load
@@ -50,6 +50,14 @@ def test_filters_and_columns_reach_the_scan(spark, stored):
     assert "Or(EqualTo(to_agent,content),IsNull(to_agent))" in unread
 
 
+def test_a_small_batch_does_not_shuffle_the_ledger(spark, stored):
+    ledger = load(spark, stored, "transactions")
+    orders = payloads.order_rows(spark.range(1).selectExpr(
+        """'{"id":"a","status":"paid","amount":5,"created_at":"2024-01-01 00:00:00"}' AS payload"""))
+    text = physical(mutations.ledger_sync_batch(orders, ledger, f"{stored}/staged"))
+    assert "Exchange hashpartitioning" not in text and "ReadSchema: struct<transaction_id:string>" in text
+
+
 def test_top_lists_do_not_sort_everything(spark, stored):
     queue = joins.draft_queue(load(spark, stored, "products"), load(spark, stored, "opportunities"))
     assert "TakeOrderedAndProject" in physical(queue)
