@@ -75,8 +75,8 @@ def updated_at(s):
 
 
 SYNCED = """
-    SELECT id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee, CAST(net AS DOUBLE) AS net,
-           'polar' AS platform, 'sale' AS type, product_name AS description, created_at AS occurred_at
+    SELECT id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
+           CAST(net AS DOUBLE) AS net, 'polar' AS platform, 'sale' AS type, product_name AS description, created_at AS occurred_at
     FROM sale_rows WHERE id NOT IN (SELECT transaction_id FROM paid_ledger)"""
 
 
@@ -127,13 +127,17 @@ def log_expense(s):
             WHERE status = 'pending') f
         WHERE rn = 1 AND title NOT IN (SELECT title FROM opportunities WHERE status <> 'pending'))
     SELECT id, title, type, 'opportunity' AS kind, NULL AS source, est AS value,
-           CAST(to_json({'keywords': json_extract(metadata, '$.keywords'), 'difficulty': 'medium', 'target_audience': ''}) AS STRING)
+           CAST(to_json({'keywords': json_extract(metadata, '$.keywords'), 'difficulty': 'medium',
+                         'target_audience': ''}) AS STRING)
                AS body FROM fresh
     UNION ALL
     SELECT id, title, type, 'message', 'scanner', NULL,
-           CAST(to_json({'task': 'create_product', 'opportunityId': id, 'title': title, 'type': type}) AS STRING) FROM fresh
+           CAST(to_json({'task': 'create_product', 'opportunityId': id, 'title': title, 'type': type}) AS STRING)
+    FROM fresh
     UNION ALL
-    SELECT id, title, type, 'insight', 'scanner', est / 1000, CAST(to_json({'type': type, 'audience': ''}) AS STRING) FROM fresh""")
+    SELECT id, title, type, 'insight', 'scanner', est / 1000,
+           CAST(to_json({'type': type, 'audience': ''}) AS STRING)
+    FROM fresh""")
 def opportunity_ingest(s):
     pending = F.col("status") == "pending"
     found = filters.with_keywords(s.opportunities).where(pending).select(
@@ -145,12 +149,14 @@ def opportunity_ingest(s):
 
 @plan("mut_event_messages", """
     SELECT 'sales' AS from_agent, 'finance' AS to_agent, 'event' AS type,
-           CAST(to_json({'event': 'product_listed', 'productId': id, 'url': platform_url, 'price': CAST(price AS DOUBLE),
+           CAST(to_json({'event': 'product_listed', 'productId': id, 'url': platform_url,
+                    'price': CAST(price AS DOUBLE),
                     'platform': platform}) AS STRING) AS payload FROM products WHERE status = 'listed'
     UNION ALL
     SELECT 'content', 'sales', 'task',
            CAST(to_json({'task': 'list_product', 'productId': id, 'title': title, 'description': description,
-                    'price': CAST(price * 100 AS BIGINT), 'filePath': file_path}) AS STRING) FROM products WHERE status = 'draft'
+                    'price': CAST(price * 100 AS BIGINT), 'filePath': file_path}) AS STRING)
+    FROM products WHERE status = 'draft'
     UNION ALL
     SELECT 'blog', NULL, 'published', CAST(to_json({'title': title, 'url': url, 'tags': ['guide']}) AS STRING)
     FROM flat_posts WHERE status = 'published'

@@ -84,7 +84,8 @@ def dashboard(s):
 
 @plan("out_listing_batch", """
     SELECT product_id, name, description, price_cents, price_cents = 0 AS is_free,
-           CAST(to_json({'name': name, 'description': description, 'price': price_cents, 'is_free': price_cents = 0}) AS STRING) AS body
+           CAST(to_json({'name': name, 'description': description, 'price': price_cents,
+                         'is_free': price_cents = 0}) AS STRING) AS body
     FROM (SELECT r.product_id, substring(r.title, 1, 64) AS name, r.price_cents,
                  concat(r.description, chr(10), chr(10), '📎 **File included:** ',
                         list_last(string_split(coalesce(nullif(r.file_path, ''), p.file_path), '/')), chr(10),
