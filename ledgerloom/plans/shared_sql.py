@@ -70,7 +70,7 @@ VIEWS: dict[str, str] = {
     "state_by_agent": """
         SELECT s.agent_id, s.last_run, s.run_count, r.status, r.current_task, s.runs_started
         FROM (SELECT agent_id, max(run_at) AS last_run, count(*) AS run_count,
-                     count(CASE WHEN status = 'running' THEN 1 END) AS runs_started
+                     count(*) FILTER (status = 'running') AS runs_started
               FROM agent_runs GROUP BY agent_id) s
         JOIN (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY run_at DESC, seq DESC) AS rn
               FROM agent_runs) r ON r.agent_id = s.agent_id AND r.rn = 1""",
@@ -82,8 +82,8 @@ VIEWS: dict[str, str] = {
         WHERE type = 'task' AND (payload->>'$.task') = 'create_product'
           AND CAST(payload->>'$.opportunityId' AS BIGINT) <> 0""",
     "ledger_totals": """
-        SELECT coalesce(sum(CASE WHEN type = 'sale' THEN net ELSE 0 END), 0) AS revenue,
-               coalesce(sum(CASE WHEN type = 'expense' THEN abs(net) ELSE 0 END), 0) AS expenses,
-               coalesce(sum(net), 0) AS net, count(CASE WHEN type = 'sale' THEN 1 END) AS sales
+        SELECT coalesce(sum(net) FILTER (type = 'sale'), 0) AS revenue,
+               coalesce(sum(abs(net)) FILTER (type = 'expense'), 0) AS expenses,
+               coalesce(sum(net), 0) AS net, count(*) FILTER (type = 'sale') AS sales
         FROM transactions""",
 }
