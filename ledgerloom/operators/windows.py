@@ -11,13 +11,14 @@ ROW_BITS = 33
 
 
 def keep_first(orders: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
-    """One row per key: the first by ``order``, remaining columns breaking ties.
+    """One row per key: the first by ``order``, NULL last, remaining columns breaking ties.
 
     A minimum over a struct is aggregated before the shuffle, so a key that fills a third of the
     rows is one partial row per task; a row_number window would sort all of it in one task.
     """
     rest = [c for c in orders.columns if c != key and c not in order]
-    first = orders.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("first"))
+    ranked = [c for name in order for c in (F.col(name).isNull().alias(f"no_{name}"), F.col(name))]
+    first = orders.groupBy(key).agg(F.min(F.struct(*ranked, *rest)).alias("first"))
     return first.select(*[F.col(key) if c == key else F.col(f"first.{c}") for c in orders.columns])
 
 

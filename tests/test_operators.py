@@ -336,6 +336,12 @@ def test_first_order_wins(spark):
     assert got == best
 
 
+def test_an_order_without_a_time_comes_last(spark):
+    orders = payloads.order_rows(payload(
+        spark, '{"id":"a","amount":1}', '{"id":"a","amount":2,"created_at":"2024-01-01 00:00:00"}', '{"id":"b","amount":3}'))
+    assert {r.id: r.amount for r in windows.first_orders(orders).collect()} == {"a": 2, "b": 3}
+
+
 def test_second_sync_adds_nothing(spark, folder):
     orders = order_frame(spark, order_texts())
     tables.append(mutations.ledger_sync(orders, empty(spark, "transactions")), folder, "transactions", AS_OF)
