@@ -115,3 +115,29 @@ def test_streams_of_nothing(spark, folder):
     split_files(Shop(spark, ROOT).events.where("false"), f"{folder}/in", 1)
     assert jobs.agent_state(stream(spark, f"{folder}/in", "events", "agent_runs"), f"{folder}/state").count() == 0
     assert jobs.mailbox(stream(spark, f"{folder}/in", "events", "agent_messages"), "sales", f"{folder}/box").count() == 0
+
+
+def test_a_table_may_be_a_folder_of_files(spark, folder):
+    shop = Shop(spark, ROOT)
+    split_files(shop.events, f"{folder}/events.parquet")
+    copy = Shop(spark, folder)
+    assert as_set(copy.agent_messages) == as_set(shop.agent_messages)
+    got = jobs.agent_state(copy.stream("agent_runs", files_per_batch=2), f"{folder}/state")
+    assert as_set(got) == as_set(aggregates.agent_state(shop.agent_runs))
+
+
+def test_late_sales_count(spark, folder):
+    def sales(*given):
+        rows = spark.createDataFrame(list(given), "at string, value string")
+        return rows.select(F.col("at").cast("timestamp"), F.col("value").cast("decimal(18,2)"))
+
+    schema = sales(("2024-01-01", "1")).schema
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        return {str(r.date): (r.sales_count, r.revenue) for r in jobs.daily_sales(stream, f"{folder}/days").collect()}
+
+    sales(("2024-01-20 10:00:00", "2.50"), ("2024-01-20 23:59:59", "1")).write.parquet(f"{folder}/in")
+    assert run() == {"2024-01-20": (2, 3.5)}
+    sales(("2024-01-01 00:00:00", "4"), ("2024-01-20 00:00:00", "1")).write.mode("append").parquet(f"{folder}/in")
+    assert run() == {"2024-01-01": (1, 4.0), "2024-01-20": (3, 4.5)}
