@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_folders: dict[str, str] = {}  # of each application, the folder that holds all others
 
 
 def local_session(cpus: int | str = 8, app: str = "ledgerloom") -> SparkSession:
@@ -19,19 +21,31 @@ def local_session(cpus: int | str = 8, app: str = "ledgerloom") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("LEDGERLOOM_WORK", os.path.abspath("spark-warehouse/work")))
         .getOrCreate()
     )
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh folder under the shared folder named by ``spark.checkpoint.dir``, removed as the session ends.
 
-    Executors on other machines must see the folder, so a machine-local one is only made for a
-    local master with the setting absent.
+    Where the setting is absent, the folder lies in the warehouse, which executors share too.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+        top = f"{shared.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders[app] = top
+    return f"{_folders[app]}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet into a fresh folder and read back: computed once, with no lineage before it."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
