@@ -1,10 +1,11 @@
 """The registered queries of this package and the SQL that checks them."""
 
-from ledgerloom.llm import decontam, mixing, quality
+from ledgerloom.llm import decontam, minhash, mixing, quality
 
 QUERIES = {
     "op2_mixing": mixing.query,
     "op4_decontamination": decontam.query,
+    "op7_minhash": minhash.query,
     "op10_quality": quality.query,
 }
 ORACLE_SQL = {
