@@ -106,16 +106,13 @@ def copies(taken: Column, size: Column) -> Column:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: one row for each copy, the text of a cut copy ending with its last word taken."""
+    """The mix as documents: one row for each copy, a cut copy as its first words joined by spaces."""
     d = tx.rows(docs).select(
         "row", F.col("row.source").alias("source"), tx.n_words(F.col("row.text")).alias("size"),
         hash_key(F.col("row.doc_id"), F.col("row.text")).alias("key"))
     mix = cut(d, sized(docs)).select("row", "size", F.explode(copies(F.col("taken"), F.col("size"))).alias("part"))
-    # the part of a text up to its n-th word, with the spaces between as they are
-    pattern = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), (F.col("part") - 1).cast("string"),
-                       F.lit(r"}[^\x20\x09-\x0D]++"))
-    text = F.when(F.col("part") == F.col("size"), F.col("row.text")).otherwise(
-        F.regexp_extract("row.text", pattern, 0))
+    first_words = F.array_join(F.slice(tx.words(F.col("row.text")), 1, F.col("part").cast("int")), " ")
+    text = F.when(F.col("part") == F.col("size"), F.col("row.text")).otherwise(first_words)
     mix = tx.computed(mix, new_text=text)
     new = {"text": F.col("new_text").alias("text"), "n_chars": F.length("new_text").cast("long").alias("n_chars")}
     return mix.select(*[new[c] if c in new else F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,12 +1,15 @@
 """The registered queries of this package and the SQL that checks them."""
 
-from ledgerloom.llm import decontam, minhash, mixing, quality
+import corpus_pipeline
+from ledgerloom.llm import decontam, minhash, mixing, quality, tokens
 
 QUERIES = {
     "op2_mixing": mixing.query,
     "op4_decontamination": decontam.query,
     "op7_minhash": minhash.query,
+    "op9_tokens": tokens.query,
     "op10_quality": quality.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.SQL,

@@ -14,15 +14,15 @@ def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     The table is range-partitioned and written, so that the ranges stay as they are; the rows of a range are summed
     in its task, and only the totals of ranges, one row for each, are summed across them and broadcast.
     """
-    ranged = df.withColumns(sums).repartitionByRange(*order).withColumn("range_of", F.spark_partition_id())
+    ranged = df.withColumns(sums).repartitionByRange(*order).withColumn("own_part", F.spark_partition_id())
     ranged = staged(ranged, "ranges")
-    every, earlier = Window.partitionBy(), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy(F.col("range_of").alias("part")).agg(*[F.sum(n).alias(n) for n in sums])
-    parts = parts.select("part", *[
+    every, earlier = Window.partitionBy(), Window.orderBy("in_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(F.col("own_part").alias("in_part")).agg(*[F.sum(n).alias(n) for n in sums])
+    parts = parts.select("in_part", *[
         c for n in sums for c in (
             F.sum(n).over(every).alias(f"{n}_total"), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_offset"))])
-    inside = Window.partitionBy("range_of").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(parts), F.col("range_of") == F.col("part"))
+    inside = Window.partitionBy("own_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(parts), F.col("own_part") == F.col("in_part"))
     return joined.withColumns({
         f"{n}_before": F.col(f"{n}_offset") + F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in sums
-    }).drop("part", "range_of", *sums, *[f"{n}_offset" for n in sums])
+    }).drop("in_part", "own_part", *sums, *[f"{n}_offset" for n in sums])
