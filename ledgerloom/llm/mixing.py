@@ -113,7 +113,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     mix = cut(d, sized(docs)).select("row", "size", F.explode(copies(F.col("taken"), F.col("size"))).alias("part"))
     first_words = F.array_join(F.slice(tx.words(F.col("row.text")), 1, F.col("part").cast("int")), " ")
     text = F.when(F.col("part") == F.col("size"), F.col("row.text")).otherwise(first_words)
-    mix = tx.computed(mix, new_text=text)
+    mix = mix.withColumn("new_text", text)
     new = {"text": F.col("new_text").alias("text"), "n_chars": F.length("new_text").cast("long").alias("n_chars")}
     return mix.select(*[new[c] if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
