@@ -1,9 +1,10 @@
 """The registered queries of this package and the SQL that checks them."""
 
 import corpus_pipeline
-from ledgerloom.llm import decontam, minhash, mixing, quality, tokens
+from ledgerloom.llm import decontam, minhash, mixing, quality, substrings, tokens
 
 QUERIES = {
+    "op1_substrings": substrings.query,
     "op2_mixing": mixing.query,
     "op4_decontamination": decontam.query,
     "op7_minhash": minhash.query,
