@@ -1,11 +1,12 @@
 """The registered queries of this package and the SQL that checks them."""
 
 import corpus_pipeline
-from ledgerloom.llm import decontam, minhash, mixing, quality, substrings, tokens
+from ledgerloom.llm import decontam, minhash, mixing, quality, substrings, tokens, warc
 
 QUERIES = {
     "op1_substrings": substrings.query,
     "op2_mixing": mixing.query,
+    "op3_warc": warc.query,
     "op4_decontamination": decontam.query,
     "op7_minhash": minhash.query,
     "op9_tokens": tokens.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.SQL,
+    "op3_warc": warc.SQL,
     "op4_decontamination": decontam.SQL,
     "op10_quality": quality.SQL,
 }
