@@ -1,13 +1,14 @@
 """The registered queries of this package and the SQL that checks them."""
 
 import corpus_pipeline
-from ledgerloom.llm import decontam, minhash, mixing, quality, substrings, tokens, warc
+from ledgerloom.llm import chat, decontam, minhash, mixing, quality, substrings, tokens, warc
 
 QUERIES = {
     "op1_substrings": substrings.query,
     "op2_mixing": mixing.query,
     "op3_warc": warc.query,
     "op4_decontamination": decontam.query,
+    "op5_chat": chat.query,
     "op7_minhash": minhash.query,
     "op9_tokens": tokens.query,
     "op10_quality": quality.query,
@@ -17,5 +18,6 @@ ORACLE_SQL = {
     "op2_mixing": mixing.SQL,
     "op3_warc": warc.SQL,
     "op4_decontamination": decontam.SQL,
+    "op5_chat": chat.SQL,
     "op10_quality": quality.SQL,
 }
