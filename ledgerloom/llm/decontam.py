@@ -33,9 +33,7 @@ BLOCK = 500_000  # seeds that are broadcast at once; a larger benchmark is joine
 
 def hashes(text: Column) -> Column:
     """The words of a text as 64-bit hashes."""
-    bare = F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.split(bare, " "), lambda w: F.xxhash64(w)))
+    return F.transform(tx.plain_words(text), lambda w: F.xxhash64(w))
 
 
 def seeds(df: DataFrame, keep: list[str]) -> DataFrame:

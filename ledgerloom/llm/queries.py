@@ -1,7 +1,7 @@
 """The registered queries of this package and the SQL that checks them."""
 
 import corpus_pipeline
-from ledgerloom.llm import chat, decontam, minhash, mixing, quality, substrings, tokens, warc
+from ledgerloom.llm import chat, decontam, minhash, mixing, quality, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_substrings": substrings.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontamination": decontam.query,
     "op5_chat": chat.query,
     "op7_minhash": minhash.query,
+    "op8_toxicity": toxicity.query,
     "op9_tokens": tokens.query,
     "op10_quality": quality.query,
     "pipeline": corpus_pipeline.run,

@@ -47,3 +47,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def pairs_apart(hashes: Column, step: int, n: Column) -> Column:
     """The hash of each of the first ``n`` entries with the one ``step`` after it."""
     return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 1 + step, n), lambda a, b: F.xxhash64(a, b))
+
+
+def plain_words(text: Column) -> Column:
+    """The lower-case runs of letters and digits of a text."""
+    bare = F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
