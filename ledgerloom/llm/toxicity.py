@@ -29,11 +29,11 @@ from ledgerloom.llm.workers import in_tasks
 from ledgerloom.workspace import staged
 
 TERMS = 1 << 22
-BEGINNINGS = (6, 8)  # letters
+BEGINNINGS = (5,)  # letters
 FACTORS = 4
 SAMPLE = 20_000  # labelled rows that the model is fitted on
-LEAST_SEEN = 3
-EPOCHS, BATCH = 8, 256
+LEAST_SEEN = 5
+EPOCHS, BATCH = 12, 256
 MODEL = "term int, weight float, factors array<float>"
 BIAS = -1  # its place among the terms
 
