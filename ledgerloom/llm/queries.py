@@ -1,7 +1,7 @@
 """The registered queries of this package and the SQL that checks them."""
 
 import corpus_pipeline
-from ledgerloom.llm import chat, decontam, minhash, mixing, quality, substrings, tokens, toxicity, warc
+from ledgerloom.llm import chat, decontam, licences, minhash, mixing, quality, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_substrings": substrings.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_warc": warc.query,
     "op4_decontamination": decontam.query,
     "op5_chat": chat.query,
+    "op6_licences": licences.query,
     "op7_minhash": minhash.query,
     "op8_toxicity": toxicity.query,
     "op9_tokens": tokens.query,
