@@ -4,8 +4,8 @@ A paragraph is a line with a word. Its terms are the distinct hashed runs of one
 regression over them gives the chance of each licence family and of ``unknown``. It is fitted on variations of the
 templates (words dropped, words of other texts put in, two templates' texts cut short) and, for ``unknown``, on paragraphs
 of the corpus. A temperature fitted on a part held back makes the chances calibrated, so that a family is predicted if its chance
-is over a half. A prediction counts if the paragraph resembles a template of the family: half of the pairs of
-neighbouring words in either are in both, or four fifths of the template's are in the paragraph.
+is over a half. A prediction counts if the paragraph resembles a template of the family: over a third (``ALIKE``) of the
+pairs of neighbouring words in either are in both, or three fifths (``COVERED``) of the template's are in the paragraph.
 
 The corpus sample for ``unknown`` has at most ``SAMPLE`` paragraphs, by a hash of the text; the fit is one task. The model has
 a row for each term it saw and is broadcast; it grows with the sample, not with the corpus. All paragraphs are scored.
@@ -63,6 +63,7 @@ TEMPLATES = (
 FAMILIES = tuple(dict.fromkeys(f for f, _ in TEMPLATES))
 UNKNOWN = len(FAMILIES)  # the class after the families
 SAMPLE = 10_000  # paragraphs of the corpus that the model learns from
+ALIKE, COVERED = 0.35, 0.6
 VARIANTS = 120  # of each template
 EPOCHS, BATCH = 12, 128
 _PLAIN = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
@@ -143,7 +144,7 @@ def logits(rows: Rows, weights: np.ndarray, part: np.ndarray) -> np.ndarray:
 def fit(sample: list[str]) -> pd.DataFrame:
     """The weights of all terms of the training texts, with the temperature worked in; the bias has term 0."""
     notices = [t for _, t in TEMPLATES]
-    common = [t for t in sample if resemblance(t, notices).max() < 0.5]
+    common = [t for t in sample if resemblance(t, notices).max() < ALIKE]
     fill = [w for t in common[:200] for w in t.split()][:2000] or ["text"]
     texts, classes = variations(fill)
     # words of licences in other company are unknown as well
@@ -189,15 +190,15 @@ _known: dict[tuple[str, ...], list[np.ndarray]] = {}
 
 
 def resemblance(text: str, templates: list[str]) -> np.ndarray:
-    """How like a text is to each template: 0.5 is enough. The share of word pairs in both of those in either or, as
-    0.5 for four fifths, of the template's."""
+    """How like a text is to each template; ``ALIKE`` is enough. The share of word pairs in both of those in either or,
+    scaled so that ``COVERED`` gives the same, of the template's."""
     key = tuple(templates)
     if key not in _known:
         _known[key] = [pairs(t) for t in templates]
     own, out = pairs(text), []
     for other in _known[key]:
         both = len(np.intersect1d(own, other, assume_unique=True))
-        out.append(max(both / max(1, len(own) + len(other) - both), 0.625 * both / max(1, len(other))))
+        out.append(max(both / max(1, len(own) + len(other) - both), ALIKE / COVERED * both / max(1, len(other))))
     return np.array(out)
 
 
@@ -207,9 +208,10 @@ def learned(docs: DataFrame) -> DataFrame:
     sample = lines.select("line", F.xxhash64("line").alias("h")).distinct().orderBy("h", "line").limit(SAMPLE)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield fit(sorted(x for frame in frames for x in frame["line"]))
+        yield fit(sorted(x for frame in frames for x in frame["line"] if x))
 
-    return staged(in_tasks(sample.select("line").coalesce(1), work, MODEL), "licence-model")
+    always = docs.sparkSession.range(1).select(F.lit("").alias("line"))  # a task even if the corpus is empty
+    return staged(in_tasks(sample.select("line").unionAll(always).repartition(1), work, MODEL), "licence-model")
 
 
 def scanned(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def scanned(docs: DataFrame, model: DataFrame) -> DataFrame:
                     of, family = int(p.text[i]), FAMILIES[int(chance[i].argmax())]
                     plain = texts[of].encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n")
                     line = [x for x in plain if x.split()][i - int(starts[of])].decode("utf-8", "surrogatepass")
-                    if resemblance(line, [t for f, t in TEMPLATES if f == family]).max() >= 0.5:
+                    if resemblance(line, [t for f, t in TEMPLATES if f == family]).max() >= ALIKE:
                         families[of].append(family)
                     else:
                         doubtful[of] += 1
@@ -255,8 +257,9 @@ def scanned(docs: DataFrame, model: DataFrame) -> DataFrame:
                 "licences": [",".join(sorted(set(f))) for f in families], "n_licensed": [len(f) for f in families],
                 "n_unconfirmed": doubtful})
 
-    return in_tasks(docs.select("doc_id", "text"), work, (
-        f"doc_id {dict(docs.dtypes)['doc_id']}, n_paragraphs long, licences string, n_licensed long, n_unconfirmed long"))
+    return in_tasks(
+        docs.select("doc_id", "text"), work,
+        "doc_id string, n_paragraphs long, licences string, n_licensed long, n_unconfirmed long", ids=("doc_id",))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -205,9 +205,8 @@ def linked_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     texts = docs.select("doc_id", "text")
-    id_type = dict(texts.dtypes)["doc_id"]
     d = staged(in_tasks(
-        texts, sketch_rows, f"doc_id {id_type}, n_shingles long, node binary, bands array<long>"), "sketches")
+        texts, sketch_rows, "doc_id string, n_shingles long, node binary, bands array<long>", ids=("doc_id",)), "sketches")
     vertex = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("node")).alias("vertex")
     nodes = staged(d.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
@@ -226,7 +225,7 @@ def groups(docs: DataFrame) -> DataFrame:
         *TILES, "node", "n_shingles", "bands", F.col("vertex.doc_id").alias("doc_id"))
     likely = staged(in_tasks(
         likely.repartition(*TILES).sortWithinPartitions(*TILES), likely_rows,
-        f"band int, key long, part_a int, part_b int, node binary, doc_id {id_type}"), "likely")
+        "band int, key long, part_a int, part_b int, node binary, doc_id string", ids=("doc_id",)), "likely")
     full = likely.join(texts.select(F.col("doc_id").alias("id"), "text"), F.col("doc_id").eqNullSafe(F.col("id")))
     full = full.select(*TILES, "node", "text").repartition(*TILES).sortWithinPartitions(*TILES)
     links = in_tasks(full, linked_rows, "node_a binary, node_b binary")

@@ -13,7 +13,8 @@ compared by 64-bit hashes, paths by two of them.
 
 Defined results: a null or blank text has no words and keeps none; one with under 35 words is kept whole. Kept words are
 joined by one space. Rows that repeat id and text are occurrences of their own, so each loses what it shares with the
-other. Null ids are ids like others. An empty table gives an empty result; only doc_id and text are read, so other
+other. Null ids are ids like others. Texts and ids
+are told apart by 128 bits. An empty table gives an empty result; only doc_id and text are read, so other
 columns never clash.
 """
 
@@ -70,7 +71,7 @@ def path_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = np.concatenate([after, [n]])[place]
         of = owner[first]
         yield pd.DataFrame({
-            "doc_id": frame["doc_id"].array[of], "text_hash": frame["text_hash"].to_numpy()[of],
+            "key_a": frame["key_a"].to_numpy()[of], "key_b": frame["key_b"].to_numpy()[of],
             "start": (first - texts.bounds[of]).astype(np.int32), "n_edges": (last - first).astype(np.int32),
             "anchor": words[anchor[first]].view(np.int64),
             "path": span_hashes(texts.hashes, first, last + WINDOW - 1).view(np.int64),
@@ -89,7 +90,7 @@ def edge_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n_edges) - n_edges, n_edges)
         yield pd.DataFrame({
             "edge": edges[texts.bounds[of[row]] + at].view(np.int64), "single": single[row],
-            "doc_id": frame["doc_id"].array[of[row]], "text_hash": frame["text_hash"].to_numpy()[of[row]],
+            "key_a": frame["key_a"].to_numpy()[of[row]], "key_b": frame["key_b"].to_numpy()[of[row]],
             "first": at.astype(np.int32)})
 
 
@@ -110,52 +111,49 @@ def kept_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n_words": n_words, "n_removed": n_removed, "kept": kept})
 
 
+KEY = ["key_a", "key_b"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    """Documents with 128 bits that tell their id and text from others'."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(1), "text").alias("key_a"),
+                       F.xxhash64("text", F.lit(2), "doc_id").alias("key_b"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, first, after): stretches of words, by number, that repeated edges cover."""
-    id_type = dict(docs.dtypes)["doc_id"]
-    texts = keyed(docs)
+    """(key_a, key_b, first, after): stretches of words, by number, that repeated edges cover."""
+    texts = keyed(docs).drop("doc_id")
     paths = staged(in_tasks(
-        texts, path_rows, f"doc_id {id_type}, text_hash long, start int, n_edges int, anchor long, path long"), "paths")
+        texts, path_rows, "key_a long, key_b long, start int, n_edges int, anchor long, path long"), "paths")
     anchors = paths.groupBy("anchor").agg(
         F.count("*").alias("n"), (F.min("path") != F.max("path")).alias("branches")).where("n > 1")
     met = staged(paths.join(anchors.drop("n"), "anchor"), "met-paths")
     whole_end = F.col("start") + F.col("n_edges") + (WINDOW - 1)
-    whole = met.where("NOT branches").select(
-        "doc_id", "text_hash", F.col("start").alias("first"), whole_end.alias("after"))
+    whole = met.where("NOT branches").select(*KEY, F.col("start").alias("first"), whole_end.alias("after"))
 
     branching = met.where("branches")
     distinct = branching.groupBy("anchor", "path").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "n_edges")).alias("at"))
+        F.count("*").alias("n"), F.min(F.struct(*KEY, "start", "n_edges")).alias("at"))
     distinct = staged(distinct.select("anchor", "path", (F.col("n") == 1).alias("single"), "at.*"), "branches")
     twice = distinct.where("NOT single").select("anchor", "path")
     whole_again = branching.join(twice, ["anchor", "path"]).select(
-        "doc_id", "text_hash", F.col("start").alias("first"), whole_end.alias("after"))
+        *KEY, F.col("start").alias("first"), whole_end.alias("after"))
 
-    of_docs = distinct.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(
-        F.collect_list(F.struct("start", "n_edges", "single")).alias("paths"))
-    at_texts = texts.join(of_docs, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash")))
+    of_docs = distinct.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n_edges", "single")).alias("paths"))
     edges = staged(in_tasks(
-        at_texts.select("doc_id", "text_hash", "text", "paths"), edge_rows,
-        f"edge long, single boolean, doc_id {id_type}, text_hash long, first int"), "edges")
+        texts.join(of_docs, KEY).select(*KEY, "text", "paths"), edge_rows,
+        "edge long, single boolean, key_a long, key_b long, first int"), "edges")
     repeated = edges.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1").select("edge")
     single = edges.where("single").join(repeated, "edge").select(
-        "doc_id", "text_hash", "first", (F.col("first") + WINDOW).alias("after"))
+        *KEY, "first", (F.col("first") + WINDOW).alias("after"))
     return whole.unionAll(whole_again).unionAll(single)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each document's text without the words that repeated spans cover."""
-    id_type = dict(docs.dtypes)["doc_id"]
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(
-        F.collect_set(F.struct("first", "after")).alias("spans"))
-    d = keyed(docs).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash")), "left")
-    return in_tasks(
-        d.select("doc_id", "text", "spans"), kept_rows, f"doc_id {id_type}, n_words long, n_removed long, kept string")
+    spans = repeated_spans(docs).groupBy(*KEY).agg(F.collect_set(F.struct("first", "after")).alias("spans"))
+    d = keyed(docs).join(spans, KEY, "left").select("doc_id", "text", "spans")
+    return in_tasks(d, kept_rows, "doc_id string, n_words long, n_removed long, kept string", ids=("doc_id",))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

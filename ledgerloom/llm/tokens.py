@@ -25,7 +25,7 @@ from ledgerloom.llm.arrays import chunks
 from ledgerloom.llm.encoder import encoder
 from ledgerloom.llm.sums import running
 from ledgerloom.llm.wavelet import TokenFile, write
-from ledgerloom.llm.workers import in_tasks
+from ledgerloom.llm.workers import in_tasks, spread
 from ledgerloom.workspace import new_folder, staged
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,9 +56,9 @@ def encode_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = END,
         for frame in chunks(frames, "text"):
             part = int(frame["part"].iloc[0])
             texts = frame["text"].where(frame["text"].notna(), None).tolist()
-            for i, found in zip(frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None), encode.encode(texts)):
+            for i, found in zip(frame["doc_id"].tolist(), encode.encode(texts)):
                 ids += [found, last]
-                doc_ids.append(None if i is None else int(i))
+                doc_ids.append(int(i) if isinstance(i, str) else None)
                 counts.append(len(found) + 1)
                 held += len(found) + 1
                 if held >= shard:
@@ -69,7 +69,8 @@ def encode_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = END,
     d = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     d = d.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
     d = d.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    shards = staged(in_tasks(d, work, "part int, shard int, path string, n_docs long, n_tokens long"), "shards")
+    shards = staged(in_tasks(
+        d, work, "part int, shard int, path string, n_docs long, n_tokens long", ids=("doc_id",)), "shards")
     placed = running(shards, [F.col("part"), F.col("shard")], tokens=F.col("n_tokens"))
     return placed.withColumnRenamed("tokens_before", "before").drop("tokens_total")
 
@@ -91,8 +92,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())],
                 })
 
-    files = shards.select("path", "before").repartition("path")
-    return in_tasks(files, work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_tasks(spread(shards.select("path", "before")), work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

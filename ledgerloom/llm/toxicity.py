@@ -113,7 +113,7 @@ def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
     found = model.toPandas()  # at most TERMS + 1 rows
     is_bias = (found["term"] == BIAS).to_numpy()
-    bias = float(found.loc[is_bias, "weight"].iloc[0])
+    bias = float(found.loc[is_bias, "weight"].sum())  # none at all without labels
     found = found[~is_bias].sort_values("term")
     factors = np.stack([*found["factors"].to_list(), np.zeros(FACTORS, np.float32)]).astype(np.float32)
     weights = np.append(found["weight"].to_numpy(np.float32), np.float32(0))  # the last row is for unknown terms
@@ -137,7 +137,7 @@ def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
                                 "predicted": (score >= 0.5).astype(np.int32)})
 
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), terms(F.col("text")).alias("terms"))
-    return in_tasks(d, work, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return in_tasks(d, work, "doc_id string, held_out boolean, score double, predicted int", ids=("doc_id",))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

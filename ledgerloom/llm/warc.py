@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.files import reading, writing
-from ledgerloom.llm.workers import in_tasks
+from ledgerloom.llm.workers import in_tasks, spread
 from ledgerloom.workspace import new_folder, staged
 
 CHUNK = 1 << 18  # bytes of a payload in a row
@@ -65,7 +65,7 @@ def chunked(records: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.withColumn("data", data).drop("payload")
 
 
-def record_id(page_id: int | None, sha1: str) -> str:
+def record_id(page_id: str | None, sha1: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {sha1}')}>"
 
 
@@ -127,7 +127,6 @@ def write_archives(records: DataFrame, folder: str, size: int = CHUNK) -> DataFr
         writer = None
         with ExitStack() as stack:
             for frame in frames:
-                frame = frame.astype({"page_id": object, "refers_to": object})
                 for row in frame.where(frame.notna(), None).itertuples(index=False):
                     if writer is None:
                         path = f"{folder}/{row.part:07d}.warc.gz"
@@ -143,7 +142,8 @@ def write_archives(records: DataFrame, folder: str, size: int = CHUNK) -> DataFr
 
     rows = chunked(records, size).repartition("row_id").sortWithinPartitions("row_id", "chunk")
     return staged(
-        in_tasks(rows.withColumn("part", F.spark_partition_id()), work, "path string, n_records long"), "archives")
+        in_tasks(rows.withColumn("part", F.spark_partition_id()), work, "path string, n_records long",
+                 ids=("page_id", "refers_to")), "archives")
 
 
 def _fields(stream: io.BufferedReader) -> tuple[dict[str, str], int]:
@@ -213,7 +213,7 @@ def read_chunks(archives: DataFrame, size: int = CHUNK, last_only: bool = False)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype(
             {"page_id": "Int64", "refers_to": "Int64"})
 
-    return in_tasks(archives.select("path").repartition("path"), work, SCHEMA)
+    return in_tasks(spread(archives.select("path")), work, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,18 +5,27 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 import ledgerloom
 
 
-def in_tasks(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+def in_tasks(df: DataFrame, work: Callable, schema: str, ids: tuple[str, ...] = ()) -> DataFrame:
     """``df.mapInPandas``, with this library on the path of Python workers that share the driver's folders.
 
-    On a cluster the library is installed or shipped with the job.
+    On a cluster the library is installed or shipped with the job. The columns ``ids`` go through Python as strings
+    (and are strings in ``schema``), since pandas would make floats of numbers with nulls among them.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(ledgerloom.__file__)))
     paths = df.sparkSession.sparkContext.environment
     if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [paths.get("PYTHONPATH"), root]))
-    return df.mapInPandas(work, schema)
+    types = dict(df.dtypes)
+    out = df.withColumns({c: F.col(c).cast("string") for c in ids}).mapInPandas(work, schema)
+    return out.withColumns({c: F.col(c).cast(types[c]) for c in ids if c in out.columns})
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Rows that name files, dealt to as many tasks as a shuffle has: they are few and small, what they name isn't."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(n, "path")
