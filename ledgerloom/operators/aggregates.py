@@ -45,6 +45,12 @@ def totals(tx: DataFrame) -> DataFrame:
     )
 
 
+def ledger_summary(tx: DataFrame, products: DataFrame) -> DataFrame:
+    """The ledger's totals and the number of listed products, in one record."""
+    listed = products.agg(F.count(F.when(F.col("status") == "listed", 1)).alias("listed"))
+    return one_row(totals(tx), listed)
+
+
 def sales_total(tx: DataFrame) -> DataFrame:
     """Sale revenue, count and average order value."""
     t = tx.where(is_sale()).agg(F.coalesce(F.sum("net"), F.lit(0)).alias("revenue"), F.count("*").alias("sales"))
@@ -66,7 +72,10 @@ def product_rollup(products: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def daily_metrics(tx: DataFrame, opportunities: DataFrame, products: DataFrame) -> DataFrame:
-    """Money by day of the transaction, counts by day of creation, one row per day."""
+    """Money by day of the transaction, counts by day of creation, one row per day.
+
+    What has no time is in the row without a date, so that the days add up to the totals.
+    """
     facts = (
         tx.select(
             F.to_date("occurred_at").alias("date"),
@@ -85,7 +94,7 @@ def daily_metrics(tx: DataFrame, opportunities: DataFrame, products: DataFrame)
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
     amounts = ("revenue", "expenses", "net")
     counts = ("opportunities_found", "products_created", "products_listed", "sales_count")
-    return rows.where(F.col("date").isNotNull()).groupBy("date").agg(
+    return rows.groupBy("date").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast(FINE_MONEY).alias(c) for c in amounts],
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
     )
@@ -129,6 +138,29 @@ def opportunity_counts(opportunities: DataFrame) -> DataFrame:
     )
 
 
+def opportunity_pipeline(opportunities: DataFrame) -> DataFrame:
+    """One row: open and completed work, and ``by_status``, the number of opportunities in each status."""
+    per_status = opportunities.groupBy(F.coalesce("status", F.lit("")).alias("status")).agg(F.count("*").alias("n"))
+    return per_status.agg(
+        F.coalesce(F.sum(F.when(F.col("status").isin("pending", "in_progress"), F.col("n"))), F.lit(0)).alias("open"),
+        F.coalesce(F.sum(F.when(F.col("status") == "listed", F.col("n"))), F.lit(0)).alias("completed"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("by_status"),
+    )
+
+
+def catalog(products: DataFrame, as_of: str) -> DataFrame:
+    """``catalog_counts`` and ``days_running`` in one pass."""
+    listed = F.col("status") == "listed"
+    sums = products.agg(
+        F.count(F.when(listed, 1)).alias("total_listed"),
+        F.count(F.when(F.col("status") == "draft", 1)).alias("total_draft"),
+        sum_if(listed, F.col("price")).alias("potential_gmv"),
+        F.min("created_at").alias("first_created"),
+    )
+    days = pace.whole_days(F.col("first_created"), moment(as_of)) + 1
+    return sums.withColumn("days_running", F.coalesce(days, F.lit(1)))
+
+
 def days_running(products: DataFrame, as_of: str) -> DataFrame:
     """First creation time and the number of the current day, counting from 1."""
     first = products.agg(F.min("created_at").alias("first_created"))

@@ -26,7 +26,7 @@ def top_earners(rollup: DataFrame, k: int = 5) -> DataFrame:
 
 
 def recent_transactions(tx: DataFrame, k: int = 20) -> DataFrame:
-    return tx.orderBy(F.desc_nulls_last("occurred_at"), "id").limit(k)
+    return tx.orderBy(F.desc_nulls_last("occurred_at"), "id", "transaction_id").limit(k)
 
 
 def newest(df: DataFrame, k: int) -> DataFrame:
@@ -61,7 +61,7 @@ def activity(messages: DataFrame, k: int = 12) -> DataFrame:
 
 
 def newest_days(daily: DataFrame, k: int = 14) -> DataFrame:
-    return daily.orderBy(F.desc("date")).limit(k).select(
+    return daily.orderBy(F.desc_nulls_last("date")).limit(k).select(
         "date", "revenue", "products_created", "products_listed", "sales_count"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.schemas import moment
+from ledgerloom.schemas import DAY, moment
 
 
 def mailbox_unread(messages: DataFrame, agent: str) -> DataFrame:
@@ -30,8 +30,13 @@ def insights_in(insights: DataFrame, *categories: str) -> DataFrame:
 
 
 def recent_transactions(tx: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Transactions strictly newer than ``days`` days before ``as_of``, newest first."""
+    """Transactions strictly newer than ``days`` days before ``as_of``, newest first.
+
+    Of a ledger kept by day, only the folders from that day on are read.
+    """
     since = moment(as_of) - F.make_dt_interval(F.lit(days))
+    if DAY in tx.columns:
+        tx = tx.where((F.col(DAY) >= F.to_date(since)) | F.col(DAY).isNull())
     return tx.where(F.col("occurred_at") > since).orderBy(F.desc("occurred_at"), "id")
 
 

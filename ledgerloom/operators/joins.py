@@ -60,9 +60,12 @@ def listed_parents(opportunities: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def not_in_ledger(orders: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Orders whose id is no transaction id of the ledger yet; the ledger has an order once."""
+    """Orders whose id is no transaction id of the ledger yet; the ledger has an order once.
+
+    An order without an id can't be looked up and is not among them.
+    """
     known = ledger.select(F.col("transaction_id").alias("id")).where(F.col("id").isNotNull())
-    return orders.join(known, "id", "left_anti")
+    return orders.where(F.col("id").isNotNull()).join(known, "id", "left_anti")
 
 
 def new_keys(batch: DataFrame, history: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ledgerloom.functions.text import not_empty
 from ledgerloom.operators.filters import paid_orders
 from ledgerloom.operators.joins import distinct_keys, new_keys, new_titles, not_in_ledger
 from ledgerloom.operators.windows import first_orders
-from ledgerloom.schemas import FINE_MONEY, MONEY, TABLES, conform, moment
+from ledgerloom.schemas import FINE_MONEY, MONEY, TABLES, conform, moment, row_id
 from ledgerloom.sinks.tables import stage
 
 
@@ -47,12 +47,12 @@ def products_created(opportunities: DataFrame, new_products: DataFrame, as_of: s
 
 
 def products_listed(products: DataFrame, published: DataFrame, as_of: str) -> DataFrame:
-    """Products after publishing: ``published`` has one row per product with its listing."""
-    listing = published.select(
-        F.col("product_id").alias("id"), F.col("platform_id").alias("new_platform_id"),
-        F.col("platform_url").alias("new_platform_url"), F.col("title").alias("new_title"),
-        F.col("description").alias("new_description"),
-        money.cents_to_amount(F.col("price_cents")).alias("new_price"), F.lit(True).alias("changed"),
+    """Products after publishing: ``published`` has the listings, of which the last by ``request_id`` counts."""
+    last = published.groupBy(F.col("product_id").alias("id")).agg(F.max(F.struct(
+        "request_id", "platform_id", "platform_url", "title", "description", "price_cents")).alias("last"))
+    listing = last.select(
+        "id", *[F.col(f"last.{c}").alias(f"new_{c}") for c in ("platform_id", "platform_url", "title", "description")],
+        money.cents_to_amount(F.col("last.price_cents")).alias("new_price"), F.lit(True).alias("changed"),
     )
     changed = F.coalesce("changed", F.lit(False))
     joined = products.join(listing, "id", "left")
@@ -78,7 +78,7 @@ def sale_rows(orders: DataFrame) -> DataFrame:
     amount = money.cents_to_amount(F.col("amount"))
     fee = money.order_fee(amount)
     rows = orders.select(
-        amount.alias("amount"), fee.alias("fee"), money.net_amount(F.lit("sale"), amount, fee).alias("net"),
+        row_id(F.col("id")).alias("id"), amount.alias("amount"), fee.alias("fee"), money.net_amount(F.lit("sale"), amount, fee).alias("net"),
         F.lit("polar").alias("platform"), F.col("id").alias("transaction_id"), F.lit("sale").alias("type"),
         F.col("product_name").alias("description"), F.col("created_at").alias("occurred_at"),
     )
@@ -103,7 +103,7 @@ def ledger_sync_batch(orders: DataFrame, ledger: DataFrame, folder: str) -> Data
 
 
 def sync_summary(orders: DataFrame, ledger: DataFrame) -> DataFrame:
-    """What a sync fetched, what of it is new, and the store totals of the fetched orders."""
+    """What a sync fetched, what of it is new or rejected for want of an id, and the totals of the fetched orders."""
     per_id = paid_orders(orders).groupBy("id").agg(
         F.count("*").alias("n"), F.sum("amount").alias("gross"),
         F.sum(money.net_cents(F.col("amount"))).alias("net"),
@@ -111,18 +111,22 @@ def sync_summary(orders: DataFrame, ledger: DataFrame) -> DataFrame:
     known = distinct_keys(ledger, "transaction_id", "id").withColumn("known", F.lit(True))
     sums = per_id.join(known, "id", "left").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("fetched"),
-        F.count(F.when(F.col("known").isNull(), 1)).alias("inserted"),
+        F.count(F.when(F.col("known").isNull() & F.col("id").isNotNull(), 1)).alias("inserted"),
+        F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("rejected"),
         F.coalesce(F.sum("gross"), F.lit(0)).alias("gross"),
         F.coalesce(F.sum("net"), F.lit(0)).alias("net"),
     )
     return sums.select(
-        "fetched", "inserted", (F.col("gross") / 100).alias("gross"),
+        "fetched", "inserted", "rejected", (F.col("gross") / 100).alias("gross"),
         F.greatest(F.lit(0.0), F.col("net") / 100).alias("net"),
     )
 
 
 def logged_rows(entries: DataFrame) -> DataFrame:
-    """Logged entries (product_id, amount, fee, type, description, platform) as ledger rows."""
+    """Logged entries (product_id, amount, fee, type, description, platform) as ledger rows.
+
+    An entry that brings no id gets one from its content as it is appended.
+    """
     amount, fee = F.col("amount").cast(MONEY), F.col("fee").cast(FINE_MONEY)
     net = money.net_amount(F.col("type"), amount, fee)
     return conform(
@@ -179,6 +183,23 @@ def ingest_opportunities(found: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.select("id", "title", "type", F.explode(records).alias("r")).select("id", "title", "type", "r.*")
 
 
+def ingested(found: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+    """The records of ``ingest_opportunities`` as rows to append, by table; ``found`` has a description too."""
+    records = ingest_opportunities(found, known)
+    of_kind = {kind: records.where(F.col("kind") == kind) for kind in ("opportunity", "message", "insight")}
+    described = found.select(F.col("id").alias("of"), "description")
+    opportunities = of_kind["opportunity"].join(described, F.col("id") == F.col("of")).select(
+        "id", "type", "title", "description", F.col("value").cast(MONEY).alias("estimated_revenue"),
+        F.col("body").alias("metadata"))
+    messages = of_kind["message"].select(
+        F.col("source").alias("from_agent"), F.lit("content").alias("to_agent"), F.lit("task").alias("type"),
+        F.col("body").alias("payload"))
+    insights = of_kind["insight"].select(
+        F.lit("opportunity").alias("category"), "title", F.col("body").alias("data"),
+        F.col("value").cast(MONEY).alias("score"), "source")
+    return {"opportunities": opportunities, "agent_messages": messages, "market_insights": insights}
+
+
 # messages that table changes give rise to
 
 

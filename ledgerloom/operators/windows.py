@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.sinks.tables import stage
 
@@ -10,20 +10,33 @@ from ledgerloom.sinks.tables import stage
 ROW_BITS = 33
 
 
+def ranked(orders: DataFrame, key: str, order: tuple[str, ...]) -> Column:
+    """All columns but ``key`` as a struct that sorts by ``order``, NULL last, then by the others."""
+    rest = [c for c in orders.columns if c != key and c not in order]
+    return F.struct(*[c for name in order for c in (F.col(name).isNull().alias(f"no_{name}"), F.col(name))], *rest)
+
+
 def keep_first(orders: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     """One row per key: the first by ``order``, NULL last, remaining columns breaking ties.
 
     A minimum over a struct is aggregated before the shuffle, so a key that fills a third of the
-    rows is one partial row per task; a row_number window would sort all of it in one task.
+    rows is one partial row per task.
     """
-    rest = [c for c in orders.columns if c != key and c not in order]
-    ranked = [c for name in order for c in (F.col(name).isNull().alias(f"no_{name}"), F.col(name))]
-    first = orders.groupBy(key).agg(F.min(F.struct(*ranked, *rest)).alias("first"))
+    first = orders.groupBy(key).agg(F.min(ranked(orders, key, order)).alias("first"))
     return first.select(*[F.col(key) if c == key else F.col(f"first.{c}") for c in orders.columns])
 
 
+ORDER_RANK = ("created_at", "amount", "customer_email", "status")
+
+
 def first_orders(orders: DataFrame) -> DataFrame:
-    return keep_first(orders, "id", ("created_at", "amount", "customer_email", "status"))
+    """One row per order id. Orders without an id can't be told apart and are left to ``rejected_orders``."""
+    return keep_first(orders.where(F.col("id").isNotNull()), "id", ORDER_RANK)
+
+
+def rejected_orders(orders: DataFrame) -> DataFrame:
+    """The orders that no sync can take, as they have no id."""
+    return orders.where(F.col("id").isNull())
 
 
 def drain_positions(messages: DataFrame, folder: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Aggregates."""
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import aggregates as agg, filters, mutations
 from ledgerloom.plans.ledger import stored_ledger
-from ledgerloom.plans.registry import AS_OF_EVENT, as_double, plan
+from ledgerloom.plans.registry import AS_OF_EVENT, as_double, by_status_text, plan
 from ledgerloom.sources import payloads
 
 
@@ -60,6 +62,24 @@ def opp_status_counts(s):
     return agg.opportunity_counts(s.opportunities)
 
 
+@plan("agg_pipeline", """
+    SELECT CAST(sum(n) FILTER (status IN ('pending', 'in_progress')) AS BIGINT) AS open,
+           CAST(sum(n) FILTER (status = 'listed') AS BIGINT) AS completed,
+           string_agg(concat(status, ':', n), '|' ORDER BY status) AS by_status
+    FROM (SELECT status, count(*) AS n FROM opportunities GROUP BY status)""")
+def pipeline(s):
+    counts = agg.opportunity_pipeline(s.opportunities)
+    return counts.withColumn("by_status", by_status_text(F.col("by_status")))
+
+
+@plan("agg_ledger_summary", """
+    SELECT CAST(revenue AS DOUBLE) AS revenue, CAST(expenses AS DOUBLE) AS expenses, CAST(net AS DOUBLE) AS net, sales,
+           (SELECT count(*) FROM products WHERE status = 'listed') AS listed
+    FROM ledger_totals""")
+def ledger_summary(s):
+    return as_double(agg.ledger_summary(s.transactions, s.products), "revenue", "expenses", "net")
+
+
 @plan("agg_first_created", """
     SELECT min(created_at) AS first_created,
            coalesce(CAST(date_sub('second', min(created_at), TIMESTAMP '2024-01-31 00:00:00') // 86400 + 1 AS BIGINT), 1)
@@ -87,11 +107,12 @@ def store_summary(s):
 @plan("agg_sync_summary", """
     SELECT count(*) AS fetched,
            (SELECT count(*) FROM first_paid WHERE id NOT IN (SELECT transaction_id FROM paid_ledger)) AS inserted,
+           count(*) FILTER (id IS NULL) AS rejected,
            CAST(sum(amount) AS DOUBLE) / 100 AS gross,
            greatest(0, CAST(sum(amount - (amount * 4) // 100 - 40) AS DOUBLE) / 100) AS net
     FROM marketplace_paid""")
 def sync_summary(s):
-    ledger = stored_ledger(s, filters.paid_orders(payloads.order_rows(s.raw_orders)))
+    ledger = stored_ledger(s, filters.paid_orders(s.known_orders))
     return mutations.sync_summary(payloads.order_rows(s.raw_orders, "id", "status", "amount"), ledger)
 
 

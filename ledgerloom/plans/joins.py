@@ -46,10 +46,10 @@ def semi_listed(s):
 
 @plan("join_anti_new_orders", """
     SELECT * FROM flat_orders
-    WHERE id NOT IN (SELECT id FROM flat_orders WHERE created_at < TIMESTAMP '1998-06-01 00:00:00')""")
+    WHERE id NOT IN (SELECT id FROM flat_orders
+                     WHERE id IS NOT NULL AND created_at < TIMESTAMP '1998-06-01 00:00:00')""")
 def anti_new_orders(s):
-    orders = payloads.order_rows(s.raw_orders)
-    return joins.not_in_ledger(orders, stored_ledger(s, orders))
+    return joins.not_in_ledger(payloads.order_rows(s.raw_orders), stored_ledger(s, s.known_orders))
 
 
 @plan("join_anti_new_titles", """
@@ -72,7 +72,8 @@ def file_fallback(s):
 @plan("win_keep_first_order", """
     SELECT * EXCLUDE (rn) FROM (
         SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at, amount, customer_email, status,
-                                     currency, product_name) AS rn FROM flat_orders) WHERE rn = 1""")
+                                     currency, product_name) AS rn FROM flat_orders WHERE id IS NOT NULL)
+    WHERE rn = 1""")
 def keep_first_order(s):
     return windows.first_orders(payloads.order_rows(s.raw_orders))
 
@@ -90,14 +91,14 @@ def drain_order(s):
     FROM (SELECT title AS topic, 0 AS source FROM flat_results WHERE title <> ''
           UNION ALL SELECT title, 1 FROM flat_feed) GROUP BY topic""")
 def topics_union(s):
-    searched = payloads.search_results(s.search_payload, n=5)
+    searched = payloads.search_results(s.search_payload)
     return sets.topics(searched, payloads.feed_titles(s.feed_xml))
 
 
 @plan("set_topics_no_feed", """
     SELECT title AS topic, CAST(0 AS INT) AS source FROM flat_results WHERE title <> '' GROUP BY title""")
 def topics_no_feed(s):
-    return sets.topics(payloads.search_results(s.search_payload, n=5), None)
+    return sets.topics(payloads.search_results(s.search_payload), None)
 
 
 @plan("work_select", """

@@ -11,7 +11,10 @@ from ledgerloom.sources.tables import load
 
 
 def stored_ledger(s, orders):
-    """A ledger table that holds, once each, the ``orders`` from before ``LEDGER_UNTIL``."""
+    """A ledger table that holds, once each, the ``orders`` from before ``LEDGER_UNTIL``.
+
+    ``orders`` are read from columns, not from payloads, which the sync alone parses.
+    """
     root = workspace.new_folder(s.spark, "ledger")
     earlier = windows.first_orders(orders.where(F.col("created_at") < moment(LEDGER_UNTIL)))
     tables.append(mutations.sale_rows(earlier), root, "transactions", AS_OF_TXN)

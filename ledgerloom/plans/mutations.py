@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom import workspace
-from ledgerloom.operators import filters, mutations
+from ledgerloom.operators import filters, mutations, windows
 from ledgerloom.plans.ledger import stored_ledger
 from ledgerloom.plans.registry import AS_OF_EVENT, AS_OF_TXN, as_double, plan
 from ledgerloom.schemas import with_defaults
@@ -47,7 +47,7 @@ def product_created(s):
            CASE WHEN hit THEN r.platform_url ELSE p.platform_url END AS platform_url,
            CASE WHEN hit THEN 'listed' ELSE p.status END AS status,
            CASE WHEN hit THEN TIMESTAMP '2024-01-31 00:00:00' ELSE p.created_at END AS updated_at
-    FROM (SELECT *, status = 'draft' AS hit FROM products) p JOIN publish_requests r ON r.product_id = p.id""")
+    FROM (SELECT *, status = 'draft' AS hit FROM products) p LEFT JOIN last_requests r ON r.product_id = p.id""")
 def product_listed(s):
     state = mutations.products_listed(s.products, _publishing(s), AS_OF_EVENT)
     return as_double(
@@ -75,7 +75,7 @@ def updated_at(s):
 
 
 SYNCED = """
-    SELECT id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
+    SELECT CAST(concat('0x', substring(md5(id), 1, 15)) AS BIGINT) AS id, id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
            CAST(net AS DOUBLE) AS net, 'polar' AS platform, 'sale' AS type, product_name AS description, created_at AS occurred_at
     FROM sale_rows WHERE id NOT IN (SELECT transaction_id FROM paid_ledger)"""
 
@@ -83,28 +83,33 @@ SYNCED = """
 @plan("mut_ledger_sync", SYNCED)
 def ledger_sync(s):
     orders = payloads.order_rows(s.raw_orders)
-    ledger = stored_ledger(s, filters.paid_orders(orders))
-    added = mutations.ledger_sync(orders, ledger).drop("id", "product_id")
+    ledger = stored_ledger(s, filters.paid_orders(s.known_orders))
+    added = mutations.ledger_sync(orders, ledger).drop("product_id")
     return as_double(added, "amount", "fee", "net")
 
 
 @plan("mut_ledger_sync_batch", SYNCED)
 def ledger_sync_batch(s):
     orders = payloads.order_rows(s.raw_orders)
-    ledger = stored_ledger(s, filters.paid_orders(orders))
+    ledger = stored_ledger(s, filters.paid_orders(s.known_orders))
     added = mutations.ledger_sync_batch(orders, ledger, workspace.new_folder(s.spark, "batch"))
-    return as_double(added.drop("id", "product_id"), "amount", "fee", "net")
+    return as_double(added.drop("product_id"), "amount", "fee", "net")
+
+
+@plan("mut_ledger_rejected", "SELECT * FROM flat_orders WHERE id IS NULL")
+def ledger_rejected(s):
+    return windows.rejected_orders(payloads.order_rows(s.raw_orders))
 
 
 @plan("mut_log_transaction", """
-    SELECT product_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
+    SELECT id, product_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
            CAST(CASE WHEN type = 'expense' THEN -abs(amount) ELSE amount - fee END AS DOUBLE) AS net, platform, type,
            description, TIMESTAMP '2001-08-01 00:00:00' AS occurred_at
     FROM transactions""")
 def log_transaction(s):
-    entries = s.transactions.select("product_id", "amount", "fee", "type", "description", "platform")
+    entries = s.transactions.select("id", "product_id", "amount", "fee", "type", "description", "platform")
     rows = with_defaults(mutations.logged_rows(entries), "transactions", AS_OF_TXN)
-    return as_double(rows.drop("id", "transaction_id"), "amount", "fee", "net")
+    return as_double(rows.drop("transaction_id"), "amount", "fee", "net")
 
 
 @plan("mut_log_expense", """
@@ -120,31 +125,64 @@ def log_expense(s):
     return as_double(rows.select("amount", "fee", "net", "platform", "type", "description"), "amount", "fee", "net")
 
 
-@plan("mut_opportunity_ingest", """
-    WITH fresh AS (
-        SELECT id, title, type, CAST(estimated_revenue AS DOUBLE) AS est, metadata FROM (
-            SELECT *, row_number() OVER (PARTITION BY title ORDER BY id) AS rn FROM opportunities
-            WHERE status = 'pending') f
-        WHERE rn = 1 AND title NOT IN (SELECT title FROM opportunities WHERE status <> 'pending'))
+def _found(s):
+    """The pending opportunities as if just found, and the others as those known."""
+    pending = F.col("status") == "pending"
+    found = filters.with_keywords(s.opportunities).where(pending).select(
+        "id", "type", "title", "description", "estimated_revenue", "keywords",
+        F.when(F.col("id") % 2 == 0, "easy").alias("difficulty"), F.when(F.col("id") % 3 == 0, "makers").alias("target_audience"),
+    )
+    return found, s.opportunities.where(~pending)
+
+
+INGEST_TIME = f"TIMESTAMP '{AS_OF_EVENT}'"
+
+
+@plan("mut_opportunity_ingest", f"""
+    SELECT id, type, title, description, est AS estimated_revenue, 'pending' AS status, {INGEST_TIME} AS created_at,
+           CAST(to_json({{'keywords': json_extract(metadata, '$.keywords'), 'difficulty': difficulty,
+                         'target_audience': audience}}) AS STRING) AS metadata
+    FROM fresh_titles""")
+def opportunity_ingest(s):
+    rows = with_defaults(mutations.ingested(*_found(s))["opportunities"], "opportunities", AS_OF_EVENT)
+    return as_double(rows.select("id", "type", "title", "description", "estimated_revenue", "status", "created_at", "metadata"),
+                     "estimated_revenue")
+
+
+@plan("mut_opportunity_ingest_messages", f"""
+    SELECT CAST(concat('0x', substring(md5(concat('scanner|content|task|', payload, '|{AS_OF_EVENT}')), 1, 15)) AS BIGINT)
+               AS id, 'scanner' AS from_agent, 'content' AS to_agent, 'task' AS type, payload, CAST(0 AS INT) AS read,
+           {INGEST_TIME} AS created_at
+    FROM (SELECT CAST(to_json({{'task': 'create_product', 'opportunityId': id, 'title': title, 'type': type}}) AS STRING)
+                 AS payload FROM fresh_titles)""")
+def opportunity_ingest_messages(s):
+    return with_defaults(mutations.ingested(*_found(s))["agent_messages"], "agent_messages", AS_OF_EVENT)
+
+
+@plan("mut_opportunity_ingest_insights", f"""
+    SELECT CAST(concat('0x', substring(md5(concat('opportunity|', title, '|scanner|{AS_OF_EVENT}')), 1, 15)) AS BIGINT) AS id,
+           'opportunity' AS category, title, CAST(to_json({{'type': type, 'audience': audience}}) AS STRING) AS data,
+           CAST(CAST(est / 1000 AS DECIMAL(18,2)) AS DOUBLE) AS score, 'scanner' AS source, {INGEST_TIME} AS created_at
+    FROM fresh_titles""")
+def opportunity_ingest_insights(s):
+    rows = with_defaults(mutations.ingested(*_found(s))["market_insights"], "market_insights", AS_OF_EVENT)
+    return as_double(rows.drop("expires_at"), "score")
+
+
+@plan("mut_opportunity_ingest_records", """
     SELECT id, title, type, 'opportunity' AS kind, NULL AS source, est AS value,
-           CAST(to_json({'keywords': json_extract(metadata, '$.keywords'), 'difficulty': 'medium',
-                         'target_audience': ''}) AS STRING)
-               AS body FROM fresh
+           CAST(to_json({'keywords': json_extract(metadata, '$.keywords'), 'difficulty': difficulty,
+                         'target_audience': audience}) AS STRING) AS body FROM fresh_titles
     UNION ALL
     SELECT id, title, type, 'message', 'scanner', NULL,
            CAST(to_json({'task': 'create_product', 'opportunityId': id, 'title': title, 'type': type}) AS STRING)
-    FROM fresh
+    FROM fresh_titles
     UNION ALL
     SELECT id, title, type, 'insight', 'scanner', est / 1000,
-           CAST(to_json({'type': type, 'audience': ''}) AS STRING)
-    FROM fresh""")
-def opportunity_ingest(s):
-    pending = F.col("status") == "pending"
-    found = filters.with_keywords(s.opportunities).where(pending).select(
-        "id", "type", "title", "estimated_revenue", "keywords",
-        F.lit(None).cast("string").alias("difficulty"), F.lit(None).cast("string").alias("target_audience"),
-    )
-    return mutations.ingest_opportunities(found, s.opportunities.where(~pending))
+           CAST(to_json({'type': type, 'audience': audience}) AS STRING)
+    FROM fresh_titles""")
+def opportunity_ingest_records(s):
+    return mutations.ingest_opportunities(*_found(s))
 
 
 @plan("mut_event_messages", """

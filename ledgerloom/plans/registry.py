@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.plans import shared_sql
 from ledgerloom.sources.tables import Shop
@@ -65,6 +65,12 @@ def run(key: str, spark: SparkSession, root: str) -> DataFrame:
     return PLANS[key].run(Shop(spark, root))
 
 
+def by_status_text(counts: Column) -> Column:
+    """A map of counts as one text, in order of the keys."""
+    entries = F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return F.array_join(entries, "|")
+
+
 def as_double(df: DataFrame, *columns: str) -> DataFrame:
     """Report exact decimals as doubles."""
     return df.withColumns({c: F.col(c).cast("double") for c in columns})

@@ -14,10 +14,10 @@ VIEWS: dict[str, str] = {
         SELECT * EXCLUDE (rn) FROM (
             SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at, amount, customer_email, status,
                                          currency, product_name) AS rn
-            FROM marketplace_paid) WHERE rn = 1""",
+            FROM marketplace_paid WHERE id IS NOT NULL) WHERE rn = 1""",
     "paid_ledger": """
         SELECT DISTINCT id AS transaction_id FROM marketplace_paid
-        WHERE created_at < TIMESTAMP '1998-06-01 00:00:00'""",
+        WHERE id IS NOT NULL AND created_at < TIMESTAMP '1998-06-01 00:00:00'""",
     "sale_rows": """
         SELECT amount, fee, CAST(amount - fee AS DECIMAL(18,4)) AS net, id, product_name, created_at
         FROM (SELECT *, CAST(amount * 0.04 + 0.40 AS DECIMAL(18,4)) AS fee
@@ -35,7 +35,7 @@ VIEWS: dict[str, str] = {
         FROM (SELECT unnest(json_extract(payload, '$.data[*]')) AS r FROM raw_orders_jsonapi)""",
     "flat_posts": """
         SELECT r->>'$.id' AS id, r->>'$.title' AS title, r->>'$.status' AS status,
-               coalesce(r->>'$.url', '') AS url
+               coalesce(r->>'$.url', '') AS url, r->>'$.published_at' AS published_at
         FROM (SELECT unnest(json_extract(payload, '$.posts[*]')) AS r FROM posts_payload)""",
     "flat_results": """
         SELECT query_id, CAST(pos - 1 AS INT) AS pos, r->>'$.title' AS title, r->>'$.url' AS url,
@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
         FROM (SELECT feed_id, unnest(t) AS title, generate_subscripts(t, 1) AS pos
               FROM (SELECT feed_id, regexp_extract_all(body,
                         '<title><!\\[CDATA\\[([^\\]]+)\\]\\]></title>', 1) AS t FROM feed_xml))
-        WHERE pos BETWEEN 2 AND 10""",
+        WHERE pos >= 2""",
     "rollup_products": """
         SELECT p.*, coalesce(t.sales, 0) AS sales, coalesce(t.revenue, 0) AS revenue
         FROM products p
@@ -68,12 +68,23 @@ VIEWS: dict[str, str] = {
               SELECT CAST(created_at AS DATE), NULL, NULL, NULL, 0, 1,
                      CASE WHEN status = 'listed' THEN 1 ELSE 0 END, 0 FROM products) GROUP BY date""",
     "state_by_agent": """
-        SELECT s.agent_id, s.last_run, s.run_count, r.status, r.current_task, s.runs_started
+        SELECT s.agent_id, s.last_run, s.run_count, r.status, r.current_task, r.metadata, s.runs_started
         FROM (SELECT agent_id, max(run_at) AS last_run, count(*) AS run_count,
                      count(*) FILTER (status = 'running') AS runs_started
               FROM agent_runs GROUP BY agent_id) s
         JOIN (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY run_at DESC, seq DESC) AS rn
               FROM agent_runs) r ON r.agent_id = s.agent_id AND r.rn = 1""",
+    "last_requests": """
+        SELECT * EXCLUDE (rn) FROM (
+            SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY request_id DESC) AS rn
+            FROM publish_requests) WHERE rn = 1""",
+    "fresh_titles": """
+        SELECT id, title, type, description, CAST(estimated_revenue AS DOUBLE) AS est, metadata,
+               CASE WHEN id % 2 = 0 THEN 'easy' ELSE 'medium' END AS difficulty,
+               CASE WHEN id % 3 = 0 THEN 'makers' ELSE '' END AS audience
+        FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY id) AS rn FROM opportunities
+              WHERE status = 'pending')
+        WHERE rn = 1 AND title NOT IN (SELECT title FROM opportunities WHERE status <> 'pending')""",
     "unread_for_content": """
         SELECT * FROM agent_messages WHERE (to_agent = 'content' OR to_agent IS NULL) AND read = 0""",
     "creation_requests": """

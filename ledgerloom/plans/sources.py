@@ -78,7 +78,7 @@ def search_results(s):
     return payloads.search_results(s.search_payload)
 
 
-@plan("src_search_results_nulls", "SELECT query_id, pos, title, url, snippet FROM flat_results")
+@plan("src_search_results_nulls", "SELECT query_id, pos, title, url, snippet FROM flat_results WHERE pos < 8")
 def search_results_nulls(s):
     return payloads.search_results(s.search_payload, n=8, missing_snippet=None)
 
@@ -88,6 +88,13 @@ def posts(s):
     return payloads.posts(s.posts_payload, status="published").select("title", "url")
 
 
+@plan("src_posts_page", """
+    SELECT id, title, status, url, published_at FROM flat_posts WHERE status = 'published'
+    ORDER BY published_at DESC NULLS LAST, id LIMIT 20""")
+def posts_page(s):
+    return payloads.posts(s.posts_payload, status="published", limit=20)
+
+
 @plan("src_posts_total", """
     SELECT batch_id, coalesce(CAST(payload->>'$.meta.pagination.total' AS BIGINT), 0) AS total FROM posts_payload""")
 def posts_total(s):
@@ -97,3 +104,8 @@ def posts_total(s):
 @plan("src_feed_titles", "SELECT feed_id, pos, title FROM flat_feed")
 def feed_titles(s):
     return payloads.feed_titles(s.feed_xml)
+
+
+@plan("src_feed_titles_first", "SELECT feed_id, pos, title FROM flat_feed WHERE pos < 9")
+def feed_titles_first(s):
+    return payloads.feed_titles(s.feed_xml, n=9)

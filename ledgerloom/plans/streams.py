@@ -14,13 +14,13 @@ def mailbox(s):
 
 
 @plan("st_order_sync", """
-    SELECT id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
+    SELECT CAST(concat('0x', substring(md5(id), 1, 15)) AS BIGINT) AS id, id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
            CAST(net AS DOUBLE) AS net, 'polar' AS platform, 'sale' AS type, product_name AS description,
            created_at AS occurred_at
     FROM sale_rows""")
 def order_sync(s):
     added = jobs.order_sync(s.stream("raw_orders"), workspace.new_folder(s.spark, "orders"))
-    return as_double(added.drop("id", "product_id"), "amount", "fee", "net")
+    return as_double(added.drop("product_id"), "amount", "fee", "net")
 
 
 @plan("st_agent_state", "SELECT * FROM state_by_agent")

@@ -81,9 +81,22 @@ CLUSTERING: dict[str, tuple[str, ...]] = {
     "daily_metrics": ("date",),
 }
 
+# What an id is made of where a row is inserted without one.
+IDENTITY: dict[str, tuple[str, ...]] = {
+    "opportunities": ("title",),
+    "products": ("opportunity_id", "title", "created_at"),
+    "transactions": (
+        "transaction_id", "type", "product_id", "amount", "fee", "platform", "description", "occurred_at"),
+    "agent_messages": ("from_agent", "to_agent", "type", "payload", "created_at"),
+    "market_insights": ("category", "title", "source", "created_at"),
+}
+
+# Tables kept in one folder per day of a column, so that a recent window reads recent days only.
+BY_DAY = {"transactions": "occurred_at"}
+DAY = "day"
+
 OPPORTUNITY_TYPES = ("digital_product", "freelance", "affiliate", "service")
 INSIGHT_CATEGORIES = ("trend", "competitor", "keyword", "niche")
-AGENTS = ("scanner", "content", "sales", "blog", "analytics", "finance")  # those that keep a state
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -100,14 +113,20 @@ def moment(as_of: str) -> Column:
     return F.lit(as_of).cast("timestamp")
 
 
+def row_id(*parts: Column) -> Column:
+    """An id from the content of a row: 60 bits of a digest, the same at each run."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def with_defaults(df: DataFrame, table: str, as_of: str) -> DataFrame:
-    """Rows ready for insert into ``table``: full schema, NULLs replaced by the column defaults."""
+    """Rows ready for insert into ``table``: full schema, NULLs replaced by the column defaults, ids by the content's."""
     fills: dict[str, Column] = {c: F.lit(v) for c, v in DEFAULTS[table].items()}
     fills |= {c: moment(as_of) for c in INSERT_TIMES[table]}
     schema = TABLES[table]
-    rows = conform(df, schema)
-    return rows.select(*[
+    rows = conform(df, schema).select(*[
         F.coalesce(F.col(f.name), fills[f.name].cast(f.dataType)).alias(f.name)
         if f.name in fills else F.col(f.name)
         for f in schema
     ])
+    return rows.withColumn("id", F.coalesce("id", row_id(*map(F.col, IDENTITY[table]))))

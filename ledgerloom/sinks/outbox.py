@@ -36,7 +36,7 @@ def post_batch(articles: DataFrame, as_of: str) -> DataFrame:
     tags = F.when(F.size("tags") > 0, F.transform("tags", lambda t: F.struct(t.alias("name"))))
     meta = text.not_empty(F.col("meta_description"))
     published = F.when(F.col("status") == "published", F.date_format(moment(as_of), "yyyy-MM-dd'T'HH:mm:ssxxx"))
-    optional = [F.col(c) for c in ("feature_image", "canonical_url") if c in articles.columns]
+    optional = [text.not_empty(F.col(c)).alias(c) for c in ("feature_image", "canonical_url") if c in articles.columns]
     post = F.struct(
         "title", "html", "status", tags.alias("tags"), meta.alias("meta_description"),
         meta.alias("og_description"), *optional, published.alias("published_at"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import money, pace
 from ledgerloom.operators import aggregates, feeds
-from ledgerloom.schemas import AGENTS
 
 
 def rows_as_list(limited: DataFrame, name: str, rank: list[Column], *fields: str) -> DataFrame:
@@ -22,17 +21,15 @@ def snapshot(
 ) -> DataFrame:
     """One row: the figures and the lists of the dashboard.
 
-    Lists come from limited feeds, and agents from the fixed set of those that keep a state, so each
-    list is of bounded size.
+    Lists come from limited feeds. All agents that keep a state are in it, one entry each: agents are programs, and
+    their table has a row for each.
     """
     newest_first = [-F.unix_micros("created_at"), F.col("id")]
-    known = agents.where(F.col("agent_id").isin(*AGENTS))
     parts = aggregates.one_row(
         aggregates.sales_total(tx).select("revenue", "sales"),
-        aggregates.catalog_counts(products),
-        aggregates.days_running(products, as_of).select("days_running"),
-        aggregates.opportunity_counts(opportunities),
-        rows_as_list(known, "agents", [F.col("agent_id")],
+        aggregates.catalog(products, as_of).drop("first_created"),
+        aggregates.opportunity_pipeline(opportunities),
+        rows_as_list(agents, "agents", [F.col("agent_id")],
                      "agent_id", "last_run", "run_count", "status", "current_task"),
         rows_as_list(feeds.recent_products(products), "recent_products", newest_first,
                      "title", "price", "status", "platform", "platform_url", "created_at"),
@@ -50,6 +47,7 @@ def snapshot(
         pace.monthly_run_rate(revenue, F.col("days_running")).alias("run_rate"),
         "days_running", "total_listed", "total_draft", money.usd(F.col("potential_gmv")).alias("potential_gmv"),
         F.col("open").alias("opp_open"), F.col("completed").alias("opp_completed"),
+        F.col("by_status").alias("opp_by_status"),
         "agents", "recent_products", "recent_insights", "activity", "daily",
     )
 

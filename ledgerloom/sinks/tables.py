@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.schemas import CLUSTERING, TABLES, conform, with_defaults
+from ledgerloom.schemas import BY_DAY, CLUSTERING, DAY, TABLES, conform, with_defaults
+
+
+def _write(rows: DataFrame, root: str, table: str, mode: str) -> None:
+    """Write rows that are in their final order; a table of ``BY_DAY`` into a folder per day."""
+    if table in BY_DAY:
+        rows.withColumn(DAY, F.to_date(BY_DAY[table])).write.mode(mode).partitionBy(DAY).parquet(f"{root}/{table}")
+    else:
+        rows.write.mode(mode).parquet(f"{root}/{table}")
 
 
 def append(df: DataFrame, root: str, table: str, as_of: str) -> None:
-    """Append ``df`` to ``table`` under ``root``, filling column defaults."""
-    with_defaults(df, table, as_of).write.mode("append").parquet(f"{root}/{table}")
+    """Append ``df`` to ``table`` under ``root``, filling column defaults.
+
+    Rows of a table by day are dealt by time and id first, so that a batch adds few files to a day, and a day of any size
+    is spread over several tasks.
+    """
+    rows = with_defaults(df, table, as_of)
+    if table in BY_DAY:
+        rows = rows.repartitionByRange(BY_DAY[table], "id").sortWithinPartitions(BY_DAY[table])
+    _write(rows, root, table, "append")
 
 
 def rewrite(df: DataFrame, root: str, table: str) -> None:
@@ -20,7 +35,7 @@ def rewrite(df: DataFrame, root: str, table: str) -> None:
     """
     order = CLUSTERING[table]
     rows = conform(df, TABLES[table]).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.write.mode("error").parquet(f"{root}/{table}")
+    _write(rows, root, table, "error")
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:

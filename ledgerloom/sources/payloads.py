@@ -100,10 +100,11 @@ def marketplace_products(payloads: DataFrame) -> DataFrame:
     return p.select("id", "name", "is_archived")
 
 
-def search_results(payloads: DataFrame, n: int = 10, missing_snippet: str | None = "") -> DataFrame:
-    """The first ``n`` results of each search; ``missing_snippet=None`` keeps absent snippets NULL."""
+def search_results(payloads: DataFrame, n: int | None = None, missing_snippet: str | None = "") -> DataFrame:
+    """The results of each search, or its first ``n``; ``missing_snippet=None`` keeps absent snippets NULL."""
     results = F.from_json("payload", SEARCH)["web"]["results"]
-    r = payloads.select("query_id", F.posexplode(F.slice(results, 1, n)).alias("pos", "r"))
+    kept = results if n is None else F.slice(results, 1, n)
+    r = payloads.select("query_id", F.posexplode(kept).alias("pos", "r"))
     snippet = F.coalesce("r.description", F.lit(missing_snippet).cast("string"))
     return r.select("query_id", "pos", "r.title", "r.url", snippet.alias("snippet"))
 
@@ -115,7 +116,7 @@ def posts(payloads: DataFrame, status: str | None = None, limit: int | None = No
         p = p.where(F.col("status") == status)
     if limit is not None:
         p = p.orderBy(F.desc_nulls_last("published_at"), "id").limit(limit)
-    return p.select("id", "title", "status", F.coalesce("url", F.lit("")).alias("url"))
+    return p.select("id", "title", "status", F.coalesce("url", F.lit("")).alias("url"), "published_at")
 
 
 def posts_total(payloads: DataFrame) -> DataFrame:
@@ -123,8 +124,9 @@ def posts_total(payloads: DataFrame) -> DataFrame:
     return payloads.select("batch_id", F.coalesce(total, F.lit(0)).alias("total"))
 
 
-def feed_titles(feeds: DataFrame, n: int = 9) -> DataFrame:
-    """Item titles of each feed: the first title names the channel and is skipped."""
+def feed_titles(feeds: DataFrame, n: int | None = None) -> DataFrame:
+    """Item titles of each feed, or its first ``n``: the first title names the channel and is skipped."""
     titles = F.regexp_extract_all("body", F.lit(FEED_TITLE), F.lit(1))
-    t = feeds.select("feed_id", F.posexplode(F.slice(titles, 2, n)).alias("pos", "title"))
+    items = F.slice(titles, F.lit(2), F.size(titles) if n is None else F.lit(n))
+    t = feeds.select("feed_id", F.posexplode(items).alias("pos", "title"))
     return t.withColumn("title", strip(F.col("title")))

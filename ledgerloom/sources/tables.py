@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from ledgerloom.schemas import INT, LONG, STRING, TABLES, conform, table
+from ledgerloom.schemas import BY_DAY, DAY, INT, LONG, STRING, TABLES, conform, table
 from ledgerloom.sources.views import VIEWS
 
 
@@ -35,13 +33,15 @@ DRIVER_TABLES: dict[str, T.StructType] = {
 }
 
 
-# A backlog is worked off in batches of this many files, each with its own commit.
-FILES_PER_BATCH = 1000
-
-
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Scan domain table ``name`` stored as Parquet under ``root``, with its declared schema."""
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+    """Scan domain table ``name`` stored as Parquet under ``root``, with its declared schema.
+
+    A table kept by day has its day as a further column, for filters to find the folders by.
+    """
+    schema = TABLES[name]
+    if name in BY_DAY:
+        schema = T.StructType([*schema, T.StructField(DAY, T.DateType())])
+    return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -49,15 +49,16 @@ def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(DRIVER_TABLES[name]).parquet(f"{root}/{name}.parquet")
 
 
-def scan_stream(
-    spark: SparkSession, root: str, name: str, files_per_batch: int = FILES_PER_BATCH
-) -> DataFrame:
-    """Stream a driver table, stored as one Parquet file or as a folder of them."""
-    reader = spark.readStream.schema(DRIVER_TABLES[name]).option("maxFilesPerTrigger", files_per_batch)
-    path = f"{root}/{name}.parquet"
-    if os.path.isfile(path):
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
-    return reader.parquet(path)
+def scan_stream(spark: SparkSession, root: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream a driver table, stored as one Parquet file or as a folder of them, in any file system.
+
+    The path ends in a pattern that only it fits: Spark takes a pattern for what it finds there, a file or a folder,
+    and a plain path for a folder. ``files_per_batch`` cuts a backlog into batches; results don't depend on it.
+    """
+    reader = spark.readStream.schema(DRIVER_TABLES[name])
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{root}/{name}.parque[t]")
 
 
 def derive(df: DataFrame, view: str) -> DataFrame:
@@ -79,5 +80,5 @@ class Shop:
             return scan(self.spark, self.root, name)
         raise AttributeError(name)
 
-    def stream(self, view: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    def stream(self, view: str, files_per_batch: int | None = None) -> DataFrame:
         return derive(scan_stream(self.spark, self.root, VIEWS[view].table, files_per_batch), view)

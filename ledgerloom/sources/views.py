@@ -22,6 +22,9 @@ def _cents(column: str) -> str:
     return f"CAST(CAST(CAST({column} AS DECIMAL(18,2)) * 100 AS BIGINT) AS STRING)"
 
 
+_ORDER_ID = "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))"
+_ORDER_STATUS = """CASE WHEN l_returnflag = 'N' THEN 'OrderStatus.PAID' WHEN l_returnflag = 'A' THEN 'succeeded'
+                 WHEN l_linestatus = 'F' THEN 'unpaid' ELSE 'pending' END"""
 _AMOUNT = "CAST(o_totalprice AS DECIMAL(18,2))"
 _FEE = f"CAST({_AMOUNT} * 0.04 + 0.40 AS DECIMAL(18,4))"
 
@@ -64,7 +67,7 @@ VIEWS: dict[str, View] = {
         "'polar' AS platform",
         "concat('txn-', CAST(o_orderkey AS STRING)) AS transaction_id",
         "o_orderpriority AS description",
-        "CAST(o_orderdate AS TIMESTAMP) AS occurred_at",
+        "CASE WHEN o_orderkey % 97 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS occurred_at",
     )),
     "agent_messages": View("events", (
         "event_id AS id",
@@ -84,10 +87,11 @@ VIEWS: dict[str, View] = {
     )),
     "agent_runs": View("events", (
         "event_id AS seq",
-        """CASE user_id % 6 WHEN 0 THEN 'scanner' WHEN 1 THEN 'content' WHEN 2 THEN 'sales'
-           WHEN 3 THEN 'blog' WHEN 4 THEN 'analytics' ELSE 'finance' END AS agent_id""",
+        """CASE user_id % 7 WHEN 0 THEN 'scanner' WHEN 1 THEN 'content' WHEN 2 THEN 'sales'
+           WHEN 3 THEN 'blog' WHEN 4 THEN 'analytics' WHEN 5 THEN 'finance' ELSE 'critic' END AS agent_id""",
         "CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' ELSE 'idle' END AS status",
         "CASE WHEN event_type = 'click' THEN props END AS current_task",
+        "CASE WHEN event_id % 5 <> 0 THEN props END AS metadata",
         "CAST(ts AS TIMESTAMP) AS run_at",
     )),
     "market_insights": View("events", (
@@ -101,15 +105,24 @@ VIEWS: dict[str, View] = {
         "CAST(ts AS TIMESTAMP) AS created_at",
     )),
     "raw_orders": View("lineitem", (
-        f"""concat('{{"id":"', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '","status":"',
-            CASE WHEN l_returnflag = 'N' THEN 'OrderStatus.PAID' WHEN l_returnflag = 'A' THEN 'succeeded'
-                 WHEN l_linestatus = 'F' THEN 'unpaid' ELSE 'pending' END,
+        f"""concat('{{', CASE WHEN l_orderkey % 61 = 0 THEN '' ELSE concat('"id":"', {_ORDER_ID}, '",') END,
+            '"status":"', {_ORDER_STATUS},
             '","amount":', {_cents('l_extendedprice')}, ',"currency":"usd"',
             CASE WHEN l_suppkey % 7 = 0 THEN ''
                  ELSE concat(',"customer":{{"email":"u', CAST(l_suppkey AS STRING), '@example.com"}}') END,
             ',"product":{{"name":"part ', CAST(l_partkey AS STRING), '"}},"created_at":"',
             substring(CAST(l_shipdate AS STRING), 1, 19), '"}}') AS payload""",
     )),
+    "known_orders": View("lineitem", (
+        f"CASE WHEN l_orderkey % 61 <> 0 THEN {_ORDER_ID} END AS id",
+        f"{_ORDER_STATUS} AS status",
+        "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS amount",
+        "'usd' AS currency",
+        """CASE WHEN l_suppkey % 7 = 0 THEN ''
+           ELSE concat('u', CAST(l_suppkey AS STRING), '@example.com') END AS customer_email""",
+        "concat('part ', CAST(l_partkey AS STRING)) AS product_name",
+        "CAST(l_shipdate AS TIMESTAMP) AS created_at",
+    )),
     "raw_orders_jsonapi": View("orders", (
         f"""concat('{{"data":[{{"id":"', CAST(o_orderkey AS STRING), '","attributes":{{"status":"',
             CASE o_orderstatus WHEN 'O' THEN 'pending' ELSE 'paid' END,
@@ -140,13 +153,17 @@ VIEWS: dict[str, View] = {
         """concat('{"web":{"results":[{"title":"r', CAST(event_id AS STRING), '","url":"https://example.com/',
            event_type, '"',
            CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(',"description":"d ', event_type, '"') END,
-           '},{"title":"s', CAST(event_id AS STRING), '","url":"https://example.com/b"}]}}') AS payload""",
+           '},{"title":"s', CAST(event_id AS STRING), '","url":"https://example.com/b"}',
+           repeat(concat(',{"title":"more ', CAST(event_id AS STRING), '","url":"https://example.com/c"}'),
+                  CASE WHEN event_id % 20 = 0 THEN 12 ELSE 0 END), ']}}') AS payload""",
     )),
     "posts_payload": View("pages", (
         "page_id AS batch_id",
         """concat('{"posts":[{"id":"', CAST(page_id AS STRING), '","title":"post ', CAST(page_id % 40 AS STRING),
            '","status":"', CASE page_id % 3 WHEN 0 THEN 'draft' ELSE 'published' END, '"',
-           CASE WHEN page_id % 5 = 0 THEN '' ELSE concat(',"url":"', url, '"') END, '}]',
+           CASE WHEN page_id % 5 = 0 THEN '' ELSE concat(',"url":"', url, '"') END,
+           CASE WHEN page_id % 7 = 0 THEN ''
+                ELSE concat(',"published_at":"2024-01-', CAST(10 + page_id % 20 AS STRING), 'T00:00:00Z"') END, '}]',
            CASE WHEN page_id % 4 = 0 THEN ''
                 ELSE concat(',"meta":{"pagination":{"total":', CAST(page_id AS STRING), '}}') END, '}') AS payload""",
     )),
@@ -157,9 +174,12 @@ VIEWS: dict[str, View] = {
         "CASE page_id % 3 WHEN 0 THEN 'draft' ELSE 'published' END AS status",
         "CASE WHEN page_id % 6 = 0 THEN NULL ELSE concat('tag ', CAST(page_id % 4 AS STRING), ',guide') END AS tag_list",
         "CASE WHEN page_id % 4 = 0 THEN NULL ELSE concat('about ', url) END AS meta_description",
+        "CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat(url, '.png') END AS feature_image",
+        "CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE url END AS canonical_url",
     )),
     "publish_requests": View("part", (
-        "p_partkey AS product_id",
+        "p_partkey AS request_id",
+        "CASE WHEN p_partkey % 9 = 8 THEN p_partkey - 2 ELSE p_partkey END AS product_id",
         "upper(concat(p_name, ' ', p_brand)) AS title",
         "concat('now with ', lower(p_type)) AS description",
         "CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 100 AS BIGINT) + 100 AS price_cents",
@@ -178,7 +198,9 @@ VIEWS: dict[str, View] = {
         "page_id AS feed_id",
         """concat('<rss><title><![CDATA[Daily]]></title><item><title><![CDATA[topic ',
            CAST(page_id % 30 AS STRING), ']]></title></item><item><title><![CDATA[topic ',
-           CAST(page_id % 7 AS STRING), ']]></title></item></rss>') AS body""",
+           CAST(page_id % 7 AS STRING), ']]></title></item>',
+           repeat('<item><title><![CDATA[evergreen]]></title></item>', CASE WHEN page_id % 10 = 0 THEN 12 ELSE 0 END),
+           '</rss>') AS body""",
     )),
     "model_text": View("events", (
         "event_id AS id",

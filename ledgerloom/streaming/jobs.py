@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ledgerloom.functions import money
 from ledgerloom.operators import aggregates
 from ledgerloom.operators.filters import has_email, paid_orders
-from ledgerloom.operators.joins import new_keys
 from ledgerloom.operators.mutations import sale_rows
-from ledgerloom.operators.windows import first_orders
-from ledgerloom.schemas import FINE_MONEY, TABLES
-from ledgerloom.sinks.tables import stage
+from ledgerloom.operators.windows import ORDER_RANK, ranked
+from ledgerloom.schemas import FINE_MONEY
 from ledgerloom.sources.payloads import order_rows
 
 BEFORE_ANY_BATCH = -1
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _output(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
@@ -34,13 +34,18 @@ def _drive(
     spark = stream.sparkSession
     # An empty first batch, so that the output can be read before anything arrived.
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/batch_id={BEFORE_ANY_BATCH}")
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ON_DISK)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+    finally:
+        spark.conf.set(STATE_STORE, before)
     query.awaitTermination()
 
 
@@ -49,21 +54,6 @@ def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
 
-def write_new_keys(rows: DataFrame, folder: str, batch_id: int, key: str) -> None:
-    """Write the rows whose ``key`` no earlier batch has written.
-
-    ``rows`` must have one row per key. Only batches before this one are read, so a retried batch
-    does not see its own first attempt. Keys may repeat after any time, so the output itself is
-    the memory, and no stream state has to hold the keys.
-    """
-    if batch_id == 0:
-        return write_batch(rows, folder, batch_id)
-    spark = rows.sparkSession
-    batch = stage(rows, f"{folder}/staged/batch_id={batch_id}")
-    earlier = _output(spark, folder, rows.schema).where(F.col("batch_id") < batch_id)
-    write_batch(new_keys(batch, earlier, key), folder, batch_id)
-
-
 def mailbox(messages: DataFrame, agent: str, folder: str) -> DataFrame:
     """Messages for ``agent``, broadcasts included, delivered once.
 
@@ -77,23 +67,26 @@ def mailbox(messages: DataFrame, agent: str, folder: str) -> DataFrame:
 
 
 def order_sync(payloads: DataFrame, folder: str) -> DataFrame:
-    """Ledger rows of paid orders, once per order however late it repeats."""
-    ledger = TABLES["transactions"]
-
-    def sync(rows: DataFrame, n: int) -> None:
-        write_new_keys(sale_rows(first_orders(paid_orders(order_rows(rows)))), folder, n, "transaction_id")
+    """Ledger rows of paid orders, once per order however late it repeats.
 
-    _drive(payloads, folder, ledger, sync)
-    return _output(payloads.sparkSession, folder, ledger).drop("batch_id")
+    The first order of an id is kept as in a batch, so the result doesn't depend on how the orders are split into
+    batches. The state, one order per id, is a store on the executors' disks under the checkpoint: a batch touches its
+    own ids only, whatever the history holds. It writes those ids' first orders, and the last word on an id is
+    the best of what was written.
+    """
+    orders = paid_orders(order_rows(payloads)).where(F.col("id").isNotNull())
+    rank = ranked(orders, "id", ORDER_RANK)
+    first = orders.groupBy("id").agg(F.min(rank).alias("first"))
+    _drive(first, folder, first.schema, lambda rows, n: write_batch(rows, folder, n), "update")
+    written = _output(payloads.sparkSession, folder, first.schema)
+    kept = written.groupBy("id").agg(F.min("first").alias("first"))
+    return sale_rows(kept.select(*[F.col(c) if c == "id" else F.col(f"first.{c}") for c in orders.columns]))
 
 
 def lead_capture(leads: DataFrame, folder: str) -> DataFrame:
-    """Valid email addresses, once each."""
-    emails = leads.where(has_email(F.col("email"))).select("email")
-    _drive(
-        emails, folder, emails.schema,
-        lambda rows, n: write_new_keys(rows.distinct(), folder, n, "email"),
-    )
+    """Valid email addresses, once each; the state holds the addresses on disk, and a batch looks up its own."""
+    emails = leads.where(has_email(F.col("email"))).select("email").dropDuplicates(["email"])
+    _drive(emails, folder, emails.schema, lambda rows, n: write_batch(rows, folder, n))
     return _output(leads.sparkSession, folder, emails.schema).drop("batch_id")
 
 
@@ -109,14 +102,13 @@ def agent_state(runs: DataFrame, folder: str) -> DataFrame:
     return _newest_batch(runs.sparkSession, folder, state.schema)
 
 
-def daily_sales(purchases: DataFrame, folder: str, lateness: str = "1 day") -> DataFrame:
+def daily_sales(purchases: DataFrame, folder: str) -> DataFrame:
     """Sales and revenue per day of (``at``, ``value``); the state is one row per day.
 
     Every day is kept and reported, so a sale counts however late it arrives.
     """
     days = (
-        purchases.withWatermark("at", lateness)
-        .groupBy(F.window("at", "1 day").alias("day"))
+        purchases.groupBy(F.window("at", "1 day").alias("day"))
         .agg(F.count("*").alias("sales_count"), F.sum("value").cast(FINE_MONEY).alias("revenue"))
         .select(F.to_date("day.start").alias("date"), "sales_count", money.usd(F.col("revenue")).alias("revenue"))
     )
