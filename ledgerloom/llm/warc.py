@@ -140,9 +140,9 @@ def write_archives(records: DataFrame, folder: str, size: int = CHUNK) -> DataFr
         if writer is not None:
             yield pd.DataFrame({"path": [path], "n_records": [writer.n]})
 
-    rows = chunked(records, size).repartition("row_id").sortWithinPartitions("row_id", "chunk")
+    # the chunks of a record come out of one row, so they stay together and in order without a further shuffle
     return staged(
-        in_tasks(rows.withColumn("part", F.spark_partition_id()), work, "path string, n_records long",
+        in_tasks(chunked(records, size).withColumn("part", F.spark_partition_id()), work, "path string, n_records long",
                  ids=("page_id", "refers_to")), "archives")
 
 
