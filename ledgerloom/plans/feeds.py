@@ -1,4 +1,4 @@
-"""Ranked and newest-first lists."""
+"""Ranked and newest-first lists. The result names."""
 
 from ledgerloom.operators import aggregates, feeds
 from ledgerloom.plans.registry import AS_OF_EVENT, as_double, plan

@@ -1,4 +1,7 @@
-"""Joins, first-wins windows and set operations."""
+"""Joins, first-wins windows and set operations.
+
+Fixed values: the result names ``opp_type`` and ``opp_desc``.
+"""
 
 from pyspark.sql import functions as F
 

@@ -5,6 +5,7 @@ import os.path
 import random
 import re
 from datetime import datetime, timedelta
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,10 +30,14 @@ def applied(spark, values, ddl, column):
     return [r[1] for r in df.select("i", column(F.col("v"))).orderBy("i").collect()]
 
 
-def test_money_is_shown_like_python_does(spark, rng):
-    values = [round(rng.uniform(-20_000, 20_000), rng.randint(0, 4)) for _ in range(N)] + [0.125, 0.375, 9999.995]
-    want = [f"${v:,.2f}" if v < 10000 else f"${v:,.0f}" for v in values]
-    assert applied(spark, values, "double", text.fmt_money) == want
+def test_money_is_rounded_and_grouped(spark, rng):
+    shown = {0.0: "$0.00", 0.125: "$0.12", 0.375: "$0.38", 12.5: "$12.50", 1234.5: "$1,234.50", -0.5: "$-0.50",
+             9999.99: "$9,999.99", 10000.0: "$10,000", 10000.49: "$10,000", 1234567.8: "$1,234,568", -19999.25: "$-19,999.25"}
+    assert applied(spark, list(shown), "double", text.fmt_money) == list(shown.values())
+    values = [round(rng.uniform(-20_000, 20_000), 4) for _ in range(N)]
+    for value, text_of in zip(values, applied(spark, values, "double", text.fmt_money)):
+        places = Decimal("0.01") if value < 10000 else Decimal(1)
+        assert Decimal(text_of.replace("$", "").replace(",", "")) == Decimal(value).quantize(places, ROUND_HALF_EVEN)
 
 
 def test_fees_like_float_arithmetic(spark, rng):
