@@ -8,7 +8,7 @@ is over a half. A prediction counts if the paragraph resembles a template of the
 pairs of neighbouring words in either are in both, or three fifths (``COVERED``) of the template's are in the paragraph.
 
 The corpus sample for ``unknown`` has at most ``SAMPLE`` paragraphs, by a hash of the text; the fit is one task. The model has
-a row for each term it saw and is broadcast; it grows with the sample, not with the corpus. All paragraphs are scored.
+a row for each term seen in ``LEAST_SEEN`` of its texts and is broadcast; it grows with the sample, not with the corpus. All paragraphs are scored.
 
 Defined results: a null or blank text has no paragraphs and no licences. Rows that repeat an id are scanned each for itself.
 An empty table gives an empty result. Columns besides doc_id and text aren't read.
@@ -65,9 +65,10 @@ UNKNOWN = len(FAMILIES)  # the class after the families
 SAMPLE = 10_000  # paragraphs of the corpus that the model learns from
 ALIKE, COVERED = 0.35, 0.6
 VARIANTS = 120  # of each template
+LEAST_SEEN = 3  # training paragraphs that a term must be in
 EPOCHS, BATCH = 12, 128
 _PLAIN = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
-MODEL = "term long, weights array<float>"
+MODEL = "term long, weights binary"  # weights as 32-bit floats
 
 
 class Paragraphs:
@@ -154,7 +155,10 @@ def fit(sample: list[str]) -> pd.DataFrame:
     paragraphs = Paragraphs([*texts, *mixed, *common])
     term, owner = paragraphs.terms()
     label = np.array(classes + [UNKNOWN] * (len(mixed) + len(common)))[paragraphs.text]
-    names, at = np.unique(term, return_inverse=True)
+    names, at, seen = np.unique(term, return_inverse=True, return_counts=True)
+    often = seen >= LEAST_SEEN
+    use = often[at]
+    names, at, owner = names[often], (np.cumsum(often) - 1)[at[use]], owner[use]
     rows = rows_of(at, owner, paragraphs.n)
     held = random.random(len(label)) < 0.2
     weights = np.zeros((len(names) + 1, len(FAMILIES) + 1))
@@ -174,7 +178,7 @@ def fit(sample: list[str]) -> pd.DataFrame:
     x = logits(rows, weights, back)
     loss = [-np.log(softmax(x / t)[np.arange(len(back)), label[back]] + 1e-12).mean() for t in TEMPERATURES]
     weights /= TEMPERATURES[int(np.argmin(loss))]
-    return pd.DataFrame({"term": np.append(names, 0), "weights": list(weights.astype(np.float32))})
+    return pd.DataFrame({"term": np.append(names, 0), "weights": [w.tobytes() for w in weights.astype(np.float32)]})
 
 
 TEMPERATURES = np.geomspace(0.5, 5, 24)
@@ -219,7 +223,8 @@ def scanned(docs: DataFrame, model: DataFrame) -> DataFrame:
     how many paragraphs name one or only seem to."""
     found = model.toPandas().sort_values("term")
     is_bias = (found["term"] == 0).to_numpy()
-    weights = np.stack([*found["weights"][~is_bias], *found["weights"][is_bias]])
+    packed = b"".join([*found["weights"][~is_bias], *found["weights"][is_bias]])
+    weights = np.frombuffer(packed, np.float32).reshape(-1, UNKNOWN + 1)
     shared = docs.sparkSession.sparkContext.broadcast((found["term"].to_numpy()[~is_bias], weights))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
