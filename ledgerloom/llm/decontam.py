@@ -3,7 +3,8 @@
 A seed is a fixed mask over neighbouring words that looks at five of them and ignores the rest. Test and training words
 under each mask are hashed and joined on the hash. Around a hit, words are compared one by one along its diagonal: an
 overlap is a window of 12 words (or a whole shorter item) with at least 75 % equal words in the same places. The four
-masks together hit every window of 12 words with up to three substitutions, so no overlap of that size is missed.
+masks together hit every window of 10 to 12 words with as many substitutions as are allowed. Items of six to nine words
+have two masks of four words more; with them, every allowed substitution of such an item is hit, too.
 
 Words are lower-case runs of letters and digits; case, punctuation and spacing don't matter. Seeds and words are compared
 as 64-bit hashes.
@@ -25,7 +26,10 @@ from ledgerloom.workspace import staged
 
 # The offsets that each mask looks at.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 1, 4, 6, 7), (0, 1, 3, 4, 5))
-OFFSETS = sorted({o for mask in MASKS for o in mask})
+SHORT_MASKS = ((0, 1, 2, 5), (0, 2, 3, 4))  # more masks, for items of ``SHORT`` words
+SHORT = (6, 9)  # least and most words
+ALL_MASKS = (*MASKS, *SHORT_MASKS)
+OFFSETS = sorted({o for mask in ALL_MASKS for o in mask})
 WINDOW = 12
 MIN_EQUAL_PERCENT = 75
 BLOCK = 500_000  # seeds that are broadcast at once; a larger benchmark is joined in several blocks
@@ -36,15 +40,15 @@ def hashes(text: Column) -> Column:
     return F.transform(tx.plain_words(text), lambda w: F.xxhash64(w))
 
 
-def seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each position of ``words`` and each mask that fits there: ``at`` (from 0) and ``seed``."""
+def seeds(df: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """A row for each position of ``words`` and each of ``masks`` that fits there: ``at`` (from 0) and ``seed``."""
     n = F.size("words")
     shifted = F.arrays_zip(*[
         F.slice("words", 1 + o, F.greatest(n - o, F.lit(0))).alias(f"w{o}") for o in OFFSETS])
     placed = df.select(*keep, F.posexplode(shifted).alias("at", "w"))
     hashed = [
-        F.when(F.col(f"w.w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"w.w{o}") for o in mask]))
-        for i, mask in enumerate(MASKS)]
+        F.when(F.col(f"w.w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(ALL_MASKS.index(mask)), *[F.col(f"w.w{o}") for o in mask]))
+        for mask in masks]
     return placed.select(*keep, "at", F.explode(F.array(*hashed)).alias("seed")).where(F.col("seed").isNotNull())
 
 
@@ -63,13 +67,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For rows of (``row``, ``words``): the rows and the items (``item``, ``n_items``) that overlap around some hit,
     ``first`` and ``last`` word of the row's text in such a window, and ``n_equal``, the most equal words in one."""
     tests = items(benchmark)
-    of_tests = seeds(tests, ["item", "n_items", "words"])
+    keep = ["item", "n_items", "words"]
+    short = tests.where(F.size("words").between(*SHORT))
+    of_tests = seeds(tests, keep, MASKS).unionAll(seeds(short, keep, SHORT_MASKS))
     of_tests = of_tests.select(
         "item", "n_items", "seed", around(F.col("words"), F.col("at")).alias("test"),
         F.least(F.size("words"), F.lit(WINDOW)).alias("n_window"))
     of_tests = staged(of_tests.dropDuplicates(), "seeds")
     n_blocks = max(1, -(-of_tests.count() // BLOCK))
-    of_docs = seeds(docs, ["row", "words"])
+    any_short = not of_tests.where(F.col("n_window") <= SHORT[1]).isEmpty()
+    of_docs = seeds(docs, ["row", "words"], ALL_MASKS if any_short else MASKS)
     found = []
     for block in range(n_blocks):
         part = of_tests if n_blocks == 1 else of_tests.where(F.pmod("seed", F.lit(n_blocks)) == block)

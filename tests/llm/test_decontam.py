@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from helpers_llm import pseudo_words
 
@@ -36,6 +37,20 @@ def test_every_window_with_up_to_three_substitutions_is_found(spark, documents):
     assert got == brute(docs, items) and len(got) > 100
 
 
+def test_short_items_with_every_allowed_substitution_are_found(spark, documents):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 12)]
+    docs = []
+    for n, text in items:
+        for n_changed in range(n // 4 + 2):
+            for places in combinations(range(n), n_changed):
+                words = ["x" if k in places else w for k, w in enumerate(text.split())]
+                docs.append((len(docs), " ".join(["before", *words, "after"])))
+                docs.append((len(docs), " ".join(words)))
+        docs += [(len(docs), " ".join(text.split()[1:])), (len(docs) + 1, " ".join(text.split()[:-1]))]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(documents(docs), benchmark(spark, items)).collect()}
+    assert got == brute(docs, items) and {i for _, i in got} == set(range(6, 12))
+
+
 def test_case_punctuation_and_short_items(spark, documents):
     items = [(1, "One, two; THREE four five six"), (2, "one two three"), (3, None), (4, ""), (9, "one two three four five six!")]
     docs = [(1, "say (one) two three-four five SIX now"), (2, "one two three"), (3, None), (None, "one two three four five six"),
