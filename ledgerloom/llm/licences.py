@@ -209,10 +209,10 @@ def resemblance(text: str, templates: list[str]) -> np.ndarray:
 def learned(docs: DataFrame) -> DataFrame:
     """The model, fitted on templates and a sample of the corpus's distinct paragraphs."""
     split = F.split("text", "\n")
-    n_lines = docs.agg(F.sum(F.size(split))).first()[0] or 0  # one number
     lines = docs.select(F.explode(split).alias("line")).where(F.trim("line") != "")
-    # a share of all lines by their hash, so that only about four samples are shuffled to find the distinct ones
     hashed = lines.select("line", F.xxhash64("line").alias("h"))
+    n_lines = hashed.agg(F.approx_count_distinct("h")).first()[0]  # one number; repeats don't count
+    # a share of the distinct lines by their hash, so that only about four samples are shuffled to find them
     few = hashed.where(F.pmod("h", F.lit(max(1, -(-n_lines // (4 * SAMPLE))))) == 0)
     sample = few.distinct().orderBy("h", "line").limit(SAMPLE)
 

@@ -95,3 +95,12 @@ def test_resemblance():
     assert licences.resemblance("Foo 1.0 is released under the MIT License, which see, and then some more words", [template])[0] >= licences.ALIKE
     assert licences.resemblance("released the license", [template])[0] < licences.ALIKE
     assert Rows([]).take(np.zeros(0, np.int64))[0].tolist() == []
+
+
+def test_the_sample_is_full_however_often_lines_repeat(documents, monkeypatch):
+    monkeypatch.setattr(licences, "SAMPLE", 50)
+    monkeypatch.setattr(licences, "in_tasks", lambda df, work, schema: df)
+    monkeypatch.setattr(licences, "staged", lambda df, label: df)
+    text = "\n".join(sentence(6, i) for i in range(200))
+    sample = licences.learned(documents([(i, text) for i in range(100)])).where("line != ''")
+    assert sample.count() == sample.distinct().count() == 50
