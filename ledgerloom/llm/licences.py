@@ -3,9 +3,10 @@
 A paragraph is a line with a word. Its terms are the distinct hashed runs of one to three words; a multinomial logistic
 regression over them gives the chance of each licence family and of ``unknown``. It is fitted on variations of the
 templates (words dropped, words of other texts put in, two templates' texts cut short) and, for ``unknown``, on paragraphs
-of the corpus. A temperature fitted on a part held back makes the chances calibrated, so that a family is predicted if its chance
-is over a half. A prediction counts if the paragraph resembles a template of the family: over a third (``ALIKE``) of the
-pairs of neighbouring words in either are in both, or three fifths (``COVERED``) of the template's are in the paragraph.
+of the corpus. A temperature fitted on a part held back makes the chances calibrated, so that a paragraph is predicted to be
+a notice if the chances of all families come to over a half. It names each family of which it resembles a template: over a
+third (``ALIKE``) of the pairs of neighbouring words in either are in both, or three fifths (``COVERED``) of the template's are
+in the paragraph. For a second family, three fifths of the pairs that no template of the first one has must be there, too.
 
 The corpus sample for ``unknown`` has at most ``SAMPLE`` paragraphs, by a hash of the text; the fit is one task. The model has
 a row for each term seen in ``LEAST_SEEN`` of its texts and is broadcast; it grows with the sample, not with the corpus. All paragraphs are scored.
@@ -206,6 +207,23 @@ def resemblance(text: str, templates: list[str]) -> np.ndarray:
     return np.array(out)
 
 
+def confirmed(text: str, chance: np.ndarray) -> list[str]:
+    """The families that a text resembles, from the likeliest on; what sets a further one apart from those before it must
+    be there as well, since notices of different families share most of their words."""
+    own, names, known = pairs(text), [], np.zeros(0, np.uint64)
+    like = resemblance(text, [t for _, t in TEMPLATES]) >= ALIKE
+    if not like.any():
+        return names
+    notices = _known[tuple(t for _, t in TEMPLATES)]
+    for i in np.argsort(-chance[:UNKNOWN], kind="stable").tolist():
+        at = [k for k, (f, _) in enumerate(TEMPLATES) if f == FAMILIES[i]]
+        apart = [np.setdiff1d(notices[k], known, assume_unique=True) for k in at if like[k]]
+        if any(not names or len(x) and len(np.intersect1d(x, own)) >= COVERED * len(x) for x in apart):
+            names.append(FAMILIES[i])
+            known = np.union1d(known, np.concatenate([notices[k] for k in at]))
+    return names
+
+
 def learned(docs: DataFrame) -> DataFrame:
     """The model, fitted on templates and a sample of the corpus's distinct paragraphs."""
     split = F.split("text", "\n")
@@ -250,21 +268,21 @@ def scanned(docs: DataFrame, model: DataFrame) -> DataFrame:
             rows = rows_of(at[real], owner[real], p.n)
             chance = softmax(logits(rows, weight, np.arange(p.n))) if p.n else np.zeros((0, UNKNOWN + 1))
             families = [[] for _ in texts]
-            doubtful = np.zeros(len(texts), np.int64)
-            hit = np.flatnonzero((chance[:, :UNKNOWN] > 0.5).any(axis=1))
+            licensed, doubtful = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            hit = np.flatnonzero(chance[:, :UNKNOWN].sum(axis=1) > 0.5)
             if len(hit):
                 starts = np.searchsorted(p.text, np.arange(len(texts)))
                 for i in hit.tolist():
-                    of, family = int(p.text[i]), FAMILIES[int(chance[i].argmax())]
+                    of = int(p.text[i])
                     plain = texts[of].encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n")
                     line = [x for x in plain if x.split()][i - int(starts[of])].decode("utf-8", "surrogatepass")
-                    if resemblance(line, [t for f, t in TEMPLATES if f == family]).max() >= ALIKE:
-                        families[of].append(family)
-                    else:
-                        doubtful[of] += 1
+                    named = confirmed(line, chance[i])
+                    families[of] += named
+                    licensed[of] += bool(named)
+                    doubtful[of] += not named
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].array, "n_paragraphs": np.bincount(p.text, minlength=len(texts)),
-                "licences": [",".join(sorted(set(f))) for f in families], "n_licensed": [len(f) for f in families],
+                "licences": [",".join(sorted(set(f))) for f in families], "n_licensed": licensed,
                 "n_unconfirmed": doubtful})
 
     return in_tasks(

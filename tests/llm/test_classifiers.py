@@ -104,3 +104,15 @@ def test_the_sample_is_full_however_often_lines_repeat(documents, monkeypatch):
     text = "\n".join(sentence(6, i) for i in range(200))
     sample = licences.learned(documents([(i, text) for i in range(100)])).where("line != ''")
     assert sample.count() == sample.distinct().count() == 50
+
+
+def test_one_line_with_notices_of_two_families(spark, documents):
+    plain = [(1000 + i, "\n".join(sentence(12, 10 * i + k) for k in range(6))) for i in range(150)]
+    notice = {f: t for f, t in reversed(licences.TEMPLATES)}  # the first of each family
+    two = [("MIT", "Apache-2.0"), ("GPL", "MIT"), ("BSD", "MPL-2.0"), ("GPL", "LGPL"), ("CC-BY", "MIT"), ("CC-BY", "CC-BY-SA")]
+    docs = [(i, f"{notice[a]} {notice[b]}") for i, (a, b) in enumerate(two)]
+    docs += [(100, "SPDX-License-Identifier: MIT OR Apache-2.0"), (101, notice["MIT"] + "\n" + notice["GPL"])]
+    rows = {r.doc_id: r for r in licences.scanned(documents(docs), licences.learned(documents(plain))).collect()}
+    assert [(rows[i].licences, rows[i].n_licensed) for i in range(len(two))] == [(",".join(sorted(p)), 1) for p in two]
+    assert (rows[100].licences, rows[100].n_licensed) == ("Apache-2.0,MIT", 1)
+    assert (rows[101].licences, rows[101].n_licensed, rows[101].n_unconfirmed) == ("GPL,MIT", 2, 0)
