@@ -5,7 +5,7 @@ weight for each term and, for each two terms, the product of their factors: a pa
 group can weigh more than both alone. The pairs are never listed; their sum is half the difference between the squared
 sum of factors and the sum of their squares.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of the id, in one task; terms that fewer than
+The model is fitted on at most ``SAMPLE`` labelled rows that have a document, chosen by a hash of the id, in one task; terms that fewer than
 ``LEAST_SEEN`` of them hold have no weight. The weights, at most one row for each place, are broadcast. Scoring
 covers all rows, in batches.
 
@@ -101,7 +101,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The model, a row for each term and one for the bias, from labelled rows that aren't held out."""
     known = labels.select("doc_id", "toxic").where(
         F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    here = docs.select(F.col("doc_id").alias("id")).distinct()
+    sample = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic")).join(here, "id", "left_semi")
     sample = F.broadcast(sample.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
     rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("id"))
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))

@@ -116,3 +116,13 @@ def test_one_line_with_notices_of_two_families(spark, documents):
     assert [(rows[i].licences, rows[i].n_licensed) for i in range(len(two))] == [(",".join(sorted(p)), 1) for p in two]
     assert (rows[100].licences, rows[100].n_licensed) == ("Apache-2.0,MIT", 1)
     assert (rows[101].licences, rows[101].n_licensed, rows[101].n_unconfirmed) == ("GPL,MIT", 2, 0)
+
+
+def test_labels_without_a_document_take_no_room_in_the_sample(spark, documents, labelled, monkeypatch):
+    docs = documents([(i, t) for i, t, _ in labelled[:400]])
+    labels = [(i, 1, y) for i, _, y in labelled[:400]]
+    monkeypatch.setattr(toxicity, "SAMPLE", 400)
+    models = [toxicity.learned(docs, spark.createDataFrame(x, LABELS)).toPandas() for x in (
+        labels, labels + [(10_000 + i, 1, i % 2) for i in range(20_000)])]
+    assert len(models[0]) > 20 and models[0]["term"].tolist() == models[1]["term"].tolist()
+    assert np.allclose(models[0]["weight"], models[1]["weight"])
