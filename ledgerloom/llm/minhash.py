@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.llm import text as tx
 from ledgerloom.llm.arrays import Texts, chunks, mix, runs
 from ledgerloom.llm.graph import components
+from ledgerloom.llm.substrings import KEY, keyed
 from ledgerloom.llm.workers import in_tasks
 from ledgerloom.workspace import staged
 
@@ -91,7 +92,8 @@ def sketch_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owner, hashes = shingles(texts)
         n = len(frame)
         yield pd.DataFrame({
-            "doc_id": frame["doc_id"].array, "n_shingles": np.bincount(owner, minlength=n),
+            "doc_id": frame["doc_id"].array, **{k: frame[k].to_numpy() for k in KEY},
+            "n_shingles": np.bincount(owner, minlength=n),
             "node": nodes_of(owner, hashes, n),
             "bands": list(sketches(owner, hashes, n).view(np.int64)),
         })
@@ -149,7 +151,7 @@ def likely_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 fresh = ~earlier.any(axis=1)
                 hit[x[fresh]] = hit[y[fresh]] = True
             step += 1
-        yield frame.loc[hit, [*TILES, "node", "doc_id"]]
+        yield frame.loc[hit, [*TILES, "node", *KEY]]
 
 
 def equal_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -183,7 +185,7 @@ def linked_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes, group = frame["node"].map(bytes).tolist(), group_ids(frame, TILES)
         links = []
         for rows in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(group)) + 1):
-            own = {nodes[i]: i for i in rows if nodes[i] == found[i]}  # an id may stand at several texts
+            own = {nodes[i]: i for i in rows if nodes[i] == found[i]}
             rows = list(own.values())
             if len(rows) < 2:
                 continue
@@ -204,13 +206,14 @@ def linked_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
-    texts = docs.select("doc_id", "text")
+    texts = keyed(docs)
     d = staged(in_tasks(
-        texts, sketch_rows, "doc_id string, n_shingles long, node binary, bands array<long>", ids=("doc_id",)), "sketches")
+        texts, sketch_rows, "doc_id string, key_a long, key_b long, n_shingles long, node binary, bands array<long>",
+        ids=("doc_id",)), "sketches")
     vertex = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("node")).alias("vertex")
     nodes = staged(d.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
-    ).select("node", vertex, "n_shingles", "bands"), "nodes")
+        F.min("doc_id").alias("doc_id"), F.min(F.struct(*KEY)).alias("at"), F.first("n_shingles").alias("n_shingles"),
+        F.first("bands").alias("bands")).select("node", vertex, "at", "n_shingles", "bands"), "nodes")
 
     short = F.xxhash64("node")
     in_bands = nodes.select(short.alias("short"), F.posexplode("bands").alias("band", "key"))
@@ -222,12 +225,13 @@ def groups(docs: DataFrame) -> DataFrame:
     met = met.select("short", "band", "key", F.least("part", "other").alias("part_a"),
                      F.greatest("part", "other").alias("part_b"))
     likely = met.join(nodes.withColumn("short", short), "short").select(
-        *TILES, "node", "n_shingles", "bands", F.col("vertex.doc_id").alias("doc_id"))
+        *TILES, "node", "n_shingles", "bands", "at.*")
     likely = staged(in_tasks(
         likely.repartition(*TILES).sortWithinPartitions(*TILES), likely_rows,
-        "band int, key long, part_a int, part_b int, node binary, doc_id string", ids=("doc_id",)), "likely")
-    full = likely.join(texts.select(F.col("doc_id").alias("id"), "text"), F.col("doc_id").eqNullSafe(F.col("id")))
-    full = full.select(*TILES, "node", "text").repartition(*TILES).sortWithinPartitions(*TILES)
+        "band int, key long, part_a int, part_b int, node binary, key_a long, key_b long"), "likely")
+    # one text for each node, whatever its id has beside it
+    own = texts.select(*KEY, "text").join(likely.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+    full = likely.join(own, KEY).select(*TILES, "node", "text").repartition(*TILES).sortWithinPartitions(*TILES)
     links = in_tasks(full, linked_rows, "node_a binary, node_b binary")
     names = nodes.select("node", "vertex")
     links = links.join(names.toDF("node_a", "a"), "node_a").join(names.toDF("node_b", "b"), "node_b")

@@ -73,6 +73,23 @@ def test_large_group_of_copies_and_one_long_text(documents):
     assert {c for d, _, c in got if d < 2000} == {0} and got[-1][2] == 2000
 
 
+def test_a_shared_id_fetches_one_text_for_each_node(documents, monkeypatch):
+    docs, fetched, in_tasks = [], [], minhash.in_tasks
+    for g in range(20):
+        base = pseudo_words(80, 50 + g)
+        docs += [(None if g % 2 else 7, " ".join(edited(base, i % 2, g))) for i in (0, 1, 1)]
+
+    def watched(df, work, *args, **more):
+        if work is minhash.linked_rows:
+            fetched.append((df.count(), df.select(*minhash.TILES, "node").distinct().count()))
+        return in_tasks(df, work, *args, **more)
+
+    monkeypatch.setattr(minhash, "in_tasks", watched)
+    rows = minhash.groups(documents(docs)).collect()
+    assert len(rows) == 60 and all(r.component_id == r.doc_id for r in rows)
+    assert fetched[0][0] == fetched[0][1] >= 40
+
+
 def test_empty_table(documents):
     assert found(documents([])) == []
 
