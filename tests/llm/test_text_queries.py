@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, duck, key):
 
 
 def test_all_operators_are_registered():
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
 
 
 def test_pipeline_keeps_less_at_each_filter_and_encodes_what_is_left(spark):
