@@ -1,7 +1,7 @@
 """The registered queries of this package and the SQL that checks them."""
 
 import corpus_pipeline
-from ledgerloom.llm import chat, decontam, licences, lines, minhash, mixing, quality, substrings, tokens, toxicity, warc
+from ledgerloom.llm import chat, decontam, licences, lines, minhash, mixing, quality, spelling, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_substrings": substrings.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_tokens": tokens.query,
     "op10_quality": quality.query,
+    "op12_spelling": spelling.query,
     "op13_lines": lines.query,
     "pipeline": corpus_pipeline.run,
 }
