@@ -1,7 +1,9 @@
 """The registered queries of this package and the SQL that checks them."""
 
 import corpus_pipeline
-from ledgerloom.llm import chat, decontam, licences, lines, minhash, mixing, quality, spelling, substrings, tokens, toxicity, warc
+from ledgerloom.llm import (
+    chat, collocations, decontam, licences, lines, minhash, mixing, quality, spelling, substrings, tokens, toxicity, warc,
+)
 
 QUERIES = {
     "op1_substrings": substrings.query,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_tokens": tokens.query,
     "op10_quality": quality.query,
+    "op11_collocations": collocations.query,
     "op12_spelling": spelling.query,
     "op13_lines": lines.query,
     "pipeline": corpus_pipeline.run,
@@ -24,5 +27,6 @@ ORACLE_SQL = {
     "op4_decontamination": decontam.SQL,
     "op5_chat": chat.SQL,
     "op10_quality": quality.SQL,
+    "op11_collocations": collocations.SQL,
     "op13_lines": lines.SQL,
 }
