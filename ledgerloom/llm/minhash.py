@@ -35,6 +35,7 @@ SHINGLE = 5
 PERCENT = 75
 BINS, ROWS = 128, 4
 LEAST_EQUAL = 72  # bins; sets with a similarity of 0.75 agree in 96 on average, with a deviation of 5
+FILTER = 1 << 25  # bits
 TILE = 256  # nodes; a tile compares two such parts of a bucket
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 _MAX = np.uint64(2**64 - 1)
@@ -204,6 +205,19 @@ def linked_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(links, columns=["node_a", "node_b"])
 
 
+def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose KEY is among those of ``keys``, and a few others.
+
+    The keys set bits of a filter that is broadcast: 64 bits in a row, at most FILTER / 64 rows whatever the input. The more keys
+    there are, the more other rows pass.
+    """
+    at = F.pmod("key_a", F.lit(FILTER))
+    word, bit = F.shiftright(at, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")
+    words = keys.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    met = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(words), "word")
+    return met.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     texts = keyed(docs)
@@ -229,8 +243,8 @@ def groups(docs: DataFrame) -> DataFrame:
     likely = staged(in_tasks(
         likely.repartition(*TILES).sortWithinPartitions(*TILES), likely_rows,
         "band int, key long, part_a int, part_b int, node binary, key_a long, key_b long"), "likely")
-    # one text for each node, whatever its id has beside it
-    own = texts.select(*KEY, "text").join(likely.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+    # one text for each node, whatever its id has beside it; most others are left out before anything is shuffled
+    own = maybe_among(texts.select(*KEY, "text"), likely).dropDuplicates(KEY)
     full = likely.join(own, KEY).select(*TILES, "node", "text").repartition(*TILES).sortWithinPartitions(*TILES)
     links = in_tasks(full, linked_rows, "node_a binary, node_b binary")
     names = nodes.select("node", "vertex")

@@ -110,3 +110,11 @@ def test_components_of_chains_and_stars(spark):
     got = {r.vertex: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and all(got[i] == 100 for i in range(101, 140)) and got[200] == 150
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_filter_leaves_out_no_key(spark):
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS key_a", "hash(id) AS key_b", "id AS text")
+    keys = rows.where("text % 10 = 0")
+    got = {r["text"] for r in minhash.maybe_among(rows, keys).collect()}
+    assert {i for i in range(0, 20_000, 10)} <= got and len(got) < 2_200
+    assert minhash.maybe_among(rows, keys.limit(0)).count() == 0
