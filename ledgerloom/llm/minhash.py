@@ -211,8 +211,8 @@ def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
     The keys set bits of a filter that is broadcast: 64 bits in a row, at most FILTER / 64 rows whatever the input. The more keys
     there are, the more other rows pass.
     """
-    at = F.pmod("key_a", F.lit(FILTER))
-    word, bit = F.shiftright(at, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")
+    word = F.expr(f"pmod(key_a, {FILTER}) div 64").alias("word")
+    bit = F.expr("shiftleft(1L, int(pmod(key_a, 64)))").alias("bit")
     words = keys.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     met = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(words), "word")
     return met.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
