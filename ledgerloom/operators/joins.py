@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.functions.text import not_empty
 from ledgerloom.operators.feeds import largest
 from ledgerloom.operators.filters import creation_tasks, listed
+from ledgerloom.workspace import staged
 
 
 def distinct_keys(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -68,6 +69,18 @@ def not_in_ledger(orders: DataFrame, ledger: DataFrame) -> DataFrame:
     return orders.where(F.col("id").isNotNull()).join(known, "id", "left_anti")
 
 
+def not_in_buckets(orders: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``not_in_ledger`` for a ledger in buckets of its key, which is not shuffled, and orders of which one id may have many.
+
+    The ids are looked up once each and what the ledger has of them is written; the orders, written too so that payloads are
+    parsed once, then meet a side that comes from a shuffle or is small, so a hot id is split.
+    """
+    given = staged(orders.where(F.col("id").isNotNull()), "orders")
+    known = ledger.select(F.col("transaction_id").alias("id"))
+    hit = staged(distinct_keys(given, "id", "id").join(known, "id", "left_semi"), "known-ids")
+    return given.join(hit, "id", "left_anti")
+
+
 def new_keys(batch: DataFrame, history: DataFrame, key: str) -> DataFrame:
     """Rows of ``batch``, one per ``key``, whose key ``history`` does not have.
 
@@ -80,11 +93,12 @@ def new_keys(batch: DataFrame, history: DataFrame, key: str) -> DataFrame:
 
 
 def new_titles(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Found opportunities of unknown title, the lowest id per title."""
+    """Found opportunities of unknown title, the lowest id per title; those without an id come last."""
     columns = [c for c in found.columns if c not in ("id", "title")]
-    first = found.groupBy("title").agg(F.min(F.struct("id", *columns)).alias("first"))
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", *columns)
+    first = found.groupBy("title").agg(F.min(rank).alias("first"))
     fresh = first.join(distinct_keys(known, "title", "title"), "title", "left_anti")
-    return fresh.select("title", "first.*")
+    return fresh.select("title", "first.*").drop("no_id")
 
 
 def with_file(requests: DataFrame, products: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ledgerloom.operators.joins import distinct_keys, new_keys, new_titles, not_
 from ledgerloom.operators.windows import first_orders
 from ledgerloom.schemas import FINE_MONEY, MONEY, TABLES, conform, moment, row_id
 from ledgerloom.sinks.tables import stage
+from ledgerloom.workspace import staged
 
 
 def touch(changed: Column, as_of: str) -> Column:
@@ -150,13 +151,53 @@ def insight_score(estimate: Column) -> Column:
     return F.coalesce(money.usd(estimate), F.lit(float(DEFAULT_ESTIMATE))) / 1000
 
 
-def ingest_opportunities(found: DataFrame, known: DataFrame) -> DataFrame:
-    """New opportunities, and the task and the insight that go with each, tagged by ``kind``.
+def identified(rows: DataFrame, known: DataFrame, bits: int = 60) -> DataFrame:
+    """``rows`` of different titles, each with an id that no other of them and no row of ``known`` has.
 
-    ``found`` has id, type, title, estimated_revenue, difficulty, target_audience and keywords. The
-    three records of an opportunity come from one pass over the deduplicated rows.
+    A row keeps the id it brings. Without one it gets an id from its title, so a second run gives the same. Where several rows
+    have one id, or a known one, the first by title that brought it keeps it and the others are hashed anew with the number of the
+    turn, until none meet; the rows that had to change are few, and each turn joins ids only. ``bits`` of the hash are used.
+    """
+    def hashed(turn: int) -> Column:
+        parts = [F.col("title")] if turn == 0 else [F.col("title"), F.lit(turn)]
+        return F.pmod(row_id(*parts), F.lit(1 << bits))
+
+    has_id = "id" in known.columns
+    taken = distinct_keys(known, "id", "taken_id") if has_id else None
+    given = rows.withColumn("made", F.col("id").isNull())
+    settled, turn = [], 0
+    given = given.withColumn("id", F.coalesce("id", hashed(0)))
+    while True:
+        given = staged(given, "ids")
+        # the ids of this turn, whose they are, and whether an earlier turn or the table has them
+        owner = given.groupBy(F.col("id").alias("own_id")).agg(
+            F.min(F.struct("made", "title")).alias("owner"), F.count("*").alias("n"))
+        earlier = [s.select(F.col("id").alias("taken_id")) for s in settled] + ([taken] if has_id else [])
+        if earlier:
+            used = reduce(DataFrame.unionAll, earlier)
+            owner = owner.join(used.withColumn("used", F.lit(True)), F.col("own_id") == F.col("taken_id"), "left")
+        else:
+            owner = owner.withColumn("used", F.lit(None).cast("boolean"))
+        met = staged(owner.where("n > 1 OR used").select("own_id", "owner", F.coalesce("used", F.lit(False)).alias("used")), "met")
+        if met.isEmpty():
+            return reduce(DataFrame.unionByName, [*settled, given]).drop("made")
+        own = F.col("used").isNull() | (~F.col("used") & (F.struct("made", "title") == F.col("owner")))
+        judged = staged(given.join(met, F.col("id") == F.col("own_id"), "left").withColumn("own", own), "judged")
+        settled.append(judged.where("own").select(*given.columns))
+        turn += 1
+        given = judged.where("NOT own").select(*given.columns).withColumns({"id": hashed(turn), "made": F.lit(True)})
+
+
+def new_opportunities(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The found opportunities of unknown title, once each, under the ids that all their records have."""
+    return identified(new_titles(found, known), known)
+
+
+def opportunity_records(fresh: DataFrame) -> DataFrame:
+    """Of identified opportunities, the row, the task and the insight that go with each, tagged by ``kind``.
+
+    The three records come from one pass over the rows. A description goes with the opportunity.
     """
-    fresh = new_titles(found, known)
     estimate = F.coalesce(money.usd(F.col("estimated_revenue")), F.lit(float(DEFAULT_ESTIMATE)))
     audience = F.coalesce("target_audience", F.lit(""))
     metadata = F.struct(
@@ -168,27 +209,39 @@ def ingest_opportunities(found: DataFrame, known: DataFrame) -> DataFrame:
         F.lit("create_product").alias("task"), F.col("id").alias("opportunityId"), "title", "type"
     )
     insight = F.struct("type", audience.alias("audience"))
+    description = F.col("description") if "description" in fresh.columns else F.lit(None).cast("string")
 
-    def record(kind: str, sender: str | None, body: Column, value: Column) -> Column:
+    def record(kind: str, sender: str | None, body: Column, value: Column, text: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"), F.lit(sender).cast("string").alias("source"),
-            F.to_json(body).alias("body"), value.cast("double").alias("value"),
+            F.to_json(body).alias("body"), value.cast("double").alias("value"), text.alias("description"),
         )
 
+    nothing = F.lit(None).cast("string")
     records = F.array(
-        record("opportunity", None, metadata, estimate),
-        record("message", "scanner", task, F.lit(None)),
-        record("insight", "scanner", insight, estimate / 1000),
+        record("opportunity", None, metadata, estimate, description),
+        record("message", "scanner", task, F.lit(None), nothing),
+        record("insight", "scanner", insight, estimate / 1000, nothing),
     )
     return fresh.select("id", "title", "type", F.explode(records).alias("r")).select("id", "title", "type", "r.*")
 
 
+def ingest_opportunities(found: DataFrame, known: DataFrame) -> DataFrame:
+    """New opportunities, and the task and the insight that go with each, tagged by ``kind``.
+
+    ``found`` has id, which may be NULL, type, title, estimated_revenue, difficulty, target_audience and keywords.
+    """
+    return opportunity_records(new_opportunities(found, known)).drop("description")
+
+
 def ingested(found: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
-    """The records of ``ingest_opportunities`` as rows to append, by table; ``found`` has a description too."""
-    records = ingest_opportunities(found, known)
+    """The records of ``ingest_opportunities`` as rows to append, by table; ``found`` has a description too.
+
+    The identified rows are written once, so the three tables agree on every id.
+    """
+    records = opportunity_records(staged(new_opportunities(found, known), "new-opportunities"))
     of_kind = {kind: records.where(F.col("kind") == kind) for kind in ("opportunity", "message", "insight")}
-    described = found.select(F.col("id").alias("of"), "description")
-    opportunities = of_kind["opportunity"].join(described, F.col("id") == F.col("of")).select(
+    opportunities = of_kind["opportunity"].select(
         "id", "type", "title", "description", F.col("value").cast(MONEY).alias("estimated_revenue"),
         F.col("body").alias("metadata"))
     messages = of_kind["message"].select(

@@ -52,7 +52,7 @@ def semi_listed(s):
     WHERE id NOT IN (SELECT id FROM flat_orders
                      WHERE id IS NOT NULL AND created_at < TIMESTAMP '1998-06-01 00:00:00')""")
 def anti_new_orders(s):
-    return joins.not_in_ledger(payloads.order_rows(s.raw_orders), stored_ledger(s, s.known_orders))
+    return joins.not_in_buckets(payloads.order_rows(s.raw_orders), stored_ledger(s, s.known_orders))
 
 
 @plan("join_anti_new_titles", """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom import workspace
 from ledgerloom.operators import filters, mutations, windows
 from ledgerloom.plans.ledger import stored_ledger
-from ledgerloom.plans.registry import AS_OF_EVENT, AS_OF_TXN, as_double, plan
+from ledgerloom.plans.registry import AS_OF_EVENT, AS_OF_TXN, as_double, id_sql, plan
 from ledgerloom.schemas import with_defaults
 from ledgerloom.sources import payloads
 
@@ -74,8 +74,8 @@ def updated_at(s):
     return s.products.select("id", "status", mutations.touch(changed, AS_OF_EVENT).alias("updated_at"))
 
 
-SYNCED = """
-    SELECT CAST(concat('0x', substring(md5(id), 1, 15)) AS BIGINT) AS id, id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
+SYNCED = f"""
+    SELECT {id_sql("id")} AS id, id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
            CAST(net AS DOUBLE) AS net, 'polar' AS platform, 'sale' AS type, product_name AS description, created_at AS occurred_at
     FROM sale_rows WHERE id NOT IN (SELECT transaction_id FROM paid_ledger)"""
 
@@ -150,8 +150,7 @@ def opportunity_ingest(s):
 
 
 @plan("mut_opportunity_ingest_messages", f"""
-    SELECT CAST(concat('0x', substring(md5(concat('scanner|content|task|', payload, '|{AS_OF_EVENT}')), 1, 15)) AS BIGINT)
-               AS id, 'scanner' AS from_agent, 'content' AS to_agent, 'task' AS type, payload, CAST(0 AS INT) AS read,
+    SELECT {id_sql("'scanner'", "'content'", "'task'", "payload", f"'{AS_OF_EVENT}'")} AS id, 'scanner' AS from_agent, 'content' AS to_agent, 'task' AS type, payload, CAST(0 AS INT) AS read,
            {INGEST_TIME} AS created_at
     FROM (SELECT CAST(to_json({{'task': 'create_product', 'opportunityId': id, 'title': title, 'type': type}}) AS STRING)
                  AS payload FROM fresh_titles)""")
@@ -160,7 +159,7 @@ def opportunity_ingest_messages(s):
 
 
 @plan("mut_opportunity_ingest_insights", f"""
-    SELECT CAST(concat('0x', substring(md5(concat('opportunity|', title, '|scanner|{AS_OF_EVENT}')), 1, 15)) AS BIGINT) AS id,
+    SELECT {id_sql("'opportunity'", "title", "'scanner'", f"'{AS_OF_EVENT}'")} AS id,
            'opportunity' AS category, title, CAST(to_json({{'type': type, 'audience': audience}}) AS STRING) AS data,
            CAST(CAST(est / 1000 AS DECIMAL(18,2)) AS DOUBLE) AS score, 'scanner' AS source, {INGEST_TIME} AS created_at
     FROM fresh_titles""")
@@ -185,6 +184,32 @@ def opportunity_ingest_records(s):
     return mutations.ingest_opportunities(*_found(s))
 
 
+def _unnumbered(s):
+    """The pending opportunities as a scanner finds them, without ids, and the others as those known."""
+    found, known = _found(s)
+    nothing = F.lit(None).cast("string")
+    return found.withColumns({"id": F.lit(None).cast("bigint"), "difficulty": nothing, "target_audience": nothing}), known
+
+
+@plan("mut_opportunity_ingest_unnumbered", f"""
+    SELECT {id_sql("title")} AS id, type, title, description, est AS estimated_revenue,
+           CAST(to_json({{'keywords': json_extract(metadata, '$.keywords'), 'difficulty': 'medium',
+                         'target_audience': ''}}) AS STRING) AS metadata
+    FROM unnumbered_titles""")
+def opportunity_ingest_unnumbered(s):
+    rows = mutations.ingested(*_unnumbered(s))["opportunities"]
+    return as_double(rows, "estimated_revenue")
+
+
+@plan("mut_opportunity_ingest_unnumbered_messages", f"""
+    SELECT 'scanner' AS from_agent, 'content' AS to_agent, 'task' AS type,
+           CAST(to_json({{'task': 'create_product', 'opportunityId': {id_sql("title")}, 'title': title, 'type': type}})
+                AS STRING) AS payload
+    FROM unnumbered_titles""")
+def opportunity_ingest_unnumbered_messages(s):
+    return mutations.ingested(*_unnumbered(s))["agent_messages"]
+
+
 @plan("mut_event_messages", """
     SELECT 'sales' AS from_agent, 'finance' AS to_agent, 'event' AS type,
            CAST(to_json({'event': 'product_listed', 'productId': id, 'url': platform_url,

@@ -71,6 +71,12 @@ def by_status_text(counts: Column) -> Column:
     return F.array_join(entries, "|")
 
 
+def id_sql(*parts: str) -> str:
+    """The id that a row gets from its content, in SQL."""
+    text = ", ".join(f"coalesce(concat(length({p}), ':', {p}), '-')" for p in parts)
+    return f"CAST(concat('0x', substring(md5(concat({text})), 1, 15)) AS BIGINT)"
+
+
 def as_double(df: DataFrame, *columns: str) -> DataFrame:
     """Report exact decimals as doubles."""
     return df.withColumns({c: F.col(c).cast("double") for c in columns})

@@ -85,6 +85,11 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY id) AS rn FROM opportunities
               WHERE status = 'pending')
         WHERE rn = 1 AND title NOT IN (SELECT title FROM opportunities WHERE status <> 'pending')""",
+    "unnumbered_titles": """
+        SELECT title, type, description, CAST(estimated_revenue AS DOUBLE) AS est, metadata
+        FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY type, description, estimated_revenue, metadata) AS rn
+              FROM opportunities WHERE status = 'pending')
+        WHERE rn = 1 AND title NOT IN (SELECT title FROM opportunities WHERE status <> 'pending')""",
     "unread_for_content": """
         SELECT * FROM agent_messages WHERE (to_agent = 'content' OR to_agent IS NULL) AND read = 0""",
     "creation_requests": """

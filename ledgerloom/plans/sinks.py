@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import workspace
 from ledgerloom.operators import aggregates, joins, mutations
-from ledgerloom.plans.registry import AS_OF_EVENT, GOAL, as_double, by_status_text, plan
+from ledgerloom.plans.registry import AS_OF_EVENT, GOAL, as_double, by_status_text, id_sql, plan
 from ledgerloom.sinks import outbox, snapshot, tables
 from ledgerloom.sources.tables import load
 
@@ -21,12 +21,11 @@ def append(s):
     return as_double(load(s.spark, root, "products"), "price", "revenue").drop("platform_id", "platform_url")
 
 
-@plan("sink_append_messages", """
-    SELECT CAST(concat('0x', substring(md5(concat('scanner|content|task|', payload, '|2024-01-31 00:00:00')), 1, 15)) AS BIGINT)
-               AS id, 'scanner' AS from_agent, 'content' AS to_agent, 'task' AS type, CAST(0 AS INT) AS read, payload,
+@plan("sink_append_messages", f"""
+    SELECT {id_sql("'scanner'", "'content'", "'task'", "payload", "'2024-01-31 00:00:00'")} AS id, 'scanner' AS from_agent, 'content' AS to_agent, 'task' AS type, CAST(0 AS INT) AS read, payload,
            TIMESTAMP '2024-01-31 00:00:00' AS created_at
-    FROM (SELECT CAST(to_json({'task': 'create_product', 'opportunityId': id, 'title': title, 'description': description,
-                               'platform': platform, 'metadata': {'keywords': json_extract(metadata, '$.keywords')}})
+    FROM (SELECT CAST(to_json({{'task': 'create_product', 'opportunityId': id, 'title': title, 'description': description,
+                               'platform': platform, 'metadata': {{'keywords': json_extract(metadata, '$.keywords')}}}})
                  AS STRING) AS payload FROM opportunities)""")
 def append_messages(s):
     root = workspace.new_folder(s.spark, "append")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom import workspace
-from ledgerloom.plans.registry import as_double, plan
+from ledgerloom.plans.registry import as_double, id_sql, plan
 from ledgerloom.sources.tables import scan_stream
 from ledgerloom.streaming import jobs
 
@@ -13,8 +13,8 @@ def mailbox(s):
     return jobs.mailbox(s.stream("agent_messages"), "content", workspace.new_folder(s.spark, "mailbox"))
 
 
-@plan("st_order_sync", """
-    SELECT CAST(concat('0x', substring(md5(id), 1, 15)) AS BIGINT) AS id, id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
+@plan("st_order_sync", f"""
+    SELECT {id_sql("id")} AS id, id AS transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee,
            CAST(net AS DOUBLE) AS net, 'polar' AS platform, 'sale' AS type, product_name AS description,
            created_at AS occurred_at
     FROM sale_rows""")

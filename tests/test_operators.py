@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom import workspace
 from ledgerloom.functions import money, pace, text
 from ledgerloom.operators import aggregates, feeds, filters, joins, mutations, quality, reports, sets, windows
-from ledgerloom.schemas import DEFAULTS, TABLES, conform, moment, with_defaults
+from ledgerloom.schemas import DEFAULTS, TABLES, conform, moment, row_id, with_defaults
 from ledgerloom.sinks import outbox, snapshot, tables
 from ledgerloom.sources import payloads
 from ledgerloom.sources.tables import load
@@ -597,3 +597,51 @@ def test_ingested_rows_can_be_appended(spark, folder):
     assert load(spark, folder, "opportunities").first().description == "long text"
     assert load(spark, folder, "agent_messages").first().read == 0
     assert float(load(spark, folder, "market_insights").first().score) == 2.0
+
+
+def described(spark, *records):
+    return found(spark, *records).withColumn("description", F.concat(F.lit("about "), "title"))
+
+
+def ids_by_table(tables_given):
+    return (sorted((r.id, r.title, r.description) for r in tables_given["opportunities"].collect()),
+            sorted(json.loads(r.payload)["opportunityId"] for r in tables_given["agent_messages"].collect()),
+            sorted(r.title for r in tables_given["market_insights"].collect()))
+
+
+def test_found_opportunities_without_ids_get_one_id_in_all_tables(spark):
+    batch = described(spark, (None, "t", "a", None, None, None, None), (None, "t", "b", None, None, None, None),
+                      (None, "u", "a", Decimal(3), None, None, None), (7, "t", "c", None, None, None, None))
+    opportunities, tasks, insights = ids_by_table(mutations.ingested(batch, empty(spark, "opportunities")))
+    assert [t for _, t, _ in sorted(opportunities, key=lambda r: r[1])] == ["a", "b", "c"] == insights
+    assert len({i for i, _, _ in opportunities}) == 3 and 7 in {i for i, _, _ in opportunities}
+    assert tasks == [i for i, _, _ in opportunities] and None not in tasks
+    assert all(d == f"about {t}" for _, t, d in opportunities)
+    again, _, _ = ids_by_table(mutations.ingested(batch, empty(spark, "opportunities")))
+    assert again == opportunities
+
+
+def test_a_shared_or_known_id_gives_no_extra_rows(spark):
+    batch = described(spark, (5, "t", "a", None, None, None, None), (5, "t", "b", None, None, None, None),
+                      (1, "t", "c", None, None, None, None), (6, "t", "d", None, None, None, None))
+    known = rows(spark, "opportunities", dict(id=1, title="old"), dict(id=9, title="d"))
+    opportunities, tasks, insights = ids_by_table(mutations.ingested(batch, known))
+    assert sorted(t for _, t, _ in opportunities) == ["a", "b", "c"] == insights
+    by_title = {t: i for i, t, _ in opportunities}
+    assert by_title["a"] == 5 and len(set(by_title.values()) | {1}) == 4
+    assert tasks == sorted(by_title.values())
+
+
+def test_hashed_ids_that_meet_are_hashed_anew(spark):
+    batch = found(spark, *[(None, "t", f"title {i}", None, None, None, None) for i in range(40)])
+    known = rows(spark, "opportunities", *[dict(id=i, title=f"old {i}") for i in range(20)])
+    got = [r.id for r in mutations.identified(batch, known, bits=7).collect()]
+    assert len(set(got)) == 40 and min(got) >= 20 and max(got) < 128
+    got = mutations.identified(batch, spark.createDataFrame([], "title string"), bits=6).collect()
+    assert len({r.id for r in got}) == 40 and {r.title for r in got} == {f"title {i}" for i in range(40)}
+
+
+def test_parts_of_an_id_do_not_run_together(spark):
+    parts = spark.createDataFrame([("a|b", "", 1), ("a", "b|", 1), ("", None, 1), (None, "", 1), ("1:", "x", 1), ("", "1:x", 1)],
+                                  "a string, b string, n int")
+    assert parts.select(row_id(F.col("a"), F.col("b"))).distinct().count() == 6
