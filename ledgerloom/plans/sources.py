@@ -1,5 +1,7 @@
 """Sources."""
 
+from pyspark.sql import functions as F
+
 from ledgerloom.plans.registry import as_double, plan
 from ledgerloom.sources import payloads
 
@@ -44,6 +46,54 @@ def order_payload(s):
     return payloads.order_rows(s.raw_orders)
 
 
+def damaged(payloads):
+    """Payloads of which some were cut off, replaced by a message, or lost."""
+    p, fault = F.col("payload"), F.length("payload") % 9
+    return payloads.withColumn("payload", F.when(fault == 0, F.left(p, F.length(p) - 3)).when(fault == 1, F.lit("<html>502"))
+                               .when(fault == 2, F.lit(None)).otherwise(p))
+
+
+DAMAGED = """WITH damaged AS (
+        SELECT * REPLACE (CASE length(payload) % 9 WHEN 0 THEN left(payload, length(payload) - 3) WHEN 1 THEN '<html>502'
+                               WHEN 2 THEN NULL ELSE payload END AS payload) FROM {})"""
+DAMAGED_ORDERS = DAMAGED.format("raw_orders")
+
+
+@plan("src_order_payload_damaged", f"""
+    {DAMAGED_ORDERS}
+    SELECT payload->>'$.id' AS id, payload->>'$.status' AS status, CAST(payload->>'$.amount' AS BIGINT) AS amount
+    FROM damaged WHERE json_valid(payload)""")
+def order_payload_damaged(s):
+    return payloads.order_rows(damaged(s.raw_orders), "id", "status", "amount")
+
+
+@plan("src_order_payload_rejected", f"""
+    {DAMAGED_ORDERS} SELECT payload FROM damaged WHERE payload IS NULL OR NOT json_valid(payload)""")
+def order_payload_rejected(s):
+    return payloads.rejected(damaged(s.raw_orders), "orders")
+
+
+@plan("src_jsonapi_damaged", f"""
+    {DAMAGED.format("raw_orders_jsonapi")}
+    SELECT r->>'$.id' AS id, r->>'$.attributes.status' AS status
+    FROM (SELECT unnest(json_extract(payload, '$.data[*]')) AS r FROM damaged WHERE json_valid(payload))""")
+def jsonapi_damaged(s):
+    return payloads.store_orders(damaged(s.raw_orders_jsonapi)).select("id", "status")
+
+
+@plan("src_jsonapi_rejected", f"""
+    {DAMAGED.format("raw_orders_jsonapi")} SELECT payload FROM damaged WHERE payload IS NULL OR NOT json_valid(payload)""")
+def jsonapi_rejected(s):
+    return payloads.rejected(damaged(s.raw_orders_jsonapi), "store_orders")
+
+
+@plan("src_search_results_rejected", f"""
+    {DAMAGED.format("search_payload")}
+    SELECT query_id, payload FROM damaged WHERE payload IS NULL OR NOT json_valid(payload)""")
+def search_results_rejected(s):
+    return payloads.rejected(damaged(s.search_payload), "search_results")
+
+
 @plan("src_jsonapi", "SELECT * FROM flat_store_orders")
 def jsonapi(s):
     return payloads.store_orders(s.raw_orders_jsonapi)

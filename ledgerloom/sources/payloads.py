@@ -1,12 +1,16 @@
 """Nested API payloads flattened to rows.
 
 Each payload is parsed once against a declared schema. A field that is missing or null takes its
-default; an unreadable number or time becomes NULL and is counted by the quality checks.
+default; an unreadable number or time becomes NULL and is counted by the quality checks. A payload that is missing, that is no whole
+JSON object, or in which no declared field can be read gives no rows; ``rejected`` returns it as it came. So every
+payload is either read or rejected, in a batch and in a stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,6 +39,42 @@ JSONAPI_PRODUCT = "name: string, status: string, buy_now_url: string"
 FEED_TITLE = r"<title><!\[CDATA\[([^\]]+)\]\]></title>"
 
 
+# The top-level fields that each kind of payload is read by.
+JSONAPI = "data array<struct<id: string, attributes: struct<{}>>>"
+KINDS = {
+    "orders": ORDER, "store_orders": JSONAPI.format(JSONAPI_ORDER), "stores": JSONAPI.format(JSONAPI_STORE),
+    "store_products": JSONAPI.format(JSONAPI_PRODUCT), "marketplace_products": MARKETPLACE_PRODUCTS,
+    "search_results": SEARCH, "posts": POSTS,
+}
+UNREADABLE = "unreadable"
+
+
+def parsed(payloads: DataFrame, schema: str, *keep: str) -> DataFrame:
+    """``keep`` and the fields of ``schema`` for each payload that can be read.
+
+    ``explode`` keeps the parsed record behind a generator: a later filter on its fields is then not
+    pushed below it, where it would parse every payload again for each field it names.
+    """
+    rows = payloads.select(*keep, F.explode(F.array(_record(schema))).alias("r"))
+    return rows.where(_is_read(rows)).select(*keep, "r.*").drop(UNREADABLE)
+
+
+def rejected(payloads: DataFrame, kind: str) -> DataFrame:
+    """The rows of ``payloads`` that give no rows as they can't be read, unchanged."""
+    rows = payloads.select(F.struct("*").alias("row"), F.explode(F.array(_record(KINDS[kind]))).alias("r"))
+    return rows.where(~_is_read(rows)).select("row.*")
+
+
+def _is_read(rows: DataFrame) -> Column:
+    """Whether the record ``r`` is there, and is whole or has a field that could be read."""
+    fields = [F.col(f"r.{c}") for c in rows.select("r.*").columns if c != UNREADABLE]
+    return F.col("r").isNotNull() & (F.col(f"r.{UNREADABLE}").isNull() | reduce(or_, [c.isNotNull() for c in fields]))
+
+
+def _record(schema: str) -> Column:
+    return F.from_json("payload", f"{schema}, {UNREADABLE} string", {"columnNameOfCorruptRecord": UNREADABLE})
+
+
 def _time(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
@@ -42,9 +82,7 @@ def _time(c: Column) -> Column:
 def order_rows(payloads: DataFrame, *columns: str) -> DataFrame:
     """One row per order payload, all columns or the named ones; ``amount`` is in cents.
 
-    ``inline`` keeps the parsed record behind a generator: a later filter on its fields is then not
-    pushed below it, where it would parse every payload again for each field it names. Pruning does
-    not reach below it either, so name the columns where only some are needed.
+    Pruning does not reach below the parsed record, so name the columns where only some are needed.
     """
     values = {c: F.col(c) for c in ("id", "status", "amount", "currency")} | {
         "customer_email": F.coalesce("customer.email", F.lit("")),
@@ -53,8 +91,8 @@ def order_rows(payloads: DataFrame, *columns: str) -> DataFrame:
     }
     columns = columns or tuple(values)
     nested = {"customer_email": "customer", "product_name": "product"}
-    parsed = ", ".join(f"{name} {ORDER_FIELDS[name]}" for name in (nested.get(c, c) for c in columns))
-    o = payloads.select(F.inline(F.array(F.from_json("payload", parsed))))
+    schema = ", ".join(f"{name} {ORDER_FIELDS[name]}" for name in (nested.get(c, c) for c in columns))
+    o = parsed(payloads, schema)
     return o.select(*[values[c].alias(c) for c in columns])
 
 
@@ -62,8 +100,7 @@ def flatten_jsonapi(
     payloads: DataFrame, attributes: str, fields: Mapping[str, str], defaults: Mapping[str, object] | None = None
 ) -> DataFrame:
     """Rows of ``data[]``: the record id, and ``fields`` (output name -> attribute path) with defaults."""
-    schema = f"data array<struct<id: string, attributes: struct<{attributes}>>>"
-    r = payloads.select(F.explode(F.from_json("payload", schema)["data"]).alias("r"))
+    r = parsed(payloads, JSONAPI.format(attributes)).select(F.explode("data").alias("r"))
     defaults = defaults or {}
 
     def value(name: str, path: str) -> Column:
@@ -96,22 +133,22 @@ def store_products(payloads: DataFrame) -> DataFrame:
 
 def marketplace_products(payloads: DataFrame) -> DataFrame:
     """The marketplace's own list of products, from ``items[]``."""
-    p = payloads.select(F.inline(F.from_json("payload", MARKETPLACE_PRODUCTS)["items"]))
+    p = parsed(payloads, MARKETPLACE_PRODUCTS).select(F.inline("items"))
     return p.select("id", "name", "is_archived")
 
 
 def search_results(payloads: DataFrame, n: int | None = None, missing_snippet: str | None = "") -> DataFrame:
     """The results of each search, or its first ``n``; ``missing_snippet=None`` keeps absent snippets NULL."""
-    results = F.from_json("payload", SEARCH)["web"]["results"]
+    results = F.col("web.results")
     kept = results if n is None else F.slice(results, 1, n)
-    r = payloads.select("query_id", F.posexplode(kept).alias("pos", "r"))
+    r = parsed(payloads, SEARCH, "query_id").select("query_id", F.posexplode(kept).alias("pos", "r"))
     snippet = F.coalesce("r.description", F.lit(missing_snippet).cast("string"))
     return r.select("query_id", "pos", "r.title", "r.url", snippet.alias("snippet"))
 
 
 def posts(payloads: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
     """Blog posts as rows; newest published first when limited to a page."""
-    p = payloads.select(F.explode(F.from_json("payload", POSTS)["posts"]).alias("p")).select("p.*")
+    p = parsed(payloads, POSTS).select(F.explode("posts").alias("p")).select("p.*")
     if status:
         p = p.where(F.col("status") == status)
     if limit is not None:

@@ -16,7 +16,7 @@ from ledgerloom.operators.filters import has_email, paid_orders
 from ledgerloom.operators.mutations import sale_rows
 from ledgerloom.operators.windows import ORDER_RANK, ranked
 from ledgerloom.schemas import FINE_MONEY
-from ledgerloom.sources.payloads import order_rows
+from ledgerloom.sources.payloads import order_rows, rejected
 
 BEFORE_ANY_BATCH = -1
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -31,9 +31,14 @@ def _drive(
     stream: DataFrame, folder: str, schema: T.StructType,
     write: Callable[[DataFrame, int], None], mode: str = "append",
 ) -> None:
-    spark = stream.sparkSession
     # An empty first batch, so that the output can be read before anything arrived.
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/batch_id={BEFORE_ANY_BATCH}")
+    empty = stream.sparkSession.createDataFrame([], schema)
+    empty.write.mode("overwrite").parquet(f"{folder}/out/batch_id={BEFORE_ANY_BATCH}")
+    _run(stream, folder, write, mode)
+
+
+def _run(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    spark = stream.sparkSession
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ON_DISK)
     try:
@@ -66,6 +71,33 @@ def mailbox(messages: DataFrame, agent: str, folder: str) -> DataFrame:
     return _output(messages.sparkSession, folder, unread.schema).drop("batch_id")
 
 
+def mailboxes(messages: DataFrame, recipients: DataFrame, folder: str) -> DataFrame:
+    """The mail of all ``recipients`` (agent), each message once for each of them it is for, broadcasts for all.
+
+    One stream reads the messages once and meets the recipients, who are listed twice: under their name, and under none for
+    broadcasts. One checkpoint stands for the read flags. A batch is written in a folder for each recipient, so reading a
+    mailbox reads its own files. A recipient who joins later gets what arrives from then on; mail for others is left out.
+    """
+    known = recipients.select(F.col("agent").alias("recipient")).where(F.col("recipient").isNotNull()).distinct()
+    boxes = known.withColumn("box", F.col("recipient")).unionAll(known.withColumn("box", F.lit(None).cast("string")))
+    mail = messages.where(F.col("read") == 0).join(boxes, F.col("to_agent").eqNullSafe(F.col("box"))).select(
+        "id", "from_agent", "type", "payload", "created_at", "recipient")
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").partitionBy("recipient").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    write(messages.sparkSession.createDataFrame([], mail.schema), BEFORE_ANY_BATCH)
+    _run(mail, folder, write)
+    return _output(messages.sparkSession, folder, mail.schema).select(*mail.columns)
+
+
+def rejected_payloads(payloads: DataFrame, kind: str, folder: str) -> DataFrame:
+    """The payloads of a stream that can't be read, as they came; the side channel of the jobs that read the others."""
+    bad = rejected(payloads, kind)
+    _drive(bad, folder, bad.schema, lambda rows, n: write_batch(rows, folder, n))
+    return _output(payloads.sparkSession, folder, bad.schema).drop("batch_id")
+
+
 def order_sync(payloads: DataFrame, folder: str) -> DataFrame:
     """Ledger rows of paid orders, once per order however late it repeats.
 
@@ -102,6 +134,27 @@ def agent_state(runs: DataFrame, folder: str) -> DataFrame:
     return _newest_batch(runs.sparkSession, folder, state.schema)
 
 
+def daily_metrics(
+    transactions: DataFrame, opportunities: DataFrame, products: DataFrame, folder: str,
+) -> DataFrame:
+    """All daily figures as a maintained table, from the streams of what they count.
+
+    The state is one row for each day, on disk; what is late changes its day. A batch gives out the days it has changed
+    with all their figures, and they replace these days' folders of the table, so the others keep their files and a retry
+    writes the same.
+    """
+    days = aggregates.daily_metrics(transactions, opportunities, products)
+
+    def replace(rows: DataFrame, _: int) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("date").parquet(f"{folder}/table")
+
+    spark = transactions.sparkSession
+    replace(spark.createDataFrame([], days.schema), BEFORE_ANY_BATCH)
+    _run(days, folder, replace, "update")
+    return spark.read.schema(days.schema).parquet(f"{folder}/table").select(*days.columns)
+
+
 def daily_sales(purchases: DataFrame, folder: str) -> DataFrame:
     """Sales and revenue per day of (``at``, ``value``); the state is one row per day.
 

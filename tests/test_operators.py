@@ -645,3 +645,22 @@ def test_parts_of_an_id_do_not_run_together(spark):
     parts = spark.createDataFrame([("a|b", "", 1), ("a", "b|", 1), ("", None, 1), (None, "", 1), ("1:", "x", 1), ("", "1:x", 1)],
                                   "a string, b string, n int")
     assert parts.select(row_id(F.col("a"), F.col("b"))).distinct().count() == 6
+
+
+@pytest.mark.parametrize("kind, good, read", [
+    ("store_orders", '{"data":[{"id":"1","attributes":{"status":"paid"}},{"id":"2"}]}', payloads.store_orders),
+    ("stores", '{"data":[{"id":"1","attributes":{"name":"x"}},{"id":"2"}]}', payloads.stores),
+    ("marketplace_products", '{"items":[{"id":"1"},{"id":"2"}]}', payloads.marketplace_products),
+    ("posts", '{"posts":[{"id":"1"},{"id":"2"}]}', payloads.posts),
+])
+def test_unreadable_payloads_are_kept_aside(spark, kind, good, read):
+    given = [good, good[:-4], "not json", None, good]
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(given)], "payload string, status int")
+    assert [tuple(r) for r in payloads.rejected(df, kind).orderBy("status").collect()] == [(given[i], i) for i in (1, 2, 3)]
+    assert read(df).count() == 4
+
+
+def test_orders_without_readable_payload_are_no_orders(spark):
+    df = spark.createDataFrame([('{"id":"a","amount":1}',), ('{"id":"a","amo',), ("x",), (None,), ("{}",)], "payload string")
+    assert sorted((r.id or "", r.amount) for r in payloads.order_rows(df).collect()) == [("", None), ("a", 1)]
+    assert payloads.order_rows(df, "id").count() == 2 and payloads.rejected(df, "orders").count() == 3

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import aggregates, filters, mutations
-from ledgerloom.schemas import TABLES
+from ledgerloom.schemas import TABLES, conform
 from ledgerloom.sources.payloads import order_rows
 from ledgerloom.sources.tables import DRIVER_TABLES, Shop, derive
 from ledgerloom.streaming import jobs
@@ -157,3 +157,88 @@ def test_late_sales_count(spark, folder):
     assert run() == {"2024-01-20": (2, 3.5)}
     sales(("2024-01-01 00:00:00", "4"), ("2024-01-20 00:00:00", "1")).write.mode("append").parquet(f"{folder}/in")
     assert run() == {"2024-01-01": (1, 4.0), "2024-01-20": (3, 4.5)}
+
+
+def test_daily_metrics_over_files_equal_the_batch(spark, folder):
+    shop = Shop(spark, ROOT)
+    split_files(shop.orders, f"{folder}/orders")
+    split_files(shop.part, f"{folder}/part", 4)
+    inputs = {"transactions": "orders", "opportunities": "part", "products": "part"}
+    want = as_set(aggregates.daily_metrics(*[getattr(shop, v) for v in inputs]))
+
+    def run():
+        streams = [stream(spark, f"{folder}/{t}", t, v) for v, t in inputs.items()]
+        return as_set(jobs.daily_metrics(*streams, f"{folder}/daily"))
+
+    assert None in {r[0] for r in want}  # what has no time
+    assert run() == want and run() == want
+
+
+def test_a_batch_replaces_only_its_days(spark, folder):
+    schema = TABLES["transactions"]
+
+    def sale(day, net):
+        row = spark.createDataFrame([(net, day)], "net string, day string").select(
+            F.lit(1).alias("id"), F.lit("sale").alias("type"), F.col("net").cast("decimal(18,4)").alias("net"),
+            F.col("day").cast("timestamp").alias("occurred_at"))
+        conform(row, schema).write.mode("append").parquet(f"{folder}/in")
+
+    def run():
+        nothing = {t: spark.createDataFrame([], TABLES[t]) for t in ("opportunities", "products")}
+        for t, df in nothing.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{t}")
+        streams = [spark.readStream.schema(TABLES[t]).parquet(f"{folder}/{p}") for t, p in
+                   (("transactions", "in"), ("opportunities", "opportunities"), ("products", "products"))]
+        got = {str(r["date"]): (float(r["revenue"]), r["sales_count"]) for r in
+               jobs.daily_metrics(*streams, f"{folder}/daily").collect()}
+        files = {d: sorted(f for f in os.listdir(f"{folder}/daily/table/{d}") if f.endswith(".parquet"))
+                 for d in os.listdir(f"{folder}/daily/table") if d.startswith("date=")}
+        return got, files
+
+    sale("2024-01-01 10:00:00", "2.5")
+    sale("2024-01-02 10:00:00", "1")
+    got, files = run()
+    assert got == {"2024-01-01": (2.5, 1), "2024-01-02": (1.0, 1)}
+    sale("2024-01-02 23:00:00", "4")
+    sale("2023-12-01 00:00:00", "8")  # late
+    later, after = run()
+    assert later == {"2024-01-01": (2.5, 1), "2024-01-02": (5.0, 2), "2023-12-01": (8.0, 1)}
+    assert after["date=2024-01-01"] == files["date=2024-01-01"] and after["date=2024-01-02"] != files["date=2024-01-02"]
+
+
+def test_one_stream_fills_all_mailboxes(spark, folder):
+    shop = Shop(spark, ROOT)
+    split_files(shop.events, f"{folder}/in")
+    agents = spark.createDataFrame([("sales",), ("content",), ("nobody",), ("sales",), (None,)], "agent string")
+
+    def run():
+        mail = jobs.mailboxes(stream(spark, f"{folder}/in", "events", "agent_messages"), agents, f"{folder}/boxes")
+        return sorted((r.recipient, r.id) for r in mail.collect())
+
+    want = sorted((a, r.id) for a in ("sales", "content", "nobody") for r in filters.mailbox_unread(shop.agent_messages, a).collect())
+    assert run() == want
+    assert run() == want  # started again, nothing is delivered twice
+    one_read = [p for p in os.listdir(f"{folder}/boxes") if p == "checkpoint"]
+    assert one_read == ["checkpoint"]
+    box = jobs.mailboxes(stream(spark, f"{folder}/in", "events", "agent_messages"), agents, f"{folder}/boxes").where("recipient = 'sales'")
+    assert all("recipient=sales" in f for f in box.inputFiles() if "recipient" in f) or box.count() == sum(a == "sales" for a, _ in want)
+
+
+def test_mailboxes_of_nothing(spark, folder):
+    split_files(Shop(spark, ROOT).events.where("false"), f"{folder}/in", 1)
+    agents = spark.createDataFrame([("sales",)], "agent string")
+    assert jobs.mailboxes(stream(spark, f"{folder}/in", "events", "agent_messages"), agents, f"{folder}/boxes").count() == 0
+
+
+BAD = ['{"id":"a","amount":1', "<html>", "", "[1, 2]", '"text"', None]
+GOOD = ['{"id":"a","amount":1}', "{}", '{"id":"b","amount":"no number","status":"paid"}', '{"id":null}']
+
+
+def test_every_order_payload_is_read_or_rejected_in_a_stream(spark, folder):
+    rows = spark.createDataFrame([(p, i) for i, p in enumerate(BAD + GOOD)], "payload string, n int")
+    rows.repartition(3).write.parquet(f"{folder}/in")
+    given = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    got = jobs.rejected_payloads(given, "orders", f"{folder}/bad")
+    assert sorted(r.n for r in got.collect()) == list(range(len(BAD)))
+    assert jobs.rejected_payloads(given, "orders", f"{folder}/bad").count() == len(BAD)
+    assert order_rows(rows).count() == len(GOOD)
