@@ -4,13 +4,13 @@ A seed is a fixed mask over neighbouring words that looks at five of them and ig
 under each mask are hashed and joined on the hash. Around a hit, words are compared one by one along its diagonal: an
 overlap is a window of 12 words (or a whole shorter item) with at least 75 % equal words in the same places. The four
 masks together hit every window of 10 to 12 words with as many substitutions as are allowed. Items of six to nine words
-have two masks of four words more; with them, every allowed substitution of such an item is hit, too.
+have two masks of four words more; with them, every allowed substitution of such an item is hit, too. An item of up to five
+words overlaps where all its words stand in order: its mask looks at all of them.
 
 Words are lower-case runs of letters and digits; case, punctuation and spacing don't matter. Seeds and words are compared
 as 64-bit hashes.
 
-Defined results: null and blank texts have no words and match nothing; so do items of under six words, which no mask
-fits. Equal items are one, under the smallest id (null only if all are). Repeated documents are judged each for
+Defined results: null and blank texts have no words and match nothing. Equal items are one, under the smallest id (null only if all are). Repeated documents are judged each for
 itself; a null doc_id groups with other null ones. An empty benchmark or table gives an empty result. Columns of the
 inputs never clash with computed ones.
 """
@@ -28,7 +28,8 @@ from ledgerloom.workspace import staged
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 1, 4, 6, 7), (0, 1, 3, 4, 5))
 SHORT_MASKS = ((0, 1, 2, 5), (0, 2, 3, 4))  # more masks, for items of ``SHORT`` words
 SHORT = (6, 9)  # least and most words
-ALL_MASKS = (*MASKS, *SHORT_MASKS)
+WHOLE_MASKS = tuple(tuple(range(n)) for n in range(1, SHORT[0]))  # each for the items of its length
+ALL_MASKS = (*MASKS, *SHORT_MASKS, *WHOLE_MASKS)
 OFFSETS = sorted({o for mask in ALL_MASKS for o in mask})
 WINDOW = 12
 MIN_EQUAL_PERCENT = 75
@@ -68,15 +69,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``first`` and ``last`` word of the row's text in such a window, and ``n_equal``, the most equal words in one."""
     tests = items(benchmark)
     keep = ["item", "n_items", "words"]
-    short = tests.where(F.size("words").between(*SHORT))
-    of_tests = seeds(tests, keep, MASKS).unionAll(seeds(short, keep, SHORT_MASKS))
+    size = F.size("words")
+    of_tests = [seeds(tests.where(size >= SHORT[0]), keep, MASKS), seeds(tests.where(size.between(*SHORT)), keep, SHORT_MASKS)]
+    of_tests += [seeds(tests.where(size == len(mask)), keep, (mask,)) for mask in WHOLE_MASKS]
+    of_tests = reduce(DataFrame.unionAll, of_tests)
     of_tests = of_tests.select(
         "item", "n_items", "seed", around(F.col("words"), F.col("at")).alias("test"),
         F.least(F.size("words"), F.lit(WINDOW)).alias("n_window"))
     of_tests = staged(of_tests.dropDuplicates(), "seeds")
     n_blocks = max(1, -(-of_tests.count() // BLOCK))
-    any_short = not of_tests.where(F.col("n_window") <= SHORT[1]).isEmpty()
-    of_docs = seeds(docs, ["row", "words"], ALL_MASKS if any_short else MASKS)
+    # masks that no item of this benchmark has are not tried on the documents
+    lengths = {r["n_window"] for r in of_tests.select("n_window").distinct().collect()}  # at most twelve
+    masks = [*MASKS, *(SHORT_MASKS if any(SHORT[0] <= n <= SHORT[1] for n in lengths) else ()),
+             *[mask for mask in WHOLE_MASKS if len(mask) in lengths]]
+    of_docs = seeds(docs, ["row", "words"], tuple(masks))
     found = []
     for block in range(n_blocks):
         part = of_tests if n_blocks == 1 else of_tests.where(F.pmod("seed", F.lit(n_blocks)) == block)
@@ -123,25 +129,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     return leaks(docs, benchmark).drop("first_word", "last_word")
 
 
-def _mask_sql(mask: tuple[int, ...]) -> str:
-    """The hits of one mask, by the words themselves."""
-    same = " AND ".join(f"d.words[d.pos + {o}] = t.words[t.pos + {o}]" for o in mask)
-    return (f"SELECT d.doc_id, t.item_id, d.pos AS p, t.pos AS q FROM in_docs d JOIN in_tests t ON {same} "
-            f"WHERE d.pos + {mask[-1]} <= len(d.words) AND t.pos + {mask[-1]} <= len(t.words)")
-
-
+# all alignments of a document and an item that share a word, whatever the masks
 _WORDS = r"string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
 SQL = f"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents WHERE text IS NOT NULL),
 tests AS (SELECT min(item_id) AS item_id, count(*) AS n_items, words
           FROM (SELECT item_id, {_WORDS} AS words FROM benchmark WHERE text IS NOT NULL) GROUP BY words),
-in_docs AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM docs),
-in_tests AS (SELECT item_id, words, unnest(range(1, len(words) + 1)) AS pos FROM tests),
-hits AS ({" UNION ".join(map(_mask_sql, MASKS))}),
-windows AS (
-    SELECT h.doc_id, h.item_id, t.n_items, least(12, len(t.words)) AS n_window,
-           list_sum(list_transform(range(0, 12), lambda k: CASE WHEN p + i + k - 12 >= 1 AND q + i + k - 12 >= 1
-                    AND d.words[p + i + k - 12] = t.words[q + i + k - 12] THEN 1 ELSE 0 END)) AS n_equal
-    FROM hits h JOIN docs d USING (doc_id) JOIN tests t USING (item_id), range(1, 13) s(i))
+in_docs AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+in_tests AS (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM tests),
+lines AS (
+    SELECT doc_id, item_id, d.pos - t.pos AS shift, list(t.pos) AS places
+    FROM in_docs d JOIN in_tests t ON d.word = t.word AND t.word <> '' GROUP BY ALL),
+likely AS (SELECT l.*, t.n_items, len(t.words) AS n FROM lines l JOIN tests t USING (item_id)
+           WHERE 100 * len(places) >= 75 * least(12, len(t.words))),
+windows AS (SELECT doc_id, item_id, n_items, n, list_max(list_transform(places, lambda p: len(list_filter(
+                places, lambda q: q BETWEEN p AND p + 11)))) AS n_equal FROM likely)
 SELECT doc_id, item_id, n_items, CAST(max(n_equal) AS BIGINT) AS n_equal
-FROM windows WHERE 100 * n_equal >= 75 * n_window GROUP BY ALL"""
+FROM windows WHERE CASE WHEN n < 6 THEN n_equal = n ELSE 100 * n_equal >= 75 * least(12, n) END GROUP BY ALL"""
