@@ -38,31 +38,45 @@ END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def planned(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(row_id, page_id, url, payload, payload_bytes, sha1, refers_to, is_response) for (page_id, url, html).
+def digested(pages: DataFrame) -> DataFrame:
+    """(row_id, page_id, url, payload, payload_bytes, sha1) for (page_id, url, html).
 
     Rows are numbered as they are read, so that repeated rows stay apart.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumns({"row_id": F.monotonically_increasing_id(), "sha1": F.sha1("payload"),
-                       "payload_bytes": F.octet_length("payload").cast("long")})
-    digests = staged(p.where(F.col("payload_bytes") >= least).select("page_id", "sha1").distinct(), "digests")
+    return p.withColumns({"row_id": F.monotonically_increasing_id(), "sha1": F.sha1("payload"),
+                          "payload_bytes": F.octet_length("payload").cast("long")})
+
+
+def revisits(payloads: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(of_page, of_sha1, refers_to): the pages whose payload another one stores."""
+    digests = staged(payloads.where(F.col("payload_bytes") >= least).select("page_id", "sha1").distinct(), "digests")
     stored = digests.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
     later = digests.join(stored.where("n > 1").drop("n"), "sha1").where("page_id IS DISTINCT FROM refers_to")
-    # pages meet their verdicts by id, so equal payloads aren't gathered anywhere
-    later = later.select(F.col("page_id").alias("of_page"), F.col("sha1").alias("of_sha1"), "refers_to")
-    same = F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("sha1") == F.col("of_sha1"))
-    return p.join(later, same, "left").select(
-        "row_id", "page_id", "url", "payload", "payload_bytes", "sha1", "refers_to",
-        F.col("of_sha1").isNull().alias("is_response"))
+    return later.select(F.col("page_id").alias("of_page"), F.col("sha1").alias("of_sha1"), "refers_to")
+
 
+def chunked(payloads: DataFrame, size: int = CHUNK) -> DataFrame:
+    """A row for each chunk of a payload, ``chunk`` and ``data``; chunk 0 is there for an empty one too."""
+    last = F.greatest(F.ceil(F.col("payload_bytes") / size) - 1, F.lit(0))
+    rows = payloads.withColumn("chunk", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return rows.withColumn("data", F.substring(F.col("payload"), F.col("chunk") * size + 1, F.lit(size))).drop("payload")
 
-def chunked(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """A row for each chunk of a record; chunk 0 is there for an empty payload and a revisit too."""
-    last = F.when(F.col("is_response"), F.greatest(F.ceil(F.col("payload_bytes") / size) - 1, F.lit(0))).otherwise(0)
-    rows = records.withColumn("chunk", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    data = F.when(F.col("is_response"), F.substring(F.col("payload"), F.col("chunk") * size + 1, F.lit(size)))
-    return rows.withColumn("data", data).drop("payload")
+
+def planned(pages: DataFrame, least: int = LEAST_REVISIT, size: int = CHUNK) -> DataFrame:
+    """The chunks to write, with ``refers_to`` and ``is_response``; those of a record are together and in order.
+
+    Chunks meet their verdicts by page and digest, so equal payloads aren't gathered anywhere. The chunks of a record come
+    from one row and go one way through the shuffle, even where it splits a hot key.
+    """
+    payloads = digested(pages)
+    same = F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("sha1") == F.col("of_sha1"))
+    rows = chunked(payloads, size).join(revisits(payloads, least), same, "left")
+    is_response = F.col("of_sha1").isNull()
+    rows = rows.where(is_response | (F.col("chunk") == 0)).select(
+        "row_id", "page_id", "url", "payload_bytes", "sha1", "refers_to", is_response.alias("is_response"), "chunk",
+        F.when(is_response, F.col("data")).alias("data"))
+    return rows.sortWithinPartitions("row_id", "chunk")
 
 
 def record_id(page_id: str | None, sha1: str) -> str:
@@ -120,8 +134,8 @@ class Writer:
             self.out.write(self.pack.compress(END) + self.pack.flush())
 
 
-def write_archives(records: DataFrame, folder: str, size: int = CHUNK) -> DataFrame:
-    """Write planned records into ``folder``; a row for each archive: path and n_records."""
+def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
+    """Write planned chunks into ``folder``; a row for each archive: path and n_records."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = None
@@ -140,9 +154,8 @@ def write_archives(records: DataFrame, folder: str, size: int = CHUNK) -> DataFr
         if writer is not None:
             yield pd.DataFrame({"path": [path], "n_records": [writer.n]})
 
-    # the chunks of a record come out of one row, so they stay together and in order without a further shuffle
     return staged(
-        in_tasks(chunked(records, size).withColumn("part", F.spark_partition_id()), work, "path string, n_records long",
+        in_tasks(chunks.withColumn("part", F.spark_partition_id()), work, "path string, n_records long",
                  ids=("page_id", "refers_to")), "archives")
 
 
@@ -234,6 +247,6 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(
            (hex[i * 5 // 4 + 1] * 16 + coalesce(hex[i * 5 // 4 + 2], 0)) // CAST(2 ** (3 - i * 5 % 4) AS INT) % 32 AS INT)]),
            '') AS payload_digest,
-       CASE WHEN page_id = stored_by THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM stored_by THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> stored_by THEN stored_by END AS refers_to
 FROM digits"""

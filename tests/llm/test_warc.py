@@ -12,7 +12,7 @@ def archived(spark, folder, rows, size=64, least=0, clashes=False):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     if clashes:
         pages = pages.selectExpr("*", "'own' AS payload", "'own' AS sha1", "1 AS chunk", "2 AS row_id", "3 AS refers_to")
-    return warc.write_archives(warc.planned(pages, least), folder, size)
+    return warc.write_archives(warc.planned(pages, least, size), folder)
 
 
 ROWS = [(1, "http://a/ b", "<p>one</p>"), (2, None, None), (3, "u", ""), (4, "u", "é" * 1000), (5, "v", "<p>one</p>"),
@@ -62,5 +62,39 @@ def test_damaged_archive_is_refused(spark, folder):
         list(warc.records_of(path, 64))
 
 
+def test_no_whole_payload_is_shuffled(spark):
+    pages = spark.createDataFrame([(i, "u", "x" * (i * 1000)) for i in range(60)] + [(99, "v", "x" * 9000)],
+                                  "page_id long, url string, html string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = warc.planned(pages, size=500)
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    join = next(i for i, line in enumerate(text.split("\n")) if "Join LeftOuter" in line)
+    assert any("Generate explode" in line for line in text.split("\n")[join + 1:])  # cut below the join
+    assert "payload#" not in text.split("\n")[join - 1]
+    assert max(len(r.data or b"") for r in rows) == 500
+    chunks = [(r.row_id, r.chunk) for r in rows]
+    assert len(chunks) == len(set(chunks)) and {r.refers_to for r in rows if not r.is_response} == {99}
+
+
+def test_a_payload_above_one_batch(spark, folder):
+    text = "".join(chr(97 + i % 26) for i in range(1000)) * 20_000  # 20 MB
+    archives = archived(spark, folder, [(1, "u", text), (2, "v", "small"), (3, "w", text)], 1 << 18)
+    got = {r.page_id: r for r in warc.read_chunks(archives, last_only=True).collect()}
+    assert {k: (r.record_type, r.payload_bytes, r.refers_to) for k, r in got.items()} == {
+        1: ("revisit", len(text), 3), 2: ("response", 5, None), 3: ("response", len(text), None)}
+    assert got[3].payload_digest == base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+
+
+def test_null_ids_only(spark, folder):
+    got = warc.read_chunks(archived(spark, folder, [(None, "u", "same")] * 3), last_only=True).collect()
+    assert [(r.record_type, r.refers_to) for r in got] == [("response", None)] * 3
+
+
 def test_empty_table(spark, folder):
     assert warc.read_chunks(archived(spark, folder, [])).count() == 0
