@@ -7,6 +7,7 @@ from ledgerloom.operators import filters, mutations, windows
 from ledgerloom.plans.ledger import stored_ledger
 from ledgerloom.plans.registry import AS_OF_EVENT, AS_OF_TXN, as_double, id_sql, plan
 from ledgerloom.schemas import with_defaults
+from ledgerloom.sinks import tables
 from ledgerloom.sources import payloads
 
 
@@ -56,6 +57,20 @@ def product_listed(s):
     )
 
 
+@plan("mut_product_listed_in_parts", """
+    SELECT p.id, CASE WHEN hit THEN r.title ELSE p.title END AS title,
+           CAST(CASE WHEN hit THEN r.price_cents * 0.01 ELSE p.price END AS DOUBLE) AS price,
+           CASE WHEN hit THEN 'listed' ELSE p.status END AS status
+    FROM (SELECT *, status = 'draft' AS hit FROM products) p LEFT JOIN last_requests r ON r.product_id = p.id""")
+def product_listed_in_parts(s):
+    root, published = workspace.new_folder(s.spark, "parts"), _publishing(s)
+    tables.write_parts(s.products, root, "products", 8)
+    tables.change_parts(
+        s.spark, root, "products", published.select(F.col("product_id").alias("id")),
+        lambda rows: mutations.products_listed(rows, published, AS_OF_EVENT), 8)
+    return as_double(tables.load_parts(s.spark, root, "products").select("id", "title", "price", "status"), "price")
+
+
 @plan("mut_product_listed_parents", """
     SELECT id, title, CASE WHEN hit THEN 'listed' ELSE status END AS status,
            CASE WHEN hit THEN TIMESTAMP '2024-01-31 00:00:00' ELSE created_at END AS updated_at

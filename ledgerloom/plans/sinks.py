@@ -6,7 +6,7 @@ from ledgerloom import workspace
 from ledgerloom.operators import aggregates, joins, mutations
 from ledgerloom.plans.registry import AS_OF_EVENT, GOAL, as_double, by_status_text, id_sql, plan
 from ledgerloom.sinks import outbox, snapshot, tables
-from ledgerloom.sources.tables import load
+from ledgerloom.sources.tables import load, lookup
 
 
 @plan("sink_append", """
@@ -40,6 +40,29 @@ def rewrite(s):
     return load(s.spark, root, "agent_messages")
 
 
+KINDS = ("digital_product", "affiliate", "service")
+
+
+@plan("sink_append_violations", f"""
+    SELECT 'type is null' AS violation, count(*) FILTER (type IS NULL) AS n FROM opportunities
+    UNION ALL SELECT 'title is null', count(*) FILTER (title IS NULL) FROM opportunities
+    UNION ALL SELECT 'type not allowed', count(*) FILTER (type NOT IN {KINDS}) FROM opportunities""")
+def append_violations(s):
+    root = workspace.new_folder(s.spark, "append")
+    seen = tables.append(s.opportunities, root, "opportunities", AS_OF_EVENT, {"type": KINDS})
+    return s.spark.createDataFrame(list(seen.items()), "violation string, n long")
+
+
+@plan("src_lookup", """
+    SELECT id, title, status FROM opportunities
+    WHERE title IN (SELECT title FROM opportunities ORDER BY title LIMIT 3)""")
+def lookup_rows(s):
+    root = workspace.new_folder(s.spark, "lookup")
+    tables.rewrite(s.opportunities, root, "opportunities")
+    keys = [r.title for r in load(s.spark, root, "opportunities").orderBy("title").select("title").limit(3).collect()]
+    return lookup(s.spark, root, "opportunities", "title", keys).select("id", "title", "status")
+
+
 LISTS = {
     "agents": ("agent_id", "last_run", "run_count", "status", "current_task"),
     "recent_products": ("title", "price", "status", "platform", "platform_url", "created_at"),

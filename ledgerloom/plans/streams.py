@@ -68,3 +68,18 @@ def daily_sales(s):
 @plan("st_lead_capture", "SELECT DISTINCT email FROM leads WHERE email LIKE '%@%'")
 def lead_capture(s):
     return jobs.lead_capture(s.stream("leads"), workspace.new_folder(s.spark, "leads"))
+
+
+@plan("st_lead_capture_expiring", "SELECT DISTINCT concat('user', CAST(user_id AS STRING), '@example.com') AS email FROM events")
+def lead_capture_expiring(s):
+    email = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com"))
+    leads = scan_stream(s.spark, s.root, "events").select(F.col("ts").cast("timestamp").alias("at"), email.alias("email"))
+    return jobs.lead_capture(leads, workspace.new_folder(s.spark, "leads"), "at", "10000 days")
+
+
+@plan("st_drain_order", """
+    SELECT id, to_agent, from_agent, type, created_at,
+           row_number() OVER (PARTITION BY to_agent ORDER BY created_at, id) AS position
+    FROM agent_messages WHERE read = 0""")
+def drain_order(s):
+    return jobs.drain_order(s.stream("agent_messages"), workspace.new_folder(s.spark, "drain"))

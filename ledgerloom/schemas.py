@@ -81,6 +81,14 @@ CLUSTERING: dict[str, tuple[str, ...]] = {
     "daily_metrics": ("date",),
 }
 
+# Columns that single rows are looked up by; stored tables have bloom filters on them.
+LOOKUPS: dict[str, tuple[str, ...]] = {
+    "opportunities": ("id", "title"),
+    "products": ("id", "opportunity_id"),
+    "transactions": ("transaction_id", "product_id"),
+    "agent_messages": ("id",),
+}
+
 # What an id is made of where a row is inserted without one.
 IDENTITY: dict[str, tuple[str, ...]] = {
     "opportunities": ("title",),
@@ -96,6 +104,13 @@ BY_DAY = {"transactions": "occurred_at"}
 DAY = "day"
 
 OPPORTUNITY_TYPES = ("digital_product", "freelance", "affiliate", "service")
+ALLOWED: dict[str, dict[str, tuple[str, ...]]] = {
+    "opportunities": {"status": ("pending", "in_progress", "listed", "sold", "failed")},
+    "products": {"status": ("draft", "listed", "unlisted")},
+    "transactions": {"type": ("sale", "refund", "expense")},
+    "agent_messages": {},
+    "market_insights": {},
+}
 INSIGHT_CATEGORIES = ("trend", "competitor", "keyword", "niche")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.schemas import BY_DAY, DAY, INT, LONG, STRING, TABLES, conform, table
 from ledgerloom.sources.views import VIEWS
@@ -44,6 +47,13 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
+def lookup(spark: SparkSession, root: str, name: str, column: str, keys: list) -> DataFrame:
+    """The rows of a stored table that have one of a few ``keys``. Equalities reach the scan, which skips row groups by
+    their bloom filters and statistics."""
+    same = [F.col(column) == F.lit(k) for k in keys if k is not None]
+    return load(spark, root, name).where(reduce(or_, same) if same else F.lit(False))
+
+
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Scan a driver table."""
     return spark.read.schema(DRIVER_TABLES[name]).parquet(f"{root}/{name}.parquet")

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions import money
-from ledgerloom.operators import aggregates
+from ledgerloom.operators import aggregates, windows
 from ledgerloom.operators.filters import has_email, paid_orders
 from ledgerloom.operators.mutations import sale_rows
 from ledgerloom.operators.windows import ORDER_RANK, ranked
@@ -37,7 +38,9 @@ def _drive(
     _run(stream, folder, write, mode)
 
 
-def _run(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def _run(
+    stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "append",
+) -> StreamingQuery:
     spark = stream.sparkSession
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ON_DISK)
@@ -52,6 +55,7 @@ def _run(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None]
     finally:
         spark.conf.set(STATE_STORE, before)
     query.awaitTermination()
+    return query
 
 
 def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
@@ -91,6 +95,35 @@ def mailboxes(messages: DataFrame, recipients: DataFrame, folder: str) -> DataFr
     return _output(messages.sparkSession, folder, mail.schema).select(*mail.columns)
 
 
+def drain_order(messages: DataFrame, folder: str) -> DataFrame:
+    """Unread messages numbered within their recipient's mailbox, in order of arrival by batches and of age inside one.
+
+    The next free number of each mailbox is a table of one row for each, written anew with each batch from that of the batch before, so
+    a retry counts nothing twice. Numbers never change: where messages arrive in order of age they are those of
+    ``windows.drain_positions`` over all of them; one that arrives late gets the next number, after younger ones.
+    """
+    spark = messages.sparkSession
+    totals = T.StructType([T.StructField("to_agent", T.StringType()), T.StructField("n", T.LongType())])
+
+    def place(batch_id: int) -> str:
+        return f"{folder}/totals/batch-{batch_id}"
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        ranks = windows.drain_positions(rows, f"{folder}/ranks/batch-{batch_id}")
+        before = spark.read.schema(totals).parquet(place(batch_id - 1))
+        box, n = F.col("to_agent").eqNullSafe(F.col("box")), F.coalesce("n", F.lit(0))
+        out = ranks.join(before.withColumnRenamed("to_agent", "box"), box, "left").withColumn("position", F.col("position") + n)
+        write_batch(out.drop("box", "n"), folder, batch_id)
+        counts = ranks.groupBy("to_agent").agg(F.count("*").alias("n"))
+        after = before.unionAll(counts).groupBy("to_agent").agg(F.sum("n").alias("n"))
+        after.write.mode("overwrite").parquet(place(batch_id))
+
+    spark.createDataFrame([], totals).write.mode("overwrite").parquet(place(BEFORE_ANY_BATCH))
+    shape = messages.select("id", "to_agent", "from_agent", "type", "created_at").schema.add("position", T.LongType())
+    _drive(messages, folder, shape, write)
+    return _output(spark, folder, shape).drop("batch_id")
+
+
 def rejected_payloads(payloads: DataFrame, kind: str, folder: str) -> DataFrame:
     """The payloads of a stream that can't be read, as they came; the side channel of the jobs that read the others."""
     bad = rejected(payloads, kind)
@@ -115,9 +148,17 @@ def order_sync(payloads: DataFrame, folder: str) -> DataFrame:
     return sale_rows(kept.select(*[F.col(c) if c == "id" else F.col(f"first.{c}") for c in orders.columns]))
 
 
-def lead_capture(leads: DataFrame, folder: str) -> DataFrame:
-    """Valid email addresses, once each; the state holds the addresses on disk, and a batch looks up its own."""
-    emails = leads.where(has_email(F.col("email"))).select("email").dropDuplicates(["email"])
+def lead_capture(leads: DataFrame, folder: str, at: str | None = None, horizon: str | None = None) -> DataFrame:
+    """Valid email addresses, once each; the state holds the addresses on disk, and a batch looks up its own.
+
+    By default an address is remembered for ever. With a time column ``at`` and a ``horizon``, such as ``30 days``, the state keeps
+    an address until the newest time seen is so much later; one that comes back after that is captured again.
+    """
+    valid = leads.where(has_email(F.col("email")))
+    if at is None:
+        emails = valid.select("email").dropDuplicates(["email"])
+    else:
+        emails = valid.withWatermark(at, horizon).dropDuplicatesWithinWatermark(["email"]).select("email")
     _drive(emails, folder, emails.schema, lambda rows, n: write_batch(rows, folder, n))
     return _output(leads.sparkSession, folder, emails.schema).drop("batch_id")
 

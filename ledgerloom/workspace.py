@@ -39,7 +39,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
         files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         files.mkdirs(path)
         files.deleteOnExit(path)
-        _folders[app] = top
+        qualified = files.makeQualified(path).toString()  # a path without a scheme may lie in the cluster's file system
+        _folders[app] = top if qualified.startswith("file:") else qualified
     return f"{_folders[app]}/{label}-{uuid.uuid4().hex}"
 
 

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import aggregates, filters, mutations
+from ledgerloom.operators import aggregates, filters, mutations, windows
 from ledgerloom.schemas import TABLES, conform
 from ledgerloom.sources.payloads import order_rows
 from ledgerloom.sources.tables import DRIVER_TABLES, Shop, derive
@@ -242,3 +242,25 @@ def test_every_order_payload_is_read_or_rejected_in_a_stream(spark, folder):
     assert sorted(r.n for r in got.collect()) == list(range(len(BAD)))
     assert jobs.rejected_payloads(given, "orders", f"{folder}/bad").count() == len(BAD)
     assert order_rows(rows).count() == len(GOOD)
+
+
+def test_positions_over_files_in_order_equal_the_batch(spark, folder):
+    shop = Shop(spark, ROOT)
+    cuts = shop.events.approxQuantile("event_id", [0.3, 0.31, 0.8], 0.0)
+    ordered = shop.events.selectExpr("*", "row_number() OVER (ORDER BY ts, event_id) AS at").cache()
+    bounds = [0, *[int(c) + 1 for c in cuts], ordered.count() + 1]
+    for a, b in zip(bounds, bounds[1:]):
+        ordered.where(F.col("at").between(a, b - 1)).drop("at").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def run():
+        return as_set(jobs.drain_order(stream(spark, f"{folder}/in", "events", "agent_messages"), f"{folder}/out-of-order"))
+
+    want = as_set(windows.drain_positions(shop.agent_messages, f"{folder}/batch"))
+    assert run() == want and run() == want
+    # late mail takes the next numbers and leaves the others as they are
+    first = ordered.where("at <= 40").drop("at").withColumn("event_id", F.col("event_id") + 10**6)
+    first.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    later = run()
+    assert want < later and len(later) > len(want)
+    for box in {r[1] for r in later}:
+        assert sorted(r[-1] for r in later if r[1] == box) == list(range(1, 1 + sum(r[1] == box for r in later)))
