@@ -18,6 +18,7 @@ An empty table gives an empty result. Columns besides doc_id and text aren't rea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,23 @@ TEMPLATES = (
     ("public domain", "To the extent possible under law, the author has waived all copyright and related rights. CC0 1.0 "
                       "Universal."),
 )
+# Notices of licences that are none of the families.
+FOREIGN = (
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: AGPL-3.0-only",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the Eclipse Public License, Version 2.0.",
+    "Licensed under the GNU Affero General Public License, version 3.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+    "Public License as published by the Free Software Foundation.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+)
+SHORT = 12  # words; longer templates may be cut short
 FAMILIES = tuple(dict.fromkeys(f for f, _ in TEMPLATES))
 UNKNOWN = len(FAMILIES)  # the class after the families
 SAMPLE = 10_000  # paragraphs of the corpus that the model learns from
@@ -207,6 +225,49 @@ def resemblance(text: str, templates: list[str]) -> np.ndarray:
     return np.array(out)
 
 
+def word_set(text: str) -> np.ndarray:
+    return np.unique(Paragraphs([text.replace("\n", " ")]).hashes)
+
+
+@cache
+def notices() -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """Family (none of foreign ones), number of words, distinct words and distinct pairs of each notice."""
+    every = [*TEMPLATES, *[("", t) for t in FOREIGN]]
+    return [(f, len(Paragraphs([t]).hashes), word_set(t), pairs(t)) for f, t in every]
+
+
+@cache
+def set_apart(k: int) -> tuple[bool, np.ndarray]:
+    """Whether a template has words that no notice of another licence has; those, or else such pairs."""
+    family, _, *own = notices()[k]
+    for i, mine in enumerate(own):
+        others = [n[2 + i] for n in notices() if n[0] != family]
+        mine = np.setdiff1d(mine, np.concatenate(others), assume_unique=False)
+        if len(mine):
+            return i == 0, mine
+    return False, np.zeros(0, np.uint64)
+
+
+def share(part: np.ndarray, whole: np.ndarray) -> float:
+    return len(np.intersect1d(part, whole, assume_unique=True)) / len(part) if len(part) else 1.0
+
+
+def fits(k: int, words: np.ndarray, own: np.ndarray) -> bool:
+    """Whether a text of these words and pairs has what sets template ``k`` apart, and is not rather another notice."""
+    family, n_words, template_words, template = notices()[k]
+    of_words, apart = set_apart(k)
+    there = share(apart, words if of_words else own)
+    if len(apart) and there < (COVERED if n_words <= SHORT else 1 / len(apart)):
+        return False
+    for other, _, other_words, other_pairs in notices():
+        beyond = np.setdiff1d(other_words, template_words, assume_unique=True)
+        if other == family or not len(beyond) or share(beyond, words) < COVERED or share(other_pairs, own) < COVERED:
+            continue
+        if share(np.setdiff1d(template, other_pairs, assume_unique=True), own) < COVERED:
+            return False
+    return True
+
+
 def confirmed(text: str, chance: np.ndarray) -> list[str]:
     """The families that a text resembles, from the likeliest on; what sets a further one apart from those before it must
     be there as well, since notices of different families share most of their words."""
@@ -214,13 +275,15 @@ def confirmed(text: str, chance: np.ndarray) -> list[str]:
     like = resemblance(text, [t for _, t in TEMPLATES]) >= ALIKE
     if not like.any():
         return names
-    notices = _known[tuple(t for _, t in TEMPLATES)]
+    words = word_set(text)
+    like = np.array([bool(x) and fits(k, words, own) for k, x in enumerate(like)])
+    templates = [n[3] for n in notices()[:len(TEMPLATES)]]
     for i in np.argsort(-chance[:UNKNOWN], kind="stable").tolist():
         at = [k for k, (f, _) in enumerate(TEMPLATES) if f == FAMILIES[i]]
-        apart = [np.setdiff1d(notices[k], known, assume_unique=True) for k in at if like[k]]
-        if any(not names or len(x) and len(np.intersect1d(x, own)) >= COVERED * len(x) for x in apart):
+        apart = [np.setdiff1d(templates[k], known, assume_unique=True) for k in at if like[k]]
+        if any(not names or len(x) and share(x, own) >= COVERED for x in apart):
             names.append(FAMILIES[i])
-            known = np.union1d(known, np.concatenate([notices[k] for k in at]))
+            known = np.union1d(known, np.concatenate([templates[k] for k in at]))
     return names
 
 

@@ -126,3 +126,45 @@ def test_labels_without_a_document_take_no_room_in_the_sample(spark, documents,
         labels, labels + [(10_000 + i, 1, i % 2) for i in range(20_000)])]
     assert len(models[0]) > 20 and models[0]["term"].tolist() == models[1]["term"].tolist()
     assert np.allclose(models[0]["weight"], models[1]["weight"])
+
+
+FOREIGN_LINES = [
+    "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: Zlib", "Licensed under the Eclipse Public License, Version 2.0.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+    "Public License as published by the Free Software Foundation, either version 3.",
+    "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."]
+
+
+@pytest.mark.parametrize("line", FOREIGN_LINES)
+def test_notices_of_other_licences_are_no_family(line):
+    for first in range(licences.UNKNOWN):  # whatever the classifier thinks
+        assert licences.confirmed(line, np.eye(licences.UNKNOWN + 1)[first]) == []
+
+
+def test_every_template_is_its_own_family_only():
+    for family, line in licences.TEMPLATES:
+        chance = np.full(licences.UNKNOWN + 1, 0.01)
+        chance[licences.FAMILIES.index(family)] = 0.9
+        assert licences.confirmed(line, chance) == [family]
+
+
+def shared_pairs(a, b):
+    """Word pairs in both texts, and in each, by the words themselves."""
+    sets = []
+    for t in (a, b):
+        words = "".join(" " if c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in t).lower().split()
+        sets.append(set(zip(words, words[1:])))
+    return len(sets[0] & sets[1]), len(sets[0]), len(sets[1])
+
+
+def test_resemblance_equals_brute_force():
+    texts, _ = licences.variations(pseudo_words(50, 9), seed=7)
+    templates = [t for _, t in licences.TEMPLATES]
+    for text in texts[::37]:
+        got = licences.resemblance(text, templates)
+        for t, value in zip(templates, got):
+            both, own, other = shared_pairs(text, t)
+            want = max(both / max(1, own + other - both), licences.ALIKE / licences.COVERED * both / max(1, other))
+            assert value == pytest.approx(want)
