@@ -5,6 +5,9 @@ weight for each term and, for each two terms, the product of their factors: a pa
 group can weigh more than both alone. The pairs are never listed; their sum is half the difference between the squared
 sum of factors and the sum of their squares.
 
+The weights are fitted first, then weights and factors together, with decay and a threshold that leave most factors at 0; of some
+settings, and the weights alone, the one is taken that does best on rows held back, so pairs take part only where they help.
+
 The model is fitted on at most ``SAMPLE`` labelled rows that have a document, chosen by a hash of the id, in one task; terms that fewer than
 ``LEAST_SEEN`` of them hold have no weight. The weights, at most one row for each place, are broadcast. Scoring
 covers all rows, in batches.
@@ -18,6 +21,7 @@ for all (0.5 with none at all). Columns besides doc_id and text aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,10 @@ FACTORS = 4
 SAMPLE = 20_000  # labelled rows that the model is fitted on
 LEAST_SEEN = 5
 EPOCHS, BATCH = 12, 256
+# of the factors: spread at the start, rate of the steps, decay, threshold under which they become 0, and epochs
+SETTINGS = ((0.02, 0.05, 1e-2, 5e-3, 6), (0.1, 0.1, 5e-3, 4e-3, 12))
+HELD_BACK = 0.15  # of the sample, for the choice among them; with under ``LEAST_BACK`` rows, pairs take no part
+LEAST_BACK = 20
 MODEL = "term int, weight float, factors array<float>"
 BIAS = -1  # its place among the terms
 
@@ -56,6 +64,53 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+class Machine:
+    """A factorization machine in training: bias, weights and, once pairs take part, factors."""
+
+    def __init__(self, bias: float, n: int):
+        self.bias = AdaGrad(np.array([bias]), 0.1, 0.0)
+        self.linear = AdaGrad(np.zeros(n), 0.3, 1e-4, threshold=2e-3)
+        self.paired: AdaGrad | None = None
+
+    def with_pairs(self, spread: float, rate: float, decay: float, threshold: float) -> Machine:
+        """A copy that goes on with pairs, from small random factors."""
+        out = deepcopy(self)
+        start = np.random.default_rng(7).normal(0, spread, (len(self.linear.weights), FACTORS))
+        out.paired = AdaGrad(start, rate, decay, threshold)
+        return out
+
+    def logits(self, term: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """The logits of ``n`` rows; the factors of their terms and the sums of these by row."""
+        x = self.bias.weights[0] + sums(self.linear.weights[term], of, n)
+        if self.paired is None:
+            return x, None, None
+        v = self.paired.weights[term]
+        total = sums(v, of, n)
+        return x + ((total**2).sum(axis=1) - sums((v**2).sum(axis=1), of, n)) / 2, v, total
+
+    def train(self, rows: Rows, toxic: np.ndarray, used: np.ndarray, epochs: int) -> Machine:
+        random = np.random.default_rng(7)
+        for _ in range(epochs):
+            for batch in np.array_split(random.permutation(used), max(1, len(used) // BATCH)):
+                term, of = rows.take(batch)
+                x, v, total = self.logits(term, of, len(batch))
+                error = (sigmoid(x) - toxic[batch]) / len(batch)
+                touched, where = np.unique(term, return_inverse=True)
+                self.linear.step(touched, sums(error[of], where, len(touched)))
+                if v is not None:
+                    self.paired.step(touched, sums(error[of][:, None] * (total[of] - v), where, len(touched)))
+                self.bias.step(np.array([0]), np.array([error.sum()]))
+        return self
+
+    def loss(self, rows: Rows, toxic: np.ndarray, part: np.ndarray) -> float:
+        """The mean log loss of some rows."""
+        out = 0.0
+        for batch in np.array_split(part, -(-len(part) // BATCH)):
+            x, _, _ = self.logits(*rows.take(batch), len(batch))
+            out += float((np.logaddexp(0, x) - toxic[batch] * x).sum())
+        return out / len(part)
+
+
 def fit(rows: Rows, toxic: np.ndarray) -> pd.DataFrame:
     """The weights of all terms seen often enough, and the bias."""
     names, at = np.unique(rows.terms, return_inverse=True)
@@ -64,27 +119,18 @@ def fit(rows: Rows, toxic: np.ndarray) -> pd.DataFrame:
     owner = np.repeat(np.arange(len(rows.sizes)), rows.sizes)[place >= 0]
     place = place[place >= 0]
     known = Rows(np.split(place, np.cumsum(np.bincount(owner, minlength=len(rows.sizes)))[:-1]))
-    n, random = int(seen.sum()), np.random.default_rng(7)
+    n = int(seen.sum())
     rate = toxic.mean() if len(toxic) else 0.5
-    if not 0 < rate < 1 or not n:
-        bias, weights, factors = float(np.clip(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), -20, 20)), np.zeros(n), np.zeros((n, FACTORS))
-    else:
-        bias_step = AdaGrad(np.array([np.log(rate / (1 - rate))]), 0.1, 0.0)
-        linear = AdaGrad(np.zeros(n), 0.3, 1e-4, threshold=2e-3)
-        paired = AdaGrad(random.normal(0, 0.01, (n, FACTORS)), 0.05, 1e-2)
-        for _ in range(EPOCHS):
-            for batch in np.array_split(random.permutation(len(toxic)), max(1, len(toxic) // BATCH)):
-                term, of = known.take(batch)
-                v = paired.weights[term]
-                total = sums(v, of, len(batch))
-                x = bias_step.weights[0] + sums(linear.weights[term], of, len(batch)) + (
-                    (total**2).sum(axis=1) - sums((v**2).sum(axis=1), of, len(batch))) / 2
-                error = (sigmoid(x) - toxic[batch]) / len(batch)
-                touched, where = np.unique(term, return_inverse=True)
-                linear.step(touched, sums(error[of], where, len(touched)))
-                paired.step(touched, sums(error[of][:, None] * (total[of] - v), where, len(touched)))
-                bias_step.step(np.array([0]), np.array([error.sum()]))
-        bias, weights, factors = float(bias_step.weights[0]), linear.weights, paired.weights
+    bias, weights, factors = float(np.clip(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), -20, 20)), np.zeros(n), np.zeros((n, FACTORS))
+    if 0 < rate < 1 and n:
+        back = np.random.default_rng(5).random(len(toxic)) < HELD_BACK
+        used, back = np.flatnonzero(~back), np.flatnonzero(back)
+        best = Machine(bias, n).train(known, toxic, used if len(back) >= LEAST_BACK else np.arange(len(toxic)), EPOCHS)
+        if len(back) >= LEAST_BACK:
+            with_pairs = [best.with_pairs(*s[:-1]).train(known, toxic, used, s[-1]) for s in SETTINGS]
+            best = min([best, *with_pairs], key=lambda m: m.loss(known, toxic, back))
+        bias, weights = float(best.bias.weights[0]), best.linear.weights
+        factors = factors if best.paired is None else best.paired.weights
     model = pd.DataFrame({"term": names[seen].astype(np.int32), "weight": weights.astype(np.float32),
                           "factors": list(factors.astype(np.float32))})
     return pd.concat([model, pd.DataFrame({
@@ -107,7 +153,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("id"))
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = rows.select("doc_id", "toxic", terms(F.col("text")).alias("terms"))
-    return staged(in_tasks(rows.coalesce(1), fit_rows, MODEL), "model")
+    # terms are found in parallel; only they go to the one task that fits
+    return staged(in_tasks(rows.repartition(1), fit_rows, MODEL), "model")
 
 
 def scored(docs: DataFrame, model: DataFrame) -> DataFrame:

@@ -168,3 +168,56 @@ def test_resemblance_equals_brute_force():
             both, own, other = shared_pairs(text, t)
             want = max(both / max(1, own + other - both), licences.ALIKE / licences.COVERED * both / max(1, other))
             assert value == pytest.approx(want)
+
+
+def auc(score, toxic):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    n = int(toxic.sum())
+    return (rank[toxic == 1].sum() - n * (n + 1) / 2) / (n * (len(toxic) - n))
+
+
+def machine_and_linear(spark, docs, labels, monkeypatch):
+    """AUC on held-out labels of the full model and of its linear part alone."""
+    out = []
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL").collect()}
+    for settings in (toxicity.SETTINGS, ()):
+        monkeypatch.setattr(toxicity, "SETTINGS", settings)
+        rows = [r for r in toxicity.scored(docs, toxicity.learned(docs, labels)).collect() if r.held_out and r.doc_id in truth]
+        out.append(auc(np.array([r.score for r in rows]), np.array([truth[r.doc_id] for r in rows])))
+    return out
+
+
+def test_pairs_explain_labels_that_single_terms_do_not(spark, documents, monkeypatch):
+    rows = []
+    for i in range(3000):
+        words, kind = pseudo_words(25, i), i % 4
+        if kind in (1, 3):
+            words.insert(3, "green")
+        if kind in (2, 3):
+            words.insert(9, "people")
+        rows.append((i, " ".join(words), int(kind in (0, 3))))
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS)
+    full, linear = machine_and_linear(spark, documents([(i, t) for i, t, _ in rows]), labels, monkeypatch)
+    assert full > 0.97 and linear < 0.7
+
+
+def test_pairs_do_no_harm_on_the_given_labels(spark, monkeypatch):
+    root = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
+    full, linear = machine_and_linear(spark, docs, labels, monkeypatch)
+    assert full >= linear - 0.002 and full > 0.9
+
+
+def test_scores_equal_the_sum_over_all_pairs(spark, documents, labelled):
+    docs = documents([(i, t) for i, t, _ in labelled[:600]])
+    model = toxicity.learned(docs, spark.createDataFrame([(i, 1, y) for i, _, y in labelled[:600]], LABELS))
+    known = {r.term: (r.weight, np.array(r.factors)) for r in model.collect()}
+    few = docs.where("doc_id < 20")
+    terms = {r.doc_id: r.terms for r in few.select("doc_id", toxicity.terms(few["text"]).alias("terms")).collect()}
+    for r in toxicity.scored(few, model).collect():
+        own = [known[t] for t in terms[r.doc_id] if t in known]
+        x = known[toxicity.BIAS][0] + sum(w for w, _ in own) + sum(
+            float(a @ b) for i, (_, a) in enumerate(own) for _, b in own[:i])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-4)
