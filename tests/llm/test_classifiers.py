@@ -213,10 +213,10 @@ def test_pairs_explain_labels_that_single_terms_do_not(spark, documents, monkeyp
 
 
 def test_pairs_do_no_harm_on_the_given_labels(spark, monkeypatch):
-    root = "/root/testdata/sf0.01"
+    root = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
     full, linear = machine_and_linear(docs, labels, monkeypatch)
-    assert full >= linear - 0.002 and full > 0.9
+    assert full >= linear - 0.002 and full > 0.97
 
 
 def test_scores_equal_the_sum_over_all_pairs(spark, documents, labelled):
