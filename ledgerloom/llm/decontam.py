@@ -8,7 +8,9 @@ have two masks of four words more; with them, every allowed substitution of such
 words overlaps where all its words stand in order: its mask looks at all of them.
 
 Words are lower-case runs of letters and digits; case, punctuation and spacing don't matter. Seeds and words are compared
-as 64-bit hashes.
+as 64-bit hashes. A hit makes one number, the bits of the equal words around it, and is dropped or counted in the task that found
+it; ``stage`` asks only whether a document has one, so a phrase that many items and documents share costs comparisons, not
+rows. The benchmark is broadcast in blocks of bounded size, also where many items share a seed.
 
 Defined results: null and blank texts have no words and match nothing. Equal items are one, under the smallest id (null only if all are). Repeated documents are judged each for
 itself; a null doc_id groups with other null ones. An empty benchmark or table gives an empty result. Columns of the
@@ -32,6 +34,7 @@ WHOLE_MASKS = tuple(tuple(range(n)) for n in range(1, SHORT[0]))  # each for the
 ALL_MASKS = (*MASKS, *SHORT_MASKS, *WHOLE_MASKS)
 OFFSETS = sorted({o for mask in ALL_MASKS for o in mask})
 WINDOW = 12
+AROUND = range(-WINDOW, WINDOW)  # the words that are compared around a hit, from its first word
 MIN_EQUAL_PERCENT = 75
 BLOCK = 500_000  # seeds that are broadcast at once; a larger benchmark is joined in several blocks
 
@@ -53,11 +56,6 @@ def seeds(df: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ...]) ->
     return placed.select(*keep, "at", F.explode(F.array(*hashed)).alias("seed")).where(F.col("seed").isNotNull())
 
 
-def around(words: Column, at: Column) -> Column:
-    """The 24 words from 12 before a position to 11 after it, null beyond the text."""
-    return F.transform(F.sequence(F.lit(-WINDOW), F.lit(WINDOW - 1)), lambda o: F.get(words, at + o))
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """Distinct items as words, with the smallest id and the number of equal items."""
     b = benchmark.select("item_id", hashes(F.col("text")).alias("words"))
@@ -74,31 +72,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_tests += [seeds(tests.where(size == len(mask)), keep, (mask,)) for mask in WHOLE_MASKS]
     of_tests = reduce(DataFrame.unionAll, of_tests)
     of_tests = of_tests.select(
-        "item", "n_items", "seed", around(F.col("words"), F.col("at")).alias("test"),
-        F.least(F.size("words"), F.lit(WINDOW)).alias("n_window"))
+        "item", "n_items", "seed", F.least(F.size("words"), F.lit(WINDOW)).alias("n_window"),
+        *[F.get("words", F.col("at") + o).alias(f"test{o}") for o in AROUND])
     of_tests = staged(of_tests.dropDuplicates(), "seeds")
     n_blocks = max(1, -(-of_tests.count() // BLOCK))
     # masks that no item of this benchmark has are not tried on the documents
     lengths = {r["n_window"] for r in of_tests.select("n_window").distinct().collect()}  # at most twelve
     masks = [*MASKS, *(SHORT_MASKS if any(SHORT[0] <= n <= SHORT[1] for n in lengths) else ()),
              *[mask for mask in WHOLE_MASKS if len(mask) in lengths]]
+    if n_blocks > 1:  # words are taken from the texts once, not for each block
+        docs = staged(docs, "words")
     of_docs = seeds(docs, ["row", "words"], tuple(masks))
     found = []
-    for block in range(n_blocks):
-        part = of_tests if n_blocks == 1 else of_tests.where(F.pmod("seed", F.lit(n_blocks)) == block)
+    for block in range(n_blocks):  # a seed of many items goes into all blocks
+        part = of_tests if n_blocks == 1 else of_tests.where(F.pmod(F.xxhash64("seed", "item"), F.lit(n_blocks)) == block)
         found.append(of_docs.join(F.broadcast(part), "seed"))
-    hits = reduce(DataFrame.unionAll, found).select(
-        "row", "item", "n_items", "n_window", "at", "test", around(F.col("words"), F.col("at")).alias("train"))
-    equal = F.zip_with("test", "train", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
-    hits = tx.computed(hits, equal=equal)
-    # the windows that hold the first word of the hit
-    sums = F.transform(F.sequence(F.lit(1), F.lit(WINDOW)), lambda i: F.struct(
-        F.aggregate(F.slice("equal", i + 1, WINDOW), F.lit(0), lambda s, x: s + x).alias("n"), i.alias("i")))
-    hits = tx.computed(hits, best=F.array_max(sums))
-    start = F.col("at") + F.col("best.i") - WINDOW
-    return hits.where(100 * F.col("best.n") >= MIN_EQUAL_PERCENT * F.col("n_window")).select(
+    hits = reduce(DataFrame.unionAll, found)
+    # which of the words around are equal, one bit for each
+    equal = reduce(Column.bitwiseOR, [
+        F.when(F.get("words", F.col("at") + o) == F.col(f"test{o}"), 1 << (o + WINDOW)).otherwise(0) for o in AROUND])
+    hits = tx.computed(hits.select("row", "item", "n_items", "n_window", "at", equal.alias("equal")), bits=F.col("equal"))
+    # the windows that hold the first word of the hit: of those with the most equal words, the last
+    best = F.greatest(*[
+        F.bit_count(F.shiftright("bits", i).bitwiseAND((1 << WINDOW) - 1)) * 16 + i for i in range(1, WINDOW + 1)])
+    hits = tx.computed(hits, best=best)
+    n_equal, start = F.shiftright("best", 4), F.col("at") + F.col("best").bitwiseAND(15) - WINDOW
+    return hits.where(100 * n_equal >= MIN_EQUAL_PERCENT * F.col("n_window")).select(
         "row", "item", "n_items", F.greatest(start, F.lit(0)).alias("first"),
-        (start + WINDOW - 1).alias("last"), F.col("best.n").alias("n_equal"))
+        (start + WINDOW - 1).alias("last"), n_equal.alias("n_equal"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

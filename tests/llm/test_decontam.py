@@ -83,3 +83,12 @@ def test_stage_drops_overlapping_rows_only(spark, documents, tmp_path):
     assert sorted(str(r.doc_id) + str(r.text) for r in got.collect()) == ["1clean text", "2clean", "2clean", "NoneNone"]
     benchmark(spark, []).write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
     assert decontam.stage(spark, docs, str(tmp_path)).count() == 6
+
+
+def test_a_phrase_that_all_items_and_documents_share(spark, documents):
+    phrase = "which of the following is the best answer to".split()
+    items = [(i, " ".join([*phrase, *(f"i{i}w{k}" for k in range(8))])) for i in range(300)]
+    docs = [(d, " ".join([f"d{d}", "before", *phrase, "after", f"d{d}"])) for d in range(300)]
+    got = decontam.leaks(documents(docs), benchmark(spark, items)).collect()
+    assert len({(r.doc_id, r.item_id) for r in got}) == len(got) == 300 * 300
+    assert {(r.n_equal, r.n_items) for r in got} == {(9, 1)}
