@@ -76,8 +76,8 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Texts:
     """Texts laid end to end, with their words; ``bounds[i]:bounds[i + 1]`` are the words of text i."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
-        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False):
+        parts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         joined = b"\n".join([*parts, b""])
         self.bytes = joined.lower() if lower else joined  # bytes know the letters A-Z only
         self.data = np.frombuffer(self.bytes, np.uint8)

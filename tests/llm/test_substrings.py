@@ -60,3 +60,36 @@ def test_least_of_is_the_first_minimum(n):
     h = np.random.default_rng(n).integers(0, 9, 200).astype(np.uint64)
     want = [i + int(h[i:i + n].argmin()) for i in range(200 - n + 1)]
     assert substrings.least_of(h, n).tolist() == want
+
+
+def test_words_of_equal_hash_are_told_apart(documents):
+    """Thue and Morse's sequence and its complement have one polynomial hash modulo 2^64 under every odd base."""
+    ones = [bin(i).count("1") % 2 for i in range(2048)]
+    word, other = ("".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones))
+    h = substrings.Texts([f"{word} {other}"]).hashes
+    assert h[0] == h[1]
+    base = pseudo_words(120, 4)
+    docs = [(1, " ".join([*base[:60], word, *base[60:]])), (2, " ".join([*base[:60], other, *base[60:]])),
+            (3, " ".join([*base[30:60], word, *base[60:70]])), (4, " ".join([other, *pseudo_words(34, 5)])),
+            (5, " ".join([word, *pseudo_words(34, 5)]))]
+    assert found(documents(docs)) == brute(docs)
+
+
+def test_chains_and_circles_of_paths(spark):
+    # a chain of 40, a circle of 3, a loop of 1 and a node where two paths end; node names apart from each other
+    rows = [(i, i, 1000 + i, 1001 + i, 1 + i % 3) for i in range(40)]
+    rows += [(100, 0, 1, 2, 1), (101, 0, 2, 3, 1), (102, 0, 3, 1, 1), (200, 0, 9, 9, 2)]
+    rows += [(300, 0, 20, 22, 1), (301, 0, 21, 22, 1), (302, 0, 22, 23, 1)]
+    df = spark.createDataFrame(rows, "anchor long, path long, head long, tail long, n_edges int")
+    got = {(r.anchor, r.path): (tuple(r.root), r.distance) for r in substrings.compacted(df).collect()}
+    before = 0
+    for i in range(40):
+        assert got[i, i] == ((0, 0), before)
+        before += 1 + i % 3
+    assert all(got[a, 0] == ((a, 0), 0) for a in (100, 101, 102, 200, 300, 301, 302)) and len(got) == len(rows)
+
+
+def test_whitespace_between_words_does_not_matter(documents):
+    w = pseudo_words(50, 8)
+    docs = [(1, " ".join(w)), (2, "\n".join(w)), (3, " \t ".join(w[5:45]) + "\r\n")]
+    assert found(documents(docs)) == brute(docs)
