@@ -10,7 +10,7 @@ is one row. Equal edges have equal anchors, so paths meet by anchor:
 
 Repeated paths are compacted through joins on their nodes: where one repeated path ends in a node, one begins there and no
 other does either, the two are one. Joins that double their reach give each path the first one of its chain and its
-distance from it, so occurrences that lie in one document at the same distance become one span. Circular
+distance from it, so occurrences that follow each other in one document at the same distance become one span. Circular
 chains have no first path, and theirs stay single.
 
 A word goes if an edge that occurs twice or more covers it; which edges do is judged on the input. Paths and edges are
@@ -194,14 +194,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     classes = pieces.where("edge IS NULL").select(*CLASS, "head", "tail", "n_edges").dropDuplicates(CLASS)
     chains = staged(compacted(classes), "compacted")
+    # a document may hold the ends of a chain at the right distance with other words between them: its paths stay apart then
     whole = met.join(chains, CLASS).groupBy(*KEY, "root", (F.col("start") - F.col("distance")).alias("origin")).agg(
-        F.min("start").alias("first"), F.max(F.col("start") + F.col("n_edges") + (WINDOW - 1)).alias("after"))
+        F.collect_set(F.struct("start", "n_edges")).alias("parts"))
+    first, last = F.array_min("parts"), F.array_max("parts")
+    n_edges = F.aggregate("parts", F.lit(0), lambda total, x: total + x["n_edges"])
+    whole = whole.withColumn("spans", F.when(
+        last["start"] + last["n_edges"] - first["start"] == n_edges,
+        F.array(F.struct(first["start"].alias("start"), n_edges.alias("n_edges")))).otherwise(F.col("parts")))
+    whole = whole.select(*KEY, F.inline("spans")).select(
+        *KEY, F.col("start").alias("first"), (F.col("start") + F.col("n_edges") + (WINDOW - 1)).alias("after"))
 
     edges = pieces.where("edge IS NOT NULL")
     repeated = staged(edges.groupBy("anchor", "edge").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "edges")
     single = edges.where("single").join(repeated, ["anchor", "edge"]).select(
         *KEY, "first", (F.col("first") + WINDOW).alias("after"))
-    return whole.select(*KEY, "first", "after").unionAll(single)
+    return whole.unionAll(single)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

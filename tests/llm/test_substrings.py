@@ -93,3 +93,11 @@ def test_whitespace_between_words_does_not_matter(documents):
     w = pseudo_words(50, 8)
     docs = [(1, " ".join(w)), (2, "\n".join(w)), (3, " \t ".join(w[5:45]) + "\r\n")]
     assert found(documents(docs)) == brute(docs)
+
+
+def test_copies_with_replaced_words_keep_them(documents):
+    w = pseudo_words(400, 11)
+    docs = [(1, " ".join(w)), (2, " ".join(w))]
+    for n, places in enumerate([(200,), (100, 300), (60, 150, 170, 290)]):
+        docs.append((3 + n, " ".join(f"new{n}" if i in places else x for i, x in enumerate(w))))
+    assert found(documents(docs)) == brute(docs)
