@@ -10,6 +10,10 @@ input never clash with computed ones. A text of any length is judged whole, in n
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.llm import text as tx
@@ -17,19 +21,28 @@ from ledgerloom.llm import text as tx
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|›»·•"
 CLOSING = (".", "!", "?", ":", ";", '"', "'", ")", "]", "}", "”", "’", "»", "…", "。", "！", "？")
-BOILERPLATE = (
-    "(?i)cookie|javascript|all rights reserved|terms of (use|service)|privacy policy|click here|"
-    "(sign|log) in|sign up|subscribe|lorem ipsum"
+PHRASES = (
+    "cookie", "javascript", "all rights reserved", "terms of use", "terms of service", "privacy policy", "click here",
+    "sign in", "log in", "sign up", "subscribe", "lorem ipsum",
 )
+BOILERPLATE = "(?i)" + "|".join(PHRASES)
+# holds of every line with enough capitals: of its letters, two that follow each other are capitals, or its only one is
+MAYBE_SHOUTING = r"\p{Lu}\P{L}*+(\p{Lu}|\z)"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 50
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word fails one of the line rules."""
-    bare = F.btrim(line, F.lit(tx.SPACE))
+def holds_any(text: Column, parts: Iterable[str]) -> Column:
+    return reduce(or_, [text.contains(F.lit(p)) for p in parts])
+
+
+def line_fails(bare: Column, with_separators: Column, with_symbols: Column, with_phrases: Column) -> Column:
+    """Whether a line that has a word, without the space around it, fails one of the line rules.
+
+    The flags say of the whole text whether it may hold what a rule looks for; a line is searched only where it may.
+    """
     n_words = F.size(F.split(bare, tx.SPACES))
     characters = F.length(F.translate(bare, tx.SPACE, ""))
     separators = tx.count_of(bare, SEPARATORS)
@@ -37,10 +50,10 @@ def line_fails(line: Column) -> Column:
     letters = F.length(bare) - F.length(F.regexp_replace(bare, r"\p{L}+", ""))
     return (
         ~F.right(bare, F.lit(1)).isin(*CLOSING)
-        | ((separators > 0) & (3 * separators >= n_words))
-        | (10 * tx.count_of(bare, SYMBOLS) >= characters)
-        | ((n_words >= 3) & (letters > 0) & (10 * capitals >= 7 * letters))
-        | bare.rlike(BOILERPLATE)
+        | (with_separators & (separators > 0) & (3 * separators >= n_words))
+        | (with_symbols & (10 * tx.count_of(bare, SYMBOLS) >= characters))
+        | (bare.rlike(MAYBE_SHOUTING) & (n_words >= 3) & (letters > 0) & (10 * capitals >= 7 * letters))
+        | (with_phrases & bare.rlike(BOILERPLATE))
     )
 
 
@@ -77,14 +90,23 @@ def judged(docs: DataFrame) -> DataFrame:
         d,
         words=tx.words(F.col("text")),
         lines=F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(tx.SPACE)) != ""),
+        lowered=F.lower("text"),
+        with_separators=holds_any(F.col("text"), SEPARATORS),
+        with_symbols=holds_any(F.col("text"), SYMBOLS),
+    )
+    d = tx.computed(
+        d,
+        bare=F.transform("lines", lambda line: F.btrim(line, F.lit(tx.SPACE))),
+        with_phrases=holds_any(F.col("lowered"), PHRASES),
     )
+    flags = [F.col(c) for c in ("with_separators", "with_symbols", "with_phrases")]
     d = tx.computed(
         d,
         n_words=F.size("words"),
         hashes=F.transform("words", lambda w: F.xxhash64(w)),
-        failed=F.transform("lines", line_fails),
-        word_chars=F.length(F.translate("text", tx.SPACE, "")).cast("long"),
-        n_symbols=tx.count_of(F.col("text"), SYMBOLS).cast("long"),
+        failed=F.transform("bare", lambda line: line_fails(line, *flags)),
+        word_chars=F.length(F.array_join("words", "")).cast("long"),
+        n_symbols=F.when(F.col("with_symbols"), tx.count_of(F.col("text"), SYMBOLS)).otherwise(0).cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     )
     lost = F.aggregate(

@@ -1,3 +1,6 @@
+import random
+
+import regex
 from helpers_llm import sentence
 
 from ledgerloom.llm import quality
@@ -46,3 +49,34 @@ def test_stage_keeps_columns(spark, documents):
     rows = quality.stage(spark, df, "").collect()
     assert [r.doc_id for r in rows] == [1] and rows[0].text == sentence(30, 1) and rows[0].n_chars == len(rows[0].text)
     assert quality.stage(spark, df, "").columns == df.columns and rows[0]["words"] == "own words"
+
+
+def brute_fails(line):
+    bare = line.strip(" \t\n\v\f\r")
+    words = regex.findall(r"[^\x20\x09-\x0D]+", bare)
+    separators = sum(c in quality.SEPARATORS for c in bare)
+    symbols = sum(c in quality.SYMBOLS for c in bare)
+    capitals, letters = len(regex.findall(r"\p{Lu}", bare)), len(regex.findall(r"\p{L}", bare))
+    phrases = ["cookie", "javascript", "all rights reserved", "terms of use", "terms of service", "privacy policy", "click here",
+               "sign in", "log in", "sign up", "subscribe", "lorem ipsum"]
+    return (bare[-1] not in quality.CLOSING or separators > 0 and 3 * separators >= len(words)
+            or 10 * symbols >= sum(map(len, words)) or len(words) >= 3 and letters > 0 and 10 * capitals >= 7 * letters
+            or any(regex.search(p, bare, regex.I | regex.ASCII) for p in phrases))
+
+
+def test_line_rules_against_brute_force(documents):
+    r = random.Random(11)
+    parts = ["A", "b", "É", "é", "ǅ", "中", "ß", "İ", "\u212a", "7", "-", "#", "|", "»", "•", "&", "LOG", "in", "Log In", "cooKIE",
+             "coo\u212aIE", "terms of Use", "Sign", "up", "\x85", "\u2028", "\U0001d400", "word", "Word", "WORD", "aB", "AB."]
+    lines = [" \t"[:r.randrange(3)] + "".join(r.choice(parts) + r.choice(["", " ", " ", "\t"]) for _ in range(r.randrange(1, 9)))
+             + r.choice([".", ".", ".", "!", "”", "", " .\r"]) for _ in range(4000)]
+    texts = ["\n".join(lines[i:i + 1 + i // 4 % 4]) for i in range(0, 4000, 4)]
+    got = results(documents(list(enumerate(texts))))
+    failed = 0
+    for i, text in enumerate(texts):
+        bad = [brute_fails(line) for line in text.split("\n")]
+        lost = sum(len(regex.findall(r"[^\x20\x09-\x0D]+", x)) for x, b in zip(text.split("\n"), bad) if b)
+        assert got[i].n_lost == lost, text
+        assert got[i].cleaned == (text if not any(bad) else "\n".join(x for x, b in zip(text.split("\n"), bad) if not b))
+        failed += sum(bad)
+    assert 500 < failed < 2400
