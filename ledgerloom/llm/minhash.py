@@ -123,6 +123,16 @@ def group_ids(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
+def stretches(frame: pd.DataFrame, keys: list[str], size: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """A frame of whole groups in parts of whole groups, whose texts have about ``size`` characters each."""
+    lengths = frame["text"].str.len().to_numpy(dtype=np.int64)
+    group = group_ids(frame, keys)
+    starts = np.flatnonzero(np.diff(group, prepend=0))
+    part = ((np.cumsum(lengths) - lengths)[starts] // size)[group - 1]
+    for rows in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(part)) + 1):
+        yield frame.iloc[rows[0]:rows[-1] + 1]
+
+
 TILES = ["band", "key", "part_a", "part_b"]
 
 
@@ -167,8 +177,9 @@ def equal_counts(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     out = np.zeros((n, n), np.float64)
-    width = max(1024, (1 << 22) // n)  # of the 0/1 matrix that is held at once
-    for first in range(0, int(shared.sum()), width):
+    n_columns = int(shared.sum())
+    width = min(n_columns, max(1024, (1 << 22) // n))  # of the 0/1 matrix that is held at once
+    for first in range(0, n_columns, width or 1):
         a, b = np.searchsorted(column, [first, first + width])
         part = np.zeros((n, width), np.float32)
         part[owner[a:b], column[a:b] - first] = 1
@@ -178,7 +189,7 @@ def equal_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def linked_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For the nodes of each tile, links from the first node of a component to all others of it."""
-    for frame in by_group(frames, TILES):
+    for frame in (part for whole in by_group(frames, TILES) for part in stretches(whole, TILES)):
         texts = Texts(frame["text"].tolist(), lower=True)
         owner, hashes = shingles(texts)
         found = nodes_of(owner, hashes, len(frame))

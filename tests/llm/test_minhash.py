@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers_llm import pseudo_words
 
@@ -118,3 +119,20 @@ def test_filter_leaves_out_no_key(spark):
     got = {r["text"] for r in minhash.maybe_among(rows, keys).collect()}
     assert {i for i in range(0, 20_000, 10)} <= got and len(got) < 2_200
     assert minhash.maybe_among(rows, keys.limit(0)).count() == 0
+
+
+def test_counts_of_shared_shingles():
+    r = np.random.default_rng(2)
+    for n, most in ((2, 3), (2, 0), (7, 40), (40, 400)):
+        sets = [np.unique(r.integers(0, 2 * most + 2, size=most)).astype(np.uint64) for _ in range(n)]
+        want = [[len(np.intersect1d(a, b)) if i != j else None for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        got = minhash.equal_counts(sets)
+        assert all(want[i][j] in (None, got[i, j]) for i in range(n) for j in range(n))
+
+
+def test_stretches_hold_whole_groups():
+    keys = [0, 0, 1, 2, 2, 2, 3, 4, 4]
+    frame = pd.DataFrame({"k": keys, "text": ["x" * n for n in (5, 30, 1, 2, 2, 2, 50, 0, 3)]})
+    parts = list(minhash.stretches(frame, ["k"], 20))
+    assert [p["k"].tolist() for p in parts] == [[0, 0], [1, 2, 2, 2], [3], [4, 4]]
+    assert pd.concat(parts).equals(frame) and len(list(minhash.stretches(frame, ["k"]))) == 1
