@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 
-BLOCK = 1 << 20  # bytes that are hashed at once
+BLOCK = 1 << 18  # bytes that are hashed at once; tables of powers, kept by each worker, are about as long
 LETTER_BASE, WORD_BASE = 0x9E6C63D0876A3F6B, 0xD1342543DE82EF95
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
