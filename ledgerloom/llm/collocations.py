@@ -7,7 +7,7 @@ sparse tiles are sorted as coordinates and counted by runs. Spark adds up the co
 frequent in all are the units of the next turn, ranked anew, up to the longest phrases. A phrase can only be frequent
 if both its parts are, the one without its last and the one without its first word, so no other pairs are counted.
 
-A task never holds a vocabulary: a chunk has the numbers of its own words and phrases only, which meet it by a join.
+A task never holds a vocabulary: a chunk has the numbers of its own words and phrases only, as rows that are sorted beside it.
 
 Defined results: a null text is empty, a null lang is ``und``. Rows that repeat count each time. Words of different langs are
 different words. Phrases do not cross pieces or documents. An empty table gives an empty result; only lang and text are
@@ -38,6 +38,7 @@ MILLION = 1_000_000
 CHUNK = 1 << 23  # bytes of text that are numbered together
 TILE = 1024
 DENSE = TILE * TILE // 16  # pairs from which a tile is counted at direct addresses
+ROWS = 1 << 16  # rows that a task gives out at once
 CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 PACK = pa.Codec("zstd")
 
@@ -106,17 +107,37 @@ def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def beside(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``chunks`` (chunk, data), each with its ``rows`` (chunk, ...) after it in the same task. Rows stay rows, which Spark
+    sorts and hands on in small batches: no list of all rows of a chunk, or of several chunks, is built on the way."""
+    both = chunks.unionByName(rows, allowMissingColumns=True)
+    place = 2 * F.col("chunk") + F.col("data").isNull().cast("long")  # a single number is sorted by its digits
+    return both.repartition("chunk").sortWithinPartitions(place)
+
+
+def chunks_beside(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """What ``beside`` has put together: each chunk that has rows, its numbers and the columns ``names`` of its rows."""
+    chunk, data, parts = 0, b"", []
+    for batch in batches:
+        numbers, packed = batch.column("chunk"), batch.column("data")
+        starts = np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        for start, end in zip([-1, *starts], [*starts, batch.num_rows]):
+            if start >= 0:
+                if parts:
+                    yield chunk, unpack(data), [np.concatenate(p) for p in zip(*parts)]
+                chunk, data, parts = numbers[start].as_py(), packed[start].as_py(), []
+            if start + 1 < end:
+                parts.append([batch.column(c).slice(start + 1, end - start - 1).to_numpy() for c in names])
+    if parts:
+        yield chunk, unpack(data), [np.concatenate(p) for p in zip(*parts)]
+
+
 def encoded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chunks with the numbers that words have in the corpus, from 1 on; 0 for rare words and between pieces."""
-    for batch in batches:
-        words = []
-        for tokens, known in zip(batch.column("tokens").to_pylist(), batch.column("known")):
-            tokens = unpack(tokens)
-            place, number = (known.values.field(c).to_numpy() for c in ("at", "id"))
-            table = np.zeros(int(tokens.max(initial=0)) + 1, np.int64)
-            table[place + 1] = number + 1
-            words.append(pack(table[tokens]))
-        yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(words, pa.binary())], names=["chunk", "words"])
+    for chunk, tokens, (place, number) in chunks_beside(batches, ["at", "id"]):
+        table = np.zeros(int(tokens.max(initial=0)) + 1, np.int64)
+        table[place + 1] = number + 1
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pack(table[tokens])], pa.binary())], names=["chunk", "data"])
 
 
 # counting
@@ -127,7 +148,7 @@ def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if not len(a):
         return a, b, a
     across = int(b.max()) // TILE + 1
-    tile = a // TILE * across + b // TILE
+    tile = (a // TILE).astype(np.int64) * across + b // TILE
     address = a % TILE * TILE + b % TILE
     tiles, size = np.unique(tile, return_counts=True)
     cells, counts = [], []
@@ -137,8 +158,15 @@ def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         hit = np.flatnonzero(table)
         cells.append(t * TILE * TILE + hit)
         counts.append(table[hit])
-    cell = np.sort((tile * TILE * TILE + address)[~np.isin(tile, dense)])  # coordinates of the sparse tiles
-    new = np.flatnonzero(np.diff(cell, prepend=-1))
+    sparse = ~np.isin(tile, dense)
+    cell = tile[sparse]  # coordinates in the sparse tiles
+    cell *= TILE * TILE
+    cell += address[sparse]
+    del tile, address, sparse
+    cell.sort()
+    first = np.ones(len(cell), bool)
+    np.not_equal(cell[1:], cell[:-1], out=first[1:])
+    new = np.flatnonzero(first)
     cells.append(cell[new])
     counts.append(np.diff(new, append=len(cell)))
     cell, counts = np.concatenate(cells), np.concatenate(counts)
@@ -151,11 +179,15 @@ def unit_numbers(words: np.ndarray, phrases: list[np.ndarray], n_words: int) ->
     code, at = phrases[0], words
     for column, after in zip(phrases[1:], (words[i:] for i in range(1, len(phrases)))):
         at = at[:len(after)]
-        at = np.where((at >= 0) & (after >= 0), at * n_words + after, -1)
+        none = (at < 0) | (after < 0)
+        at = at.astype(np.int64)
+        at *= n_words
+        at += after
+        at[none] = -1
         known, code = np.unique(code * n_words + column, return_inverse=True)
         place = np.minimum(np.searchsorted(known, at), len(known) - 1)
-        at = np.where(known[place] == at, place, -1)
-    number = np.zeros(int(code.max(initial=0)) + 2, np.int64)  # the last one is for -1
+        at = np.where(known[place] == at, place, -1).astype(np.int32)
+    number = np.zeros(int(code.max(initial=0)) + 2, np.int32)  # the last one is for -1
     number[-1] = -1
     number[code] = np.arange(len(code))
     return number[at]
@@ -163,29 +195,38 @@ def unit_numbers(words: np.ndarray, phrases: list[np.ndarray], n_words: int) ->
 
 def pair_rows(k: int):
     """How often the phrases of k + 1 words stand in each chunk, if both of their phrases of k words are frequent."""
-    names = ["chunk", *[f"w{i}" for i in range(1, k + 2)], "n"]
+    names = ["chunk", *columns(k + 1), "n"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         for batch in batches:
-            for row, chunk in enumerate(batch.column("chunk").to_pylist()):
-                words = unpack(batch.column("words")[row].as_py()) - 1
-                known = np.unique(words[words >= 0])
-                if not len(known):
-                    continue
-                local = np.where(words >= 0, np.searchsorted(known, words), -1)
-                if k == 1:
-                    units, parts = local, [known]
-                else:
-                    of_chunk = batch.column("phrases")[row].values
-                    order = np.argsort(-of_chunk.field("f").to_numpy(), kind="stable")
-                    parts = [of_chunk.field(f"w{i}").to_numpy()[order] for i in range(1, k + 1)]
-                    units = unit_numbers(local, [np.searchsorted(known, p) for p in parts], len(known))
-                a, b = units[:len(local) - k], local[k:]
-                use = (a >= 0) & (b >= 0) & (units[1:len(a) + 1] >= 0 if len(units) > len(a) else True)
-                a, b, n = tile_counts(a[use], b[use])
+            for chunk, data in zip(batch.column("chunk"), batch.column("data")):
+                yield chunk.as_py(), unpack(data.as_py()), []
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, words, phrases in alone(batches) if k == 1 else chunks_beside(batches, [*columns(k), "f"]):
+            words -= 1
+            known = np.unique(words[words >= 0])
+            if not len(known):
+                continue
+            local = np.searchsorted(known, words).astype(np.int32)
+            local[words < 0] = -1
+            del words
+            if k == 1:
+                units, parts = local, [known]
+            else:
+                order = np.argsort(-phrases.pop(), kind="stable")
+                parts = [p[order] for p in phrases]
+                units = unit_numbers(local, [np.searchsorted(known, p) for p in parts], len(known))
+            a, b = units[:len(local) - k], local[k:]
+            use = (a >= 0) & (b >= 0) & (units[1:len(a) + 1] >= 0 if len(units) > len(a) else True)
+            a, b = a[use], b[use]
+            del units, local, use
+            a, b, n = tile_counts(a, b)
+            for i in range(0, len(a), ROWS):
+                x, y = a[i:i + ROWS], b[i:i + ROWS]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(a), chunk)), *[pa.array(p[a]) for p in parts], pa.array(known[b]),
-                     pa.array(n.astype(np.int64))], names=names)
+                    [pa.array(np.full(len(x), chunk)), *[pa.array(p[x]) for p in parts], pa.array(known[y]),
+                     pa.array(n[i:i + ROWS].astype(np.int64))], names=names)
 
     return work
 
@@ -204,9 +245,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
     counts = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     ranked = running(counts, [F.desc("f"), F.col("lang"), F.col("word")], rank=F.lit(1))
     words = staged(ranked.select(F.col("rank_before").alias("id"), "lang", "word", "f"), "words")
-    known = entries.join(words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("known"))
+    known = entries.join(words, ["lang", "word"]).select("chunk", "at", "id")
     encoded = staged(in_arrow(
-        chunks.select("chunk", "tokens").join(known, "chunk"), encoded_rows, "chunk long, words binary"), "encoded")
+        beside(chunks.select("chunk", F.col("tokens").alias("data")), known), encoded_rows, "chunk long, data binary"), "encoded")
     levels, rows = [words], encoded
     for k in range(1, most_words):
         ids = columns(k + 1)
@@ -216,10 +257,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
             break
         # a phrase has one row for each chunk, so no group is large
         same = Window.partitionBy(*ids)
-        of_chunks = pairs.withColumns({"f": F.sum("n").over(same), "turn": F.row_number().over(same.orderBy("chunk"))})
+        of_chunks = pairs.withColumns({"f": F.sum("n").over(same), "first": F.min("chunk").over(same)})
         of_chunks = staged(of_chunks.where(F.col("f") >= least).drop("n"), "phrases")
-        levels.append(of_chunks.where("turn = 1").drop("chunk", "turn"))
-        rows = encoded.join(of_chunks.groupBy("chunk").agg(F.collect_list(F.struct(*ids, "f")).alias("phrases")), "chunk")
+        levels.append(of_chunks.where(F.col("chunk") == F.col("first")).drop("chunk", "first"))
+        rows = beside(encoded, of_chunks.select("chunk", *ids, "f"))
     return totals, levels
 
 

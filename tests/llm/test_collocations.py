@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers_llm import pseudo_words
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -109,3 +110,24 @@ def test_tiles_count_as_a_table_does(spread):
 @given(st.lists(st.integers(0, 2**40), max_size=50))
 def test_packed_numbers_come_back(numbers):
     assert co.unpack(co.pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_a_chunk_gives_its_pairs_in_small_batches():
+    tokens = np.arange(1, 3 * co.ROWS + 2)
+    batch = pa.RecordBatch.from_pydict({"chunk": [7], "data": [co.pack(tokens)]})
+    out = list(co.pair_rows(1)(iter([batch])))
+    assert [b.num_rows for b in out] == [co.ROWS] * 3
+    assert pa.Table.from_batches(out).column("w2").to_pylist() == tokens[:-1].tolist() and out[0].column("w1")[0].as_py() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_rows_beside_chunks_come_in_batches_of_any_size(size):
+    rows = {"chunk": [], "data": [], "at": [], "id": []}
+    for chunk, n in [(4, 5), (5, 0), (6, 1), (9, 0)]:
+        for column, values in zip(rows.values(), ([chunk] * (n + 1), [co.pack(np.array([chunk, 0]))] + [None] * n,
+                                                  [None, *range(n)], [None, *range(10, 10 + n)])):
+            column += values
+    schema = pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("at", pa.int64()), ("id", pa.int64())])
+    batches = pa.Table.from_pydict(rows, schema).to_batches(max_chunksize=size)
+    found = [(c, t.tolist(), a.tolist(), i.tolist()) for c, t, (a, i) in co.chunks_beside(iter(batches), ["at", "id"])]
+    assert found == [(4, [4, 0], [0, 1, 2, 3, 4], [10, 11, 12, 13, 14]), (6, [6, 0], [0], [10])]
