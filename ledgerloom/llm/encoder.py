@@ -7,6 +7,8 @@ met before is not encoded again. Texts with other white space between words are
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -27,6 +29,7 @@ def encoder(path: str) -> Encoder:
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; one text at a time has no use for more
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
@@ -52,7 +55,9 @@ class Encoder:
         return at, length, known
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        # the library's plain call also works out the string and place of each token, at the cost of the ids again
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, self.dtype)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Take up words, each with what stands before it; a line break parts them in the text that is encoded."""

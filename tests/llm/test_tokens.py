@@ -1,5 +1,6 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +32,15 @@ def test_ids_are_the_librarys(texts):
             encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_come_without_the_places_of_tokens(library):
+    encode = Encoder(PATH)
+    encode.tokenizer = SimpleNamespace(encode_batch_fast=library.encode_batch_fast)  # nothing else is called
+    texts = [" ".join(pseudo_words(300, 3)), "a  b\tc", "x <|endoftext|> y\n\nz", "", None, "é 😀\nword's"]
+    for _ in range(2):
+        assert [e.tolist() for e in encode.encode(texts)] == [
+            library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def brute(library, docs):
     at, out = 0, []
     for d, text in docs:
