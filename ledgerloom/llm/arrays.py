@@ -91,7 +91,7 @@ class Texts:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def chunks(frames: Iterator, column: str, size: int = 1 << 21) -> Iterator:
+def chunks(frames: Iterator, column: str, size: int = 1 << 19) -> Iterator:
     """Data frames of a task, cut so that the texts of each have about ``size`` characters."""
     for frame in frames:
         lengths = frame[column].str.len().fillna(0).to_numpy(dtype=np.int64)

@@ -1,0 +1,45 @@
+import os
+import re
+import sys
+
+import pandas as pd
+import pyarrow as pa
+import pytest
+
+from ledgerloom.llm import workers
+from ledgerloom.llm.arrays import chunks
+
+SCHEMA = "pid long, mb long"
+
+
+@pytest.mark.skipif(not workers._trim, reason="only glibc keeps freed memory and can be told to hand it back")
+@pytest.mark.parametrize("run", [
+    lambda df, work: workers.in_arrow(df, lambda batches: map(pa.RecordBatch.from_pydict, work(batches)), SCHEMA),
+    lambda df, work: workers.in_tasks(df, lambda frames: map(pd.DataFrame, work(frames)), SCHEMA)])
+def test_memory_that_a_task_has_freed_goes_back_to_the_system(spark, run):
+    def mb():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+    def wasteful(batches):
+        for _ in batches:
+            pass
+        before = mb()
+        pieces = [bytes(20_000) for _ in range(10_000)]
+        sys.kept = pieces[::500]  # lie between those that are freed
+        yield {"pid": [os.getpid()], "mb": [before]}
+
+    def later(batches):
+        for _ in batches:
+            pass
+        yield {"pid": [os.getpid()], "mb": [mb()]}
+
+    (first,) = run(spark.range(0, 1, 1, 1), wasteful).collect()
+    after = [r.mb for r in run(spark.range(0, 100, 1, 100), later).collect() if r.pid == first.pid]
+    assert after and min(after) < first.mb + 50  # 200 MB were taken
+
+
+def test_chunks_hold_half_a_million_characters_and_every_row_once():
+    frame = pd.DataFrame({"text": ["x" * (i % 7) * 10_000 for i in range(300)] + [None, "y" * 3_000_000, ""]})
+    parts = list(chunks([frame, frame[:0]], "text"))
+    assert pd.concat(parts).equals(frame)
+    assert all(p["text"][1:].str.len().sum() <= 1 << 19 for p in parts)
