@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from helpers_llm import pseudo_words
 from hypothesis import given, settings, strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from ledgerloom.llm import tokens
 from ledgerloom.llm.encoder import Encoder
@@ -41,6 +41,62 @@ def test_ids_come_without_the_places_of_tokens(library):
             library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_new_words_cost_only_their_new_pieces(library):
+    asked, encode = [], Encoder(PATH)
+
+    def encode_batch_fast(texts, **options):
+        asked.extend(texts)
+        return library.encode_batch_fast(texts, **options)
+
+    encode.tokenizer = SimpleNamespace(encode_batch_fast=encode_batch_fast)
+    words = pseudo_words(300, 5)
+    encode.encode(["\n".join(words), " ".join(["a", *words]), "( , .\n(\n)\n,\n.\n!!\n7"])
+    asked.clear()
+    texts = [" ".join(f"({w})" for w in words), "\n".join(f"{w}, {w}!!{w} {w}7." for w in words)]
+    assert [e.tolist() for e in encode.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len("".join(asked)) < 20  # most of it: " (", the line breaks
+
+
+def test_pieces_are_cut_where_the_library_cuts(library):
+    # letters, numbers, marks, signs and spaces of many scripts, and what no version of Unicode knows
+    r = random.Random(4)
+    signs = "aZ09.,'!_-()#äßñ²½Ⅷ٣\u0301\u200b\u200d\xa0\u2009\x1f\0中ーกำ한𝒜😀👍🏽\ue000\U000e0001\U0001fbf0\u0378\U0002ebf0" + "".join(
+        chr(c) for c in (r.randrange(0x21, 0x30000) for _ in range(3000)) if not 0xD800 <= c < 0xE000)
+    added = ["'s", "'ll", "<|endoftext|>", "endoftext", "x'"]
+    encode = Encoder(PATH)
+    for _ in range(30):
+        words = ["".join(r.choices([*r.choices(signs, k=12), *signs[:20], *added], k=r.randint(1, 9))) for _ in range(200)]
+        texts = ["".join(w + r.choice(" \n") for w in words[i:i + 10]).strip() for i in range(0, 200, 10)]
+        for text, found in zip(texts, encode.encode(texts)):
+            assert found.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("c", ["\x1c", "\x1f", "\x85", "\xa0", "\u2009", "\u3000"])
+def test_odd_spaces_alone_and_within_words(library, c):
+    encode = Encoder(PATH)
+    for text in (f"x {c} y\n{c}\nz", f"a{c}b c{c}{c}", f"a{c}b\na{c}!b {c}", f"a{c}b c"):
+        assert encode.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("limit", ["MOST_KNOWN", "MOST_IDS", "AT_ONCE"])
+def test_ids_stay_the_same_when_words_are_forgotten_or_taken_up_in_parts(library, monkeypatch, limit):
+    monkeypatch.setattr(f"ledgerloom.llm.encoder.{limit}", 40)
+    encode = Encoder(PATH)
+    for seed in range(12):
+        text = "\n".join(f"{w}, ({w}) {w}" for w in pseudo_words(50, seed // 2))
+        assert encode.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_stay_whole_for_tokenizers_with_other_pieces(library, tmp_path):
+    library = Tokenizer.from_str(library.to_str())
+    library.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.Split(Regex(r"[^\s\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+|\s"), "isolated"),
+        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    library.save(f"{tmp_path}/other.json")
+    encode, text = Encoder(f"{tmp_path}/other.json"), "\n".join(f"({w}).{w}7\n!{w}" for w in pseudo_words(50, 6))
+    assert encode.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def brute(library, docs):
     at, out = 0, []
     for d, text in docs:
